@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -142,3 +143,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished steps now instead of at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

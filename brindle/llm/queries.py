@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import exact, mixing, packing, quality, simhash
-from brindle.llm.common import documents
+from brindle.llm import exact, mixing, packing, quality, simhash, substring, urls
+from brindle.llm.common import documents, pages
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +18,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(pages(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir), shingle=3, radius=2)
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(documents(spark, sf_dir))
 
@@ -33,7 +41,9 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_quality": op2_quality,
+    "op4_urls": op4_urls,
     "op5_simhash": op5_simhash,
+    "op6_substring": op6_substring,
     "op9_exact": op9_exact,
     "op10_pack": op10_pack,
 }
@@ -41,6 +51,18 @@ QUERIES = {
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op6_substring": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t WHERE len(w) >= 13),
+        g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS words FROM s),
+        f AS (SELECT words, min(doc_id) AS lo FROM g GROUP BY words),
+        c AS (SELECT DISTINCT doc_id, i + o AS p FROM g JOIN f USING (words), range(0, 13) AS r(o) WHERE lo < doc_id),
+        x AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id),
+        k AS (SELECT t.doc_id, len(w) AS n_words, len(coalesce(gone, [])) AS n_removed,
+                     [w[p] FOR p IN list_sort(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(coalesce(gone, []), p)))] AS kept
+              FROM t LEFT JOIN x ON t.doc_id = x.doc_id)
+        SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+    """,
     "op9_exact": f"""
         WITH t AS (SELECT doc_id, {LOWERED} AS low FROM documents),
         g AS (SELECT low, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY low)
