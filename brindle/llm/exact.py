@@ -176,3 +176,11 @@ def _byte_checked(rows: DataFrame) -> DataFrame:
     return once.union(many).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+def keep_last(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without exact copies: the rows whose doc_id ``dedup`` keeps, once each where one doc_id repeats a text."""
+    kept = dedup(docs, **options).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times"))
+    rows = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
+    once = rows.filter("_times = 1").drop("_times")
+    return once.unionByName(rows.filter("_times > 1").drop("_times").dropDuplicates())

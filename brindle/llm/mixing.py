@@ -53,18 +53,12 @@ def _unit(seed: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), seed), 11) / F.lit(float(1 << 53))
 
 
-def mix_plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seeds: int = 16, tokens: Column | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
+def mix_rates(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seeds: int = 16) -> DataFrame:
+    """(source, _mix): target, whole copies, fraction and hash seed of each source of ``sizes`` (doc_id, source, size).
 
     Of ``seeds`` hash seeds each source uses the one whose Bernoulli draws come
     closest to its target, so sources of few long documents come near it too.
-    Draws depend on doc_id and seed alone: reruns agree, rows repeated with one
-    doc_id share their draw. Null text counts 0 words and null source is a
-    source. Other columns are neither read nor kept; an empty table gives an
-    empty plan.
     """
-    size = word_count(F.col("text")) if tokens is None else tokens
-    sizes = materialize(docs.select("doc_id", "source", size.alias("size")))
     rates = materialize(
         source_targets(sizes, weights, share, most)
         .withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0)))
@@ -74,24 +68,30 @@ def mix_plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float
     rated = salted_join(sizes, rates.select("source", "part"), ["source"], F.col("doc_id"))
     draws = rated.groupBy("source").agg(*[F.sum(F.when(_unit(F.lit(k)) < F.col("part"), F.col("size")).otherwise(F.lit(0))).alias(f"s{k}") for k in range(seeds)])
     miss = F.array_min(F.array(*[F.struct(F.abs(F.col("whole") * F.col("source_size") + F.col(f"s{k}") - F.col("target")).alias("miss"), F.lit(k).alias("seed")) for k in range(seeds)]))
-    chosen = rates.alias("r").join(draws.withColumnRenamed("source", "s"), F.col("r.source").eqNullSafe(F.col("s"))).select("source", "source_size", "target", "whole", "part", miss["seed"].alias("seed"))
-    return salted_join(sizes, materialize(chosen), ["source"], F.col("doc_id")).select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        (F.col("whole") + F.when(_unit(F.col("seed")) < F.col("part"), 1).otherwise(0)).cast("int").alias("copies"),
-    ).withColumn("taken", F.col("size") * F.col("copies"))
+    chosen = rates.alias("r").join(draws.withColumnRenamed("source", "s"), F.col("r.source").eqNullSafe(F.col("s")))
+    return materialize(chosen.select("source", F.struct("source_size", "target", "whole", "part", miss["seed"].alias("seed")).alias("_mix")))
+
 
+def _copies() -> Column:
+    return (F.col("_mix.whole") + F.when(_unit(F.col("_mix.seed")) < F.col("_mix.part"), 1).otherwise(0)).cast("int")
 
-def emit(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The mixed corpus: every row of ``docs`` as often as its plan says.
 
-    Copies per document are at most the plan's bound, so the explode is bounded.
-    The plan is joined by doc_id and source; rows repeated with one doc_id share
-    a draw, hence the plan's rows are made distinct first.
+def mix_plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seeds: int = 16) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
+
+    Draws depend on doc_id and seed alone: reruns agree, rows repeated with one
+    doc_id share their draw. Null text counts 0 words and null source is a
+    source. Other columns are neither read nor kept; an empty table gives an
+    empty plan.
     """
-    take = plan.filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_o"), "copies").distinct().withColumnRenamed("copies", "_n")
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_o"))
-    return docs.join(take, on).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
+    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    planned = salted_join(sizes, mix_rates(sizes, weights, share, most, seeds), ["source"], F.col("doc_id"))
+    return planned.select("doc_id", "source", "size", "_mix.source_size", "_mix.target", _copies().alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seeds: int = 16) -> DataFrame:
+    """The mixed corpus: every row of ``docs``, all its columns, as often as ``mix_plan`` says (at most ``most`` times, rounded up)."""
+    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    planned = salted_join(docs, mix_rates(sizes, weights, share, most, seeds), ["source"], F.col("doc_id"))
+    taken = planned.withColumn("_copies", _copies()).filter("_copies > 0")
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

@@ -87,17 +87,16 @@ def _features(stats: DataFrame) -> DataFrame:
     return stats.select("*", *[F.round(v * UNIT).cast("long").alias(f"x_{k}") for k, v in value.items()])
 
 
-def _pooled(rows: DataFrame) -> DataFrame:
-    """Adds g: the group that judges a row. Small (lang, source) pairs pool by language, small languages all together."""
+def _pools(rows: DataFrame) -> DataFrame:
+    """(lang, source, g): the group that judges a row. Small (lang, source) pairs pool by language, small languages all together."""
     counts = rows.filter("not base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     own = F.col("n") >= LEAST
     by_lang = Window.partitionBy("lang")
-    groups = counts.withColumn("n_lang", F.sum(F.when(~own, F.col("n")).otherwise(0)).over(by_lang)).select(
+    return counts.withColumn("n_lang", F.sum(F.when(~own, F.col("n")).otherwise(0)).over(by_lang)).select(
         "lang",
         "source",
         F.when(own, F.to_json(F.struct("lang", "source"))).when(F.col("n_lang") >= LEAST, F.to_json(F.struct("lang"))).otherwise(F.lit("{}")).alias("g"),
     )
-    return salted_join(rows, groups, ["lang", "source"], F.col("doc_id"))
 
 
 def _whitened(moments: DataFrame, scale: Column) -> DataFrame:
@@ -164,31 +163,57 @@ def _concentrate(fit: DataFrame, params: DataFrame) -> DataFrame:
     return core.groupBy("g").agg(*[F.sum(c).alias(c) for c in names])
 
 
-def judge(docs: DataFrame, steps: int = 3, cut: float = CHI2_CUT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang, source, the counts, base_failed, distance, kept.
+def fit(rows: DataFrame, steps: int = 3) -> DataFrame:
+    """(lang, source, _fit): location, whitening, edge and size of the group that judges each language and source.
 
-    Estimates use the rows that pass the base rules, pooled for small groups
-    (see ``_pooled``); a pool below LEAST rows rejects nothing. The final
-    covariance is scaled so that the core's share meets its chi-square
-    quantile. Null text has no words and fails the base rules; null lang and
-    source are values of their own; repeated rows are judged alike; an empty
-    table gives an empty result and extra columns are not read.
+    ``rows`` are featured (see ``_features``) and hold base_failed; the rows
+    that pass the base rules are fitted, pooled for small groups. The edge is
+    the core's largest distance, which scales distances to chi-square.
     """
-    rows = _pooled(materialize(_features(statistics(docs)).withColumn("base_failed", base_failed())))
-    rows = materialize(rows)
-    xs = [f"x_{i}" for i in FEATURES]
-    fit = rows.filter("not base_failed").select("doc_id", "g", *xs)
-    params = materialize(_start(fit))
+    pools = materialize(_pools(rows))
+    core = salted_join(rows.filter("not base_failed"), pools, ["lang", "source"], F.col("doc_id"), how="inner")
+    core = materialize(core.select("doc_id", "g", *[f"x_{i}" for i in FEATURES]))
+    params = materialize(_start(core))
     for _ in range(steps):
-        params = materialize(_whitened(_concentrate(fit, params), F.lit(1.0)))
-    d = salted_join(fit, params, ["g"], F.col("doc_id"), how="inner").withColumn("bin", F.floor(F.log1p(_distance()) * 32))
+        params = materialize(_whitened(_concentrate(core, params), F.lit(1.0)))
+    d = salted_join(core, params, ["g"], F.col("doc_id"), how="inner").withColumn("bin", F.floor(F.log1p(_distance()) * 32))
     bins = d.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    core = bins.withColumn("below", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
-    edge = core.filter(F.col("below") < F.col("all") * CORE).groupBy("g").agg(F.expm1((F.max("bin") + 1) / 32.0).alias("edge"), F.max("all").alias("n_group"))
-    final = materialize(params.join(edge, "g"))
-    out = salted_join(rows, final, ["g"], F.col("doc_id")).withColumn("distance", F.when(F.col("n_group") >= LEAST, _distance() * CHI2_CORE / F.greatest("edge", F.lit(CHI2_CORE))))
-    return out.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
-        (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)).alias("kept"),
+    cum = bins.withColumn("below", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
+    edge = cum.filter(F.col("below") < F.col("all") * CORE).groupBy("g").agg(F.expm1((F.max("bin") + 1) / 32.0).alias("edge"), F.max("all").alias("n_group"))
+    final = params.join(edge, "g")
+    return materialize(pools.join(final, "g").select("lang", "source", F.struct(*[c for c in final.columns if c != "g"]).alias("_fit")))
+
+
+def _judged(rows: DataFrame, fitted: DataFrame, cut: float) -> DataFrame:
+    """Adds distance and kept to featured rows. A group below LEAST rows rejects nothing."""
+    total = F.lit(0.0)
+    for a, i in enumerate(FEATURES):
+        z = F.lit(0.0)
+        for j in FEATURES[: a + 1]:
+            z = z + F.col(f"_fit.w_{i}_{j}") * (F.col(f"x_{j}") - F.col(f"_fit.m_{j}"))
+        total = total + z * z
+    scaled = total * CHI2_CORE / F.greatest(F.col("_fit.edge"), F.lit(CHI2_CORE))
+    out = salted_join(rows, fitted, ["lang", "source"], F.col("doc_id")).withColumn("distance", F.when(F.col("_fit.n_group") >= LEAST, scaled))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut))
+
+
+def judge(docs: DataFrame, steps: int = 3, cut: float = CHI2_CUT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, lang, source, the counts, base_failed, distance, kept.
+
+    Null text has no words and fails the base rules; null lang and source are
+    values of their own; repeated rows are judged alike; an empty table gives
+    an empty result and extra columns are not read.
+    """
+    rows = materialize(_features(statistics(docs)).withColumn("base_failed", base_failed()))
+    return _judged(rows, fit(rows, steps), cut).select(
+        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"
     )
+
+
+def accept(docs: DataFrame, steps: int = 3, cut: float = CHI2_CUT) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns. The verdict is worked out in the row, so texts aren't shuffled."""
+    packed = docs.select("doc_id", "lang", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    narrow = materialize(_features(statistics(docs)).withColumn("base_failed", base_failed()))
+    rows = _features(statistics(packed, ("doc_id", "lang", "source", "_row"))).withColumn("base_failed", base_failed()).filter("not base_failed")
+    return _judged(rows, fit(narrow, steps), cut).filter("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

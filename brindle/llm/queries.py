@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import exact, mixing, packing, quality, simhash, substring, urls
+from brindle.llm import exact, extract, langid, lm, mixing, packing, quality, simhash, substring, urls
 from brindle.llm.common import documents, pages
 
 
@@ -18,6 +18,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages(spark, sf_dir))
 
@@ -30,6 +34,14 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(pages(spark, sf_dir))
+
+
 def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(documents(spark, sf_dir))
 
@@ -41,9 +53,12 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_quality": op2_quality,
+    "op3_langid": op3_langid,
     "op4_urls": op4_urls,
     "op5_simhash": op5_simhash,
     "op6_substring": op6_substring,
+    "op7_lm": op7_lm,
+    "op8_extract": op8_extract,
     "op9_exact": op9_exact,
     "op10_pack": op10_pack,
 }
