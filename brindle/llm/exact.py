@@ -152,7 +152,7 @@ def dedup(docs: DataFrame, incoming: Column | None = None, key_bytes: int = 32,
     repeated = materialize(groups.filter("n > 1"))
 
     rows = materialize(
-        hashed.drop("incoming").join(repeated, "key", "left").select("doc_id", "digest", "key", "n", "top", F.when(F.col("n") > 1, F.col("text")).alias("text"))
+        hashed.drop("incoming").join(repeated.hint("merge"), "key", "left").select("doc_id", "digest", "key", "n", "top", F.when(F.col("n") > 1, F.col("text")).alias("text"))
     )
     return _byte_checked(rows)
 
