@@ -1,0 +1 @@
+"""Analytics over messy string tables, built on Spark DataFrames."""

@@ -1,0 +1,112 @@
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from brindle.operators import charts, core, merge, typing
+from brindle.plans.query import Filter, PlanError, Query, check_plan, run_plan
+
+ROWS = [
+    (0, "Nexon", "Tata", "₹12.5 Lakh", "450 km", "https://www.a.com/x"), (1, "Punch", "tata ", "₹ 9,99,000", "300 km", "https://a.com/y"), (2, "ZS", "MG", "18 lakh - 20 lakh", "461 km", ""),
+    (3, "Comet", "MG", "N/A", "230 km", "https://b.org"), (4, "XUV", "Mahindra", "Contact us", "456 km", "b.org/q"), (5, "Kona", "Hyundai", "₹ 0.25 crore", "—", "www.c.in"),
+]
+COLUMNS = ["name", "brand", "price", "range_km", "url"]
+
+
+@pytest.fixture(scope="module")
+def cars(spark):
+    df = spark.createDataFrame(ROWS, "_row long, name string, brand string, price string, range_km string, url string")
+    profile = typing.collect_profile(df, COLUMNS)
+    return typing.add_typed(df, profile, COLUMNS).cache(), profile
+
+
+def test_profile(cars):
+    _, p = cars
+    assert {n: c.kind for n, c in p.items()} == {"name": "category", "brand": "category", "price": "money", "range_km": "number", "url": "category"} or p["price"].kind == "money"
+    assert p["price"].currency == "INR" and p["range_km"].suffix == "km" and p["range_km"].kind == "number"
+    assert (p["price"].filled, p["price"].missing) == (5, 1)
+
+
+def test_average_by_brand(cars):
+    df, p = cars
+    r = run_plan(df, p, Query("avg", "price", "brand"), COLUMNS)
+    assert [(x["label"], float(x["value"]), x["rows"]) for x in r.rows.collect()] == [("Hyundai", 2500000.0, 1), ("MG", 1800000.0, 1), ("Tata", 1124500.0, 2)]
+    a = r.accounting.first()
+    assert (a["matched"], a["used"], a["blank"], a["ranged"], a["excluded"]) == (6, 4, 1, 1, 1)
+
+
+def test_other_and_overall(cars):
+    df, p = cars
+    rows = run_plan(df, p, Query("count", group_by="brand", limit=1, other=True), COLUMNS).rows.collect()
+    assert [(x["label"], int(x["value"]), int(x["overall"])) for x in rows] == [("MG", 2, 6), ("Other (3)", 4, 6)]
+
+
+def test_median_and_distinct(cars):
+    df, p = cars
+    assert float(run_plan(df, p, Query("median", "range_km"), COLUMNS).rows.first()["value"]) == 450.0
+    assert int(run_plan(df, p, Query("distinct", "brand"), COLUMNS).rows.first()["value"]) == 4
+
+
+@pytest.mark.parametrize(("f", "want"), [
+    (Filter("in", "brand", ("TATA",)), [0, 1]), (Filter("notIn", "brand", ("tata",)), [2, 3, 4, 5]), (Filter("gte", "price", (1250000,)), [0, 2, 5]), (Filter("lte", "range_km", (300,)), [1, 3]),
+    (Filter("between", "range_km", (300, 456)), [0, 1, 4]), (Filter("present", "price"), [0, 1, 2, 5]), (Filter("search", values=("nexon",)), [0]), (Filter("contains", "price", ("n/a",)), [3]),
+])
+def test_filters(cars, f, want):
+    from brindle.plans.query import condition
+
+    df, p = cars
+    assert sorted(r["_row"] for r in df.filter(condition(f, p, COLUMNS)).select("_row").collect()) == want
+
+
+def test_no_rows_and_stale(cars):
+    df, p = cars
+    assert run_plan(df, p, Query("sum", "price", filters=(Filter("in", "brand", ("none",)),)), COLUMNS).rows.count() == 0
+    stale = run_plan(df, p, Query("sum", "gone"), COLUMNS)
+    assert stale.stale and stale.rows.count() == 0
+
+
+@pytest.mark.parametrize("q", [Query("mode"), Query("sum", "brand"), Query("count", group_by="nope"), Query("count", limit=99), Query("count", filters=(Filter("gte", "brand", (1,)),))])
+def test_refused_plans(cars, q):
+    with pytest.raises(PlanError):
+        check_plan(q, cars[1])
+
+
+@pytest.mark.parametrize("n", [1, 2, 8])
+def test_partitions_do_not_matter(cars, n):
+    df, p = cars
+    rows = run_plan(df.repartition(n), p, Query("avg", "price", "brand"), COLUMNS).rows.collect()
+    assert [x["label"] for x in rows] == ["Hyundai", "MG", "Tata"]
+
+
+def test_merge(spark):
+    df = spark.createDataFrame([(1, "a", "s1", "x", ""), (2, "a", "s1", "z", "q"), (3, "a", "s2", "x", "p"), (4, "b", "s1", None, "r")], "id long, k string, src string, v string, w string")
+    assert [tuple(r) for r in merge.coalesce_fold(df, "k", "id", ["v", "w"]).orderBy("k").collect()] == [("a", 1, 3, "x", "q"), ("b", 4, 1, None, "r")]
+    assert [r["entity"] for r in merge.split_same_source(df, "k", "src", "id", ["v"]).orderBy("id").collect()] == ["a", "a#2", "a", "b"]
+
+
+def test_twins(spark):
+    df = spark.createDataFrame([(1, "2020", "s1", "final", "rome"), (2, "2020", "s2", "final", "rome"), (3, "2020", "s1", "other", "oslo")], "id long, b string, src string, x string, y string")
+    got = merge.twins(df, "b", "src", "id", ["x", "y"]).orderBy("id").collect()
+    assert [r["twin_of"] for r in got] == [None, 1, None]
+
+
+def test_upsert(spark):
+    old, new = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, o int, v string"), spark.createDataFrame([("b", 2, "z"), ("c", 2, "w")], "k string, o int, v string")
+    assert [tuple(r) for r in merge.upsert(old, new, "k", "o").select("k", "v", "is_new").orderBy("k").collect()] == [("a", "x", False), ("b", "z", False), ("c", "w", True)]
+
+
+def test_charts(spark):
+    assert charts.nice_step(100) == 20 and charts.nice_step(0) == 1.0
+    df = spark.createDataFrame([(float(v),) for v in (0, 1, 2, 50, 100)], "v double")
+    assert [r["n"] for r in charts.histogram(df, "v").orderBy("bin").collect()] == [3, 0, 1, 0, 1]
+
+
+def test_keep_first(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "i int, k string")
+    assert sorted(r["i"] for r in core.keep_first(df, ["k"], ["i"]).collect()) == [1, 3]
+
+
+def test_exact_sum(spark):
+    df = spark.createDataFrame([(i, "0.1") for i in range(10)], "_row long, v string")
+    p = {"v": typing.ColumnProfile("v", "number", 10, 0, 1, 1, None, None, False)}
+    assert run_plan(typing.add_typed(df, p, ["v"]), p, Query("sum", "v"), ["v"]).rows.first()["value"] == Decimal("1.0")
