@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import numbers, periods, text
-from brindle.operators import charts, core, merge, places, typing
+from brindle.operators import charts, core, merge, places, rows, typing
 from brindle.plans.query import Filter, Query, run_plan
 from brindle.sources import readers
 from brindle.streaming import live
@@ -563,6 +563,106 @@ def lead_score(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select("s_suppkey", score.alias("score"))
 
 
+# ---------------------------------------------------------------- rows
+@register("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Home' WHEN 1 THEN 'x' WHEN 2 THEN 'What is it?' ELSE c_name END AS name FROM customer WHERE c_custkey % 5 > 2")
+def junk_rows(spark, sf_dir):
+    k = F.col("c_custkey") % 5
+    df = read(spark, sf_dir, "customer").select("c_custkey", F.when(k == 0, "Home").when(k == 1, "x").when(k == 2, "What is it?").otherwise(F.col("c_name")).alias("name"))
+    return df.filter(~rows.junk_row(F.col("name")))
+
+
+@register("SELECT c_custkey, c_mktsegment || ' ' || c_name AS title, c_mktsegment AS c_mkt_segment, '' AS gone FROM customer")
+def map_columns(spark, sf_dir):
+    df = read(spark, sf_dir, "customer")
+    out = rows.map_columns(df, {"c_custkey": ["c_custkey"], "title": ["c_mktsegment", "c_name"], "c_mkt_segment": [], "gone": ["nope"]})
+    return out.withColumn("c_custkey", F.col("c_custkey").cast("long"))
+
+
+@register("SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def value_filter(spark, sf_dir):
+    return rows.value_filter(read(spark, sf_dir, "customer"), "c_mktsegment", ["building", " Machinery"]).select("c_custkey")
+
+
+@register("SELECT c_custkey FROM customer")
+def value_filter_no_match(spark, sf_dir):
+    return rows.value_filter(read(spark, sf_dir, "customer"), "c_mktsegment", ["nothing of it"]).select("c_custkey")
+
+
+@register("""
+    SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'failed' WHEN event_id % 6 = 1 THEN 'failed' WHEN event_id % 6 = 2 THEN 'blocked' WHEN event_id % 6 = 3 THEN 'failed' WHEN event_id % 6 = 4 THEN 'empty' ELSE 'ok' END AS outcome FROM events
+""")
+def page_outcomes(spark, sf_dir):
+    k = F.pmod("event_id", F.lit(6))
+    status = F.when(k == 1, 404).when(k == 2, 403).when(k == 3, 502).when(k > 3, 200)
+    return read(spark, sf_dir, "events").select("event_id", rows.page_outcome(status, F.col("event_type"), F.when(k == 5, 2).otherwise(0))["outcome"].alias("outcome"))
+
+
+@register("SELECT doc_id FROM (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS s FROM documents) WHERE s <= 20000")
+def within_budget(spark, sf_dir):
+    return rows.within_budget(read(spark, sf_dir, "documents"), ["source"], ["doc_id"], F.col("n_chars"), 20_000).select("doc_id")
+
+
+@register("SELECT r_regionkey AS k, r_name, CAST(NULL AS VARCHAR) AS n_name FROM region UNION ALL SELECT n_nationkey, NULL, n_name FROM nation")
+def align_schemas(spark, sf_dir):
+    return rows.align(read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), "r_name"), read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name"))
+
+
+@register("SELECT c_custkey, n FROM customer JOIN (SELECT c_nationkey, count(DISTINCT c_mktsegment) AS n FROM customer GROUP BY 1) USING (c_nationkey)")
+def fan_out(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    kinds = c.groupBy("c_nationkey").agg(F.count_distinct("c_mktsegment").alias("n"))
+    return rows.fan_out(c.select("c_custkey", "c_nationkey"), "c_nationkey", lambda hosts: hosts.join(kinds, "c_nationkey")).select("c_custkey", "n")
+
+
+@register("SELECT DISTINCT 'n' || n_nationkey AS url, CASE WHEN n_nationkey < 10 AND EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey) THEN 'used' WHEN n_nationkey < 15 THEN 'planned' ELSE 'found' END AS status, CASE WHEN n_nationkey < 10 THEN (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) ELSE 0 END AS n FROM nation")
+def sources_of(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("url"))
+    s = read(spark, sf_dir, "supplier").filter("s_nationkey < 10").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("url"))
+    return rows.sources_of(n.filter("n_nationkey < 15"), n.filter("n_nationkey >= 5"), s)
+
+
+@register("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
+def last_wins(spark, sf_dir):
+    return rows.last_wins(read(spark, sf_dir, "events"), "user_id", "event_id").select("user_id", "event_type", "event_id")
+
+
+@register("WITH m AS (SELECT max(CAST(ts AS DATE)) AS t FROM events) SELECT event_id, CASE WHEN d <= 0 THEN 'Today' WHEN d = 1 THEN 'Yesterday' WHEN d <= 7 THEN 'Previous 7 days' WHEN d <= 30 THEN 'Previous 30 days' ELSE 'Older' END AS bucket FROM (SELECT event_id, t - CAST(ts AS DATE) AS d FROM events, m)")
+def day_buckets(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"))
+    return e.select("event_id", rows.day_bucket(F.col("day"), e.agg(F.max("day")).scalar()).alias("bucket"))
+
+
+@register("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '1,23,' || lpad(CAST(p_size AS VARCHAR), 2, '0') || ',000' ELSE CAST(p_size AS VARCHAR) END AS text FROM part")
+def indian_grouping(spark, sf_dir):
+    n = F.when(F.col("p_partkey") % 3 == 0, F.lit(12_300_000) + F.col("p_size") * 1000).otherwise(F.col("p_size"))
+    return read(spark, sf_dir, "part").select("p_partkey", rows.grouped_digits(n).alias("text"))
+
+
+@register("""
+    WITH m AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS key FROM orders) SELECT o_orderkey, key FROM m
+""")
+def month_and_year(spark, sf_dir):
+    month, year = periods.parse_period(F.date_format("o_orderdate", "MMMM")), periods.parse_period(F.date_format("o_orderdate", "yyyy"))
+    df = read(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(F.struct(month.alias("m"), year.alias("y")))).alias("p"))
+    return df.select("o_orderkey", periods.month_and_year(F.col("p.m"), F.col("p.y"))["key"].alias("key"))
+
+
+@register("""
+    WITH u AS (SELECT o_orderpriority AS label, CASE WHEN o_orderkey % 4 = 0 THEN 'USD' ELSE 'INR' END AS unit, o_totalprice AS value, o_orderkey AS k FROM orders)
+    SELECT k, unit, (SELECT count(*) FROM u WHERE unit <> 'INR') AS omitted FROM u WHERE unit = 'INR'
+""")
+def majority_unit(spark, sf_dir):
+    u = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 4 == 0, "USD").otherwise("INR").alias("unit"), F.col("o_totalprice").alias("value"))
+    return charts.unit_series(u, "k", "value", "unit", "k").select("k", "unit", "omitted")
+
+
+@register("SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS v FROM customer")
+def fill_if_empty(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    old = c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, F.lit("[]")).otherwise(F.col("c_name")).alias("v"))
+    return merge.fill_if_empty(old, c.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v")), "k", ["v"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total price by priority, highest first, top 3 and the rest, with the overall value."""
     return _plan(spark, sf_dir, Query("sum", "price", "priority", limit=3, other=True))
