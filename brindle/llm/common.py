@@ -83,6 +83,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a materialized table that no later step reads."""
+    for file in df.inputFiles()[:1]:
+        _remove(df.sparkSession, file.rsplit("/", 1)[0])
+
+
 # ---------------------------------------------------------------- joins
 def salted_join(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, salts: int = 32, how: str = "left") -> DataFrame:
     """Joins per-key values to many rows where one key may hold most rows.

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, release, text_of
+from brindle.llm.common import discard, materialize, release, text_of
 
 #: Words of a window, and of an anchor. A window holds WINDOW - ANCHOR + 1 anchors' places.
 WINDOW, ANCHOR = 13, 6
@@ -110,30 +110,53 @@ def extend(docs: DataFrame, seeds: DataFrame, window: int, anchor: int) -> DataF
     return docs.join(seeds, "doc_id").select("doc_id", "text", "found").mapInArrow(grow, "w long, doc_id long")
 
 
+def whole_copies(docs: DataFrame, window: int) -> DataFrame:
+    """doc_id of each document of at least ``window`` words whose whole word sequence a smaller document has too."""
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pc.ascii_split_whitespace(batch.column(1))
+            rows = [(d, " ".join(w for w in words if w), sum(map(bool, words))) for d, words in zip(batch.column(0).to_pylist(), lists.to_pylist(), strict=True)]
+            long = [(d, hashlib.sha256(t.encode()).digest()) for d, t, n in rows if n >= window]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in long], pa.int64()), pa.array([h for _, h in long], pa.binary())], names=["doc_id", "digest"])
+
+    digests = docs.mapInArrow(digest, "doc_id long, digest binary")
+    least = digests.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    return digests.join(least, "digest").filter("lo < doc_id").select("doc_id").distinct()
+
+
 def cut(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, kept_sha256: each text without its repeats (repeats.found: window hashes)."""
+    """doc_id, n_words, n_removed, kept_text, kept_sha256: each text without its repeats.
+
+    ``repeats`` holds a document's window hashes (found), or null where the
+    whole document repeats a smaller one.
+    """
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch.column(0), batch.column(2)
+            ids, found, copied = batch.column(0), batch.column(2), batch.column(3).to_pylist()
             out: list[list] = [[], [], [], [], []]
             for first, kinds, index, words, offsets in _chunks(batch.column(1)):
                 kinds_at = np.array(kinds, object)
                 whole = _grams(words, window)
                 for r in range(len(offsets) - 1):
                     lo, hi = offsets[r], offsets[r + 1]
-                    gone = np.zeros(hi - lo + 1, np.int64)
                     hashes = _sets(found, first + r)
-                    if len(hashes) and hi - lo >= window:
+                    numbers = index[lo:hi]
+                    if copied[first + r] and hi - lo >= window:
+                        numbers = numbers[:0]
+                    elif len(hashes) and hi - lo >= window:
                         starts = np.flatnonzero(np.isin(whole[lo : hi - window + 1], hashes))
+                        gone = np.zeros(hi - lo + 1, np.int64)
                         gone[starts] += 1
                         np.subtract.at(gone, starts + window, 1)
-                    keep = np.cumsum(gone)[:-1] == 0
-                    text = " ".join(kinds_at[index[lo:hi][keep]])
-                    for column, value in zip(out, (ids[first + r].as_py(), int(hi - lo), int((~keep).sum()), text, hashlib.sha256(text.encode()).hexdigest()), strict=True):
+                        numbers = numbers[np.cumsum(gone)[:-1] == 0]
+                    text = " ".join(kinds_at[numbers].tolist())
+                    for column, value in zip(out, (ids[first + r].as_py(), int(hi - lo), int(hi - lo) - len(numbers), text, hashlib.sha256(text.encode()).hexdigest()), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    return docs.join(repeats, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(drop, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    marked = docs.join(repeats.withColumn("hit", F.lit(True)), "doc_id", "left")
+    copied = F.coalesce(F.col("hit") & F.col("found").isNull(), F.lit(False)).alias("copied")
+    return marked.select("doc_id", "text", "found", copied).mapInArrow(drop, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -144,6 +167,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     inside one document, or between rows with one doc_id, is left. Anchors and
     windows meet as (hash, smallest doc_id) pairs summed before the shuffle, so
     a passage in a third of all documents costs a row for each task, not pairs.
+    A document that repeats a smaller one as a whole is found by digest; it is
+    cut whole and adds nothing that the smaller one lacks.
     Null and wordless texts have no words and keep the empty text; rows without
     a doc_id are neither cut nor a source; an empty table gives an empty result
     and other columns are not read.
@@ -152,13 +177,22 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
         raise ValueError("an anchor must be shorter than a window")
     spark = docs.sparkSession
     texts = docs.select("doc_id", text_of().alias("text"))
-    found = anchors(texts.filter("doc_id is not null"), window, anchor)
-    shared = found.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("a")
-    seeds = materialize(found.join(shared, "a").groupBy("doc_id").agg(F.collect_set("a").alias("found")))
+    owned = texts.filter("doc_id is not null")
+    copies = materialize(whole_copies(owned, window))
+    found = anchors(owned, window, anchor)
+    # What is shared is written before it is joined back: the sums' shuffle files can go, and the join's two plain exchanges let Spark split a hot hash.
+    shared = materialize(found.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("a"))
+    release(spark)
+    seeds = materialize(found.join(shared.hint("merge"), "a").groupBy("doc_id").agg(F.collect_set("a").alias("found")).join(copies, "doc_id", "left_anti"))
+    discard(shared)
+    release(spark)
+    windows = materialize(extend(owned, seeds, window, anchor))
+    discard(seeds)
     release(spark)
-    windows = materialize(extend(texts.filter("doc_id is not null"), seeds, window, anchor))
+    least = materialize(windows.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w", "lo"))
     release(spark)
-    least = windows.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w", "lo")
-    repeats = materialize(windows.join(least, "w").filter("lo < doc_id").groupBy("doc_id").agg(F.collect_set("w").alias("found")))
+    repeats = materialize(windows.join(least.hint("merge"), "w").filter("lo < doc_id").groupBy("doc_id").agg(F.collect_set("w").alias("found")))
+    discard(windows)
+    discard(least)
     release(spark)
-    return cut(texts, repeats, window)
+    return cut(texts, repeats.unionByName(copies.withColumn("found", F.lit(None).cast("array<bigint>"))), window)
