@@ -195,7 +195,8 @@ def _judged(rows: DataFrame, fitted: DataFrame, cut: float) -> DataFrame:
         total = total + z * z
     scaled = total * CHI2_CORE / F.greatest(F.col("_fit.edge"), F.lit(CHI2_CORE))
     out = salted_join(rows, fitted, ["lang", "source"], F.col("doc_id")).withColumn("distance", F.when(F.col("_fit.n_group") >= LEAST, scaled))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut))
+    # One CASE, so that no part of it is pushed below the join and counted a second time there.
+    return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.col("distance"), F.lit(0.0)) <= cut))
 
 
 def judge(docs: DataFrame, steps: int = 3, cut: float = CHI2_CUT) -> DataFrame:
@@ -215,5 +216,5 @@ def accept(docs: DataFrame, steps: int = 3, cut: float = CHI2_CUT) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their own columns. The verdict is worked out in the row, so texts aren't shuffled."""
     packed = docs.select("doc_id", "lang", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     narrow = materialize(_features(statistics(docs)).withColumn("base_failed", base_failed()))
-    rows = _features(statistics(packed, ("doc_id", "lang", "source", "_row"))).withColumn("base_failed", base_failed()).filter("not base_failed")
+    rows = _features(statistics(packed, ("doc_id", "lang", "source", "_row"))).withColumn("base_failed", base_failed())
     return _judged(rows, fit(narrow, steps), cut).filter("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

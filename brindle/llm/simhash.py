@@ -99,7 +99,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
 
 # ---------------------------------------------------------------- by similarity
 #: Independent short fingerprints of one document, and their bits.
-TABLES, BITS = 8, 32
+TABLES, BITS = 12, 32
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -128,24 +128,25 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, table
 
     64 bits at distance 2 miss most pairs of similarity 0.8, so several short
     fingerprints are balled instead: a pair of similarity 0.95 meets in one of
-    8 tables of 32 bits with probability 0.999, one of 0.9 with 0.96. Inside a
-    variant each document is offered to the smallest and to the one before it;
-    offers are distinct pairs and are checked on the whole shingle sets.
+    12 tables of 32 bits with probability 0.9999, one of 0.9 with 0.99, one of
+    0.84 with 0.88, one of 0.8 with 0.78. Documents of one fingerprint are offered to the smallest of
+    them; inside a variant the fingerprints' smallest documents are offered to
+    the first and to the one before. A variant holds few fingerprints, and
+    offers are distinct pairs that are checked on the whole shingle sets.
     """
     texts = docs.select("doc_id", "text").filter("doc_id is not null")
     prints = materialize(_short_prints(shingle_sets(texts, shingle).filter(F.size("h") > 0), tables, bits))
     masks = [0] + [sum(1 << i for i in c) for k in range(1, radius // 2 + 1) for c in combinations(range(bits), k)]
-    in_print = Window.partitionBy("fp").orderBy("doc_id")
-    same = prints.select("doc_id", F.min("doc_id").over(in_print).alias("least"), F.lag("doc_id").over(in_print).alias("last"))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+    same = prints.join(nodes.select("fp", F.col("doc_id").alias("least")), "fp").select("doc_id", "least", F.lit(None).cast("long").alias("last"))
     balls = nodes.select("doc_id", "fp", F.explode(F.lit(masks).cast("array<bigint>")).alias("mask")).select("doc_id", F.col("fp").bitwiseXOR(F.col("mask")).alias("v"))
     in_ball = Window.partitionBy("v").orderBy("doc_id")
     near = balls.select("doc_id", F.min("doc_id").over(in_ball).alias("least"), F.lag("doc_id").over(in_ball).alias("last"))
-    offers = same.union(near).filter("least <> doc_id").select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.array("least", "last"))).alias("b"))
+    offers = same.union(near).filter("least <> doc_id").select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.array_compact(F.array("least", "last")))).alias("b"))
     pairs = materialize(offers.filter("a <> b").distinct())
     release(docs.sparkSession)
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(shingle_sets(texts.join(ids, "doc_id", "left_semi"), shingle))
+    sets = materialize(shingle_sets(texts.join(ids.hint("merge"), "doc_id", "left_semi"), shingle))
     release(docs.sparkSession)
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), sets.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
@@ -160,4 +161,4 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **optio
     """
     links = materialize(near_pairs(docs, shingle, similarity, **options))
     gone = components(links).filter("node <> root").select(F.col("node").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
