@@ -110,16 +110,9 @@ def extend(docs: DataFrame, seeds: DataFrame, window: int, anchor: int) -> DataF
     return docs.join(seeds, "doc_id").select("doc_id", "text", "found").mapInArrow(grow, "w long, doc_id long")
 
 
-def whole_copies(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id of each document of at least ``window`` words whose whole word sequence a smaller document has too."""
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = pc.ascii_split_whitespace(batch.column(1))
-            rows = [(d, " ".join(w for w in words if w), sum(map(bool, words))) for d, words in zip(batch.column(0).to_pylist(), lists.to_pylist(), strict=True)]
-            long = [(d, hashlib.sha256(t.encode()).digest()) for d, t, n in rows if n >= window]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in long], pa.int64()), pa.array([h for _, h in long], pa.binary())], names=["doc_id", "digest"])
-
-    digests = docs.mapInArrow(digest, "doc_id long, digest binary")
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """doc_id of each document whose whole text a smaller document has too."""
+    digests = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     return digests.join(least, "digest").filter("lo < doc_id").select("doc_id").distinct()
 
@@ -178,7 +171,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     spark = docs.sparkSession
     texts = docs.select("doc_id", text_of().alias("text"))
     owned = texts.filter("doc_id is not null")
-    copies = materialize(whole_copies(owned, window))
+    copies = materialize(whole_copies(owned))
     found = anchors(owned, window, anchor)
     # What is shared is written before it is joined back: the sums' shuffle files can go, and the join's two plain exchanges let Spark split a hot hash.
     shared = materialize(found.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("a"))
