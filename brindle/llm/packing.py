@@ -22,7 +22,11 @@ GROUP_PIECES = 20_000
 #: Words whose ids are laid out at once.
 CHUNK_WORDS = 400_000
 
+#: Words whose ids a worker keeps between batches: bounds its memory; other words are encoded again.
+CACHE_WORDS = 400_000
+
 _loaded: dict[str, object] = {}
+_known: dict[str, dict[str, np.ndarray]] = {}
 
 
 def tokenizer_path() -> str:
@@ -52,10 +56,16 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray]]:
     coded = split.flatten().dictionary_encode()
     index, kinds = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
     del split
-    lists, step = [], 20_000
-    encode = _tokenizer(path).encode_batch_fast
-    for i in range(0, len(kinds), step):
-        lists += [np.array(e.ids, np.uint32) for e in encode(kinds[i : i + step], add_special_tokens=False)]
+    known, step = _known.setdefault(path, {}), 20_000
+    lists = [known.get(w) for w in kinds]
+    new = [k for k, x in enumerate(lists) if x is None]
+    often = np.bincount(index, minlength=len(kinds)) > 1
+    for i in range(0, len(new), step):
+        part = new[i : i + step]
+        for k, e in zip(part, _tokenizer(path).encode_batch_fast([kinds[k] for k in part], add_special_tokens=False), strict=True):
+            lists[k] = np.array(e.ids, np.uint32)
+            if often[k] and len(known) < CACHE_WORDS:
+                known[kinds[k]] = lists[k]
     sizes = np.array([len(x) for x in lists], np.int64)
     flat = np.concatenate(lists) if lists else np.empty(0, np.uint32)
     starts = np.cumsum(sizes) - sizes
