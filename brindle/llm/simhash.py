@@ -98,8 +98,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
 
 
 # ---------------------------------------------------------------- by similarity
-#: Independent short fingerprints of one document, and their bits.
-TABLES, BITS = 12, 32
+#: Independent keyed fingerprints of one document, and their bits below the key.
+TABLES, BITS = 14, 20
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -107,17 +107,23 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", F.array_distinct(shingle_hashes(ascii_lower(text_of()), size)).alias("h"))
 
 
-def _short_prints(sets: DataFrame, tables: int, bits: int) -> DataFrame:
-    """(doc_id, fp): one fingerprint for each table, the table's number above its bits."""
+def _keyed_prints(sets: DataFrame, tables: int, bits: int) -> DataFrame:
+    """(doc_id, fp): for each table ``bits`` fingerprint bits, and above them the high bits of the least shingle hash.
+
+    Each table mixes the hashes anew. The key above the bits keeps unrelated
+    documents apart however many there are; only the bits are varied.
+    """
+    low = np.uint64((1 << bits) - 1)
+
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             offsets = lists.offsets.to_numpy().astype(np.int64)
-            values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for t in range(tables):
+            values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)[: offsets[-1]]
+            for t in range(tables if len(lists) else 0):
                 mixed = (values ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xFF51AFD7ED558CCD)
                 mixed ^= mixed >> np.uint64(32)
-                fp = majority_bits(mixed, offsets, bits) | np.uint64(t << bits)
+                fp = majority_bits(mixed, offsets, -(-bits // 8) * 8) & low | np.minimum.reduceat(mixed, offsets[:-1]) & ~low
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return sets.mapInArrow(vote, "doc_id long, fp long")
@@ -127,15 +133,17 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, table
     """Verified links (a, b), a > b, between documents whose word shingles have at least ``similarity`` (Jaccard).
 
     64 bits at distance 2 miss most pairs of similarity 0.8, so several short
-    fingerprints are balled instead: a pair of similarity 0.95 meets in one of
-    12 tables of 32 bits with probability 0.9999, one of 0.9 with 0.99, one of
-    0.84 with 0.88, one of 0.8 with 0.78. Documents of one fingerprint are offered to the smallest of
+    fingerprints are balled instead, each keyed by the least shingle hash of
+    its table: a pair of similarity 0.8 meets in one of 14 tables of 20 bits
+    with probability 0.995, one of 0.84 with 0.999, one of 0.9 or more with
+    0.99999. Documents of one keyed fingerprint are offered to the smallest of
     them; inside a variant the fingerprints' smallest documents are offered to
-    the first and to the one before. A variant holds few fingerprints, and
-    offers are distinct pairs that are checked on the whole shingle sets.
+    the first and to the one before. The key holds variants to documents that
+    share a shingle, so they don't fill up as the corpus grows, and offers are
+    distinct pairs that are checked on the whole shingle sets.
     """
     texts = docs.select("doc_id", "text").filter("doc_id is not null")
-    prints = materialize(_short_prints(shingle_sets(texts, shingle).filter(F.size("h") > 0), tables, bits))
+    prints = materialize(_keyed_prints(shingle_sets(texts, shingle).filter(F.size("h") > 0), tables, bits))
     masks = [0] + [sum(1 << i for i in c) for k in range(1, radius // 2 + 1) for c in combinations(range(bits), k)]
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     same = prints.join(nodes.select("fp", F.col("doc_id").alias("least")), "fp").select("doc_id", "least", F.lit(None).cast("long").alias("last"))

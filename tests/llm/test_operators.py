@@ -233,6 +233,22 @@ def test_near_pairs(spark):
     assert left == {*range(20), *range(200, 220), None, 500, 501}
 
 
+def test_near_pairs_at_the_threshold(spark):
+    """Pairs just above similarity 0.8 are nearly all linked, and none below it is."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(150):
+        words = [f"v{x}" for x in rng.integers(0, 50_000, 240)]
+        other = list(words)
+        for at in range(20, 220, 25 if k % 2 else 20)[: 5 if k % 2 else 10]:
+            other[at] = "changed"
+        texts += [" ".join(words), " ".join(other)]
+    sets = [{tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for t in texts]
+    alike = {(2 * k + 1, 2 * k) for k in range(150) if len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1])}
+    got = {(r["a"], r["b"]) for r in simhash.near_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert 70 <= len(alike) <= 80 and got <= alike and len(got) >= 0.97 * len(alike)
+
+
 def test_simhash_empty(empty):
     assert simhash.near_groups(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
