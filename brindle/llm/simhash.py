@@ -98,8 +98,10 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
 
 
 # ---------------------------------------------------------------- by similarity
-#: Independent keyed fingerprints of one document, and their bits below the key.
-TABLES, BITS = 14, 20
+#: Of so many documents one is counted to learn which shingles are common: those in LEAST_SEEN counted ones or more, the MOST_TOLD most common.
+SAMPLE, LEAST_SEEN, MOST_TOLD = 32, 3, 250_000
+#: Bits of a document's parity sketch, and hashes and documents that one numpy step takes.
+SKETCH, STEP_HASHES, STEP_DOCS = 1024, 500_000, 2_000
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -107,58 +109,119 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", F.array_distinct(shingle_hashes(ascii_lower(text_of()), size)).alias("h"))
 
 
-def _keyed_prints(sets: DataFrame, tables: int, bits: int) -> DataFrame:
-    """(doc_id, fp): for each table ``bits`` fingerprint bits, and above them the high bits of the least shingle hash.
+def _steps(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, offsets, uint64 hashes) of slices of bounded size; the lists are the batch's second column."""
+    lists = batch.column(1)
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    row = 0
+    while row < len(lists):
+        stop = min(len(lists), row + STEP_DOCS, max(row + 1, int(np.searchsorted(offsets, offsets[row] + STEP_HASHES, side="right")) - 1))
+        yield row, stop, offsets[row : stop + 1] - offsets[row], values[offsets[row] : offsets[stop]]
+        row = stop
+
+
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of common shingles and their counts in a sample. They only order the shingles: any order gives the same pairs."""
+    some = sets.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(F.explode("h").alias("h"))
+    seen = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "h").limit(MOST_TOLD).toArrow()
+    keys, counts = seen.column(0).to_numpy().view(np.uint64), seen.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, n, pos, h): of each set of n hashes, in one order for all with common ones last, the first n - ceil(similarity n) + 1.
 
-    Each table mixes the hashes anew. The key above the bits keeps unrelated
-    documents apart however many there are; only the bits are varied.
+    Sets that are similar enough share a hash in these parts.
     """
-    low = np.uint64((1 << bits) - 1)
+    told = sets.sparkSession.sparkContext.broadcast(_common(sets))
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = told.value
         for batch in batches:
-            lists = batch.column(1)
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)[: offsets[-1]]
-            for t in range(tables if len(lists) else 0):
-                mixed = (values ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xFF51AFD7ED558CCD)
-                mixed ^= mixed >> np.uint64(32)
-                fp = majority_bits(mixed, offsets, -(-bits // 8) * 8) & low | np.minimum.reduceat(mixed, offsets[:-1]) & ~low
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
-
-    return sets.mapInArrow(vote, "doc_id long, fp long")
-
-
-def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = BITS, radius: int = 2) -> DataFrame:
-    """Verified links (a, b), a > b, between documents whose word shingles have at least ``similarity`` (Jaccard).
-
-    64 bits at distance 2 miss most pairs of similarity 0.8, so several short
-    fingerprints are balled instead, each keyed by the least shingle hash of
-    its table: a pair of similarity 0.8 meets in one of 14 tables of 20 bits
-    with probability 0.995, one of 0.84 with 0.999, one of 0.9 or more with
-    0.99999. Documents of one keyed fingerprint are offered to the smallest of
-    them; inside a variant the fingerprints' smallest documents are offered to
-    the first and to the one before. The key holds variants to documents that
-    share a shingle, so they don't fill up as the corpus grows, and offers are
-    distinct pairs that are checked on the whole shingle sets.
+            for first, stop, offsets, values in _steps(batch):
+                sizes = np.diff(offsets)
+                rows = np.repeat(np.arange(stop - first), sizes)
+                level = np.zeros(len(values), np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+                    level = np.where(keys[at] == values, counts[at], 0)
+                order = np.lexsort((values, level, rows))
+                pos = np.arange(len(values)) - offsets[rows]
+                part = pos < (sizes - np.ceil(sizes * similarity - 1e-6).astype(np.int64) + 1)[rows]
+                ids = batch.column(0).slice(first, stop - first).take(pa.array(rows[part]))
+                cols = [ids, pa.array(sizes[rows[part]].astype(np.int32)), pa.array(pos[part].astype(np.int32)), pa.array(values[order][part].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "pos", "h"])
+
+    return sets.mapInArrow(cut, "doc_id long, n int, pos int, h long")
+
+
+def _sketched(sets: DataFrame) -> DataFrame:
+    """Adds sketch: the parities of the counts of hashes that fall on each of SKETCH bits. Two sketches differ in no more bits than the sets do in hashes."""
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, stop, offsets, values in _steps(batch):
+                rows = np.repeat(np.arange(stop - first), np.diff(offsets))
+                bit = ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % SKETCH
+                odd = (np.bincount(rows * SKETCH + bit, minlength=(stop - first) * SKETCH) & 1).astype(np.uint8)
+                longs = np.packbits(odd.reshape(-1, SKETCH), axis=1).view(np.int64).ravel()
+                sketch = pa.ListArray.from_arrays(np.arange(0, len(longs) + 1, SKETCH // 64, dtype=np.int32), pa.array(longs))
+                part = batch.slice(first, stop - first)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sketch], names=["doc_id", "h", "sketch"])
+
+    return sets.mapInArrow(draw, "doc_id long, h array<long>, sketch array<long>")
+
+
+def _verified(texts: DataFrame, offers: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of the offered pairs (a, b) those whose sets are similar enough: first by sketches, which reject no such pair, then by the sets."""
+    pairs = materialize(offers)
+    release(texts.sparkSession)
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = materialize(_sketched(shingle_sets(texts.join(ids.hint("merge"), "doc_id", "left_semi"), shingle).filter(F.size("h") > 0)))
+    release(texts.sparkSession)
+
+    def side(x: str, *names: str) -> DataFrame:
+        return sets.select(F.col("doc_id").alias(x), *[(F.size("h") if c == "n" else F.col(c)).alias(f"{c}{x}") for c in names])
+
+    apart = F.aggregate(F.zip_with("sketcha", "sketchb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").filter(apart <= (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
+    near = materialize(near.select("a", "b").distinct())
+    both = F.size(F.array_intersect("ha", "hb"))
+    return materialize(near.join(side("a", "h"), "a").join(side("b", "h"), "b").filter(both >= F.lit(similarity) * (F.size("ha") + F.size("hb") - both)).select("a", "b"))
+
+
+def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Verified links (a, b), a > b, that connect exactly what all pairs of at least ``similarity`` (Jaccard of word shingles) connect.
+
+    Two such sets share a hash in their prefixes (see ``_prefixes``), and at
+    the first one enough hashes are left in both. In a first round the
+    documents of each prefix hash are offered to the smallest of them, so a
+    group of near-copies costs one offer a document. In a second one, each two
+    documents of a hash that are not linked yet are offered, whatever their
+    number: those outside the hash's largest linked group to all others.
     """
     texts = docs.select("doc_id", "text").filter("doc_id is not null")
-    prints = materialize(_keyed_prints(shingle_sets(texts, shingle).filter(F.size("h") > 0), tables, bits))
-    masks = [0] + [sum(1 << i for i in c) for k in range(1, radius // 2 + 1) for c in combinations(range(bits), k)]
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    same = prints.join(nodes.select("fp", F.col("doc_id").alias("least")), "fp").select("doc_id", "least", F.lit(None).cast("long").alias("last"))
-    balls = nodes.select("doc_id", "fp", F.explode(F.lit(masks).cast("array<bigint>")).alias("mask")).select("doc_id", F.col("fp").bitwiseXOR(F.col("mask")).alias("v"))
-    in_ball = Window.partitionBy("v").orderBy("doc_id")
-    near = balls.select("doc_id", F.min("doc_id").over(in_ball).alias("least"), F.lag("doc_id").over(in_ball).alias("last"))
-    offers = same.union(near).filter("least <> doc_id").select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.array_compact(F.array("least", "last")))).alias("b"))
-    pairs = materialize(offers.filter("a <> b").distinct())
+    index = _prefixes(shingle_sets(texts, shingle).filter(F.size("h") > 0), similarity)
+    of_hash = Window.partitionBy("h")
+    shared = index.select("*", F.min(F.struct("doc_id", "n", "pos")).over(of_hash).alias("least"), F.count(F.lit(1)).over(of_hash).alias("docs")).filter("docs > 1").drop("docs")
+    shared = materialize(shared)
     release(docs.sparkSession)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(shingle_sets(texts.join(ids.hint("merge"), "doc_id", "left_semi"), shingle))
+
+    def fits(n1: str, pos1: str, n2: str, pos2: str) -> Column:
+        return F.least(F.col(n1) - F.col(pos1), F.col(n2) - F.col(pos2)) >= (F.col(n1) + F.col(n2)) * F.lit(similarity / (1 + similarity)) - 1e-6
+
+    stars = shared.filter("doc_id <> least.doc_id").filter(fits("n", "pos", "least.n", "least.pos"))
+    first = _verified(texts, stars.select(F.col("doc_id").alias("a"), F.col("least.doc_id").alias("b")).distinct(), shingle, similarity)
+    roots = components(first).withColumnRenamed("node", "doc_id")
+    rooted = materialize(shared.join(roots, "doc_id", "left").select("h", "doc_id", "n", "pos", F.coalesce("root", "doc_id").alias("root")))
+    groups = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("docs")).groupBy("h").agg(F.max(F.struct("docs", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"))
+    split = materialize(rooted.join(groups.filter("roots > 1").select("h", "main"), "h"))
     release(docs.sparkSession)
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), sets.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    return pairs.join(left, "a").join(right, "b").filter(both >= F.lit(similarity) * (F.size("ha") + F.size("hb") - both)).select("a", "b")
+    left = split.filter("root <> main").select("h", *[F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "pos", "root")])
+    met = left.join(split, "h").filter("root <> root1").filter(fits("n", "pos", "n1", "pos1"))
+    second = _verified(texts, met.select(F.greatest("doc_id", "doc_id1").alias("a"), F.least("doc_id", "doc_id1").alias("b")).distinct(), shingle, similarity)
+    return first.union(second)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **options) -> DataFrame:

@@ -249,6 +249,35 @@ def test_near_pairs_at_the_threshold(spark):
     assert 70 <= len(alike) <= 80 and got <= alike and len(got) >= 0.97 * len(alike)
 
 
+def test_near_pairs_in_a_crowd(spark):
+    """A long passage puts hundreds of documents below 0.8 of each other into one crowd; links inside it are all found."""
+    rng = np.random.default_rng(12)
+    own = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    passage = own(250)
+    texts = [passage + own(50) for _ in range(400)]
+    texts += [w[:-14] + own(14) for w in texts[:60]]  # near their own original only
+    texts += [w[:-28] + own(28) for w in texts[60:80]]  # some near, some not
+    texts += [passage + own(int(k)) for k in rng.integers(20, 40, 40)]
+    texts = [" ".join(texts[k]) for k in rng.permutation(len(texts))]
+    sets = [{tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for t in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = {k for k in range(len(sets)) if root[k] == k}
+    got = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert 300 < len(want) < 480 and got == want
+
+
 def test_simhash_empty(empty):
     assert simhash.near_groups(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
