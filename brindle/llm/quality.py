@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from brindle.llm.common import SPACE_CHARS, WORD_CLASS, let, materialize, salted_join, words_of
 
 FEATURES = ("len", "mean", "sym", "dup", "rep")
-#: Smallest spread that counts, in each feature's own unit: it keeps a feature
-#: that is constant in a group (no symbols anywhere) from judging tiny changes.
-FLOOR = {"len": 0.30, "mean": 0.05, "sym": 0.15, "dup": 0.25, "rep": 0.15}
+#: Smallest spread that counts, in each feature's own unit; a group's own spread
+#: counts where it is larger. It keeps a feature that is constant in a group (no
+#: symbols anywhere) from judging what a repeated line or phrase or two change.
+FLOOR = {"len": 0.30, "mean": 0.05, "sym": 0.15, "dup": 0.08, "rep": 0.08}
 #: Features are held as whole multiples of 1/UNIT, so sums are exact and reruns agree.
 UNIT = 1024
 #: Share of a group's rows in the concentrated subset.
@@ -107,7 +108,7 @@ def _whitened(moments: DataFrame, scale: Column) -> DataFrame:
     for a, i in enumerate(FEATURES):
         for j in FEATURES[: a + 1]:
             cov = (F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) * scale
-            out = out.withColumn(f"c_{i}_{j}", cov + F.lit(float((FLOOR[i] * UNIT) ** 2 if i == j else 0.0)))
+            out = out.withColumn(f"c_{i}_{j}", F.greatest(cov, F.lit(float((FLOOR[i] * UNIT) ** 2))) if i == j else cov)
     for a, i in enumerate(FEATURES):
         for b, j in enumerate(FEATURES[: a + 1]):
             rest = F.col(f"c_{i}_{j}")

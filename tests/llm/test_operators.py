@@ -91,6 +91,30 @@ def test_quality_rejects_outliers(spark):
     assert {r["doc_id"] for r in quality.accept(df).collect()} == {d for d, k in kept.items() if k}
 
 
+def test_quality_rejects_repetition_alone(spark):
+    """Repeated words alone, or repeated short lines alone, are outliers in a group that has none."""
+    rng = np.random.default_rng(2)
+
+    def lines(n, size=10):
+        words = [f"word{k}" for k in rng.choice(3000, n, replace=False)]
+        return [" ".join(words[i : i + size]) for i in range(0, n, size)]
+
+    good = [(i, "\n".join(lines(int(rng.integers(100, 300)))), "en", "s") for i in range(300)]
+    words = []
+    for _ in range(5):
+        x = " ".join(lines(150)).split()
+        words.append(" ".join(x[:116] + x[:34]))  # 68 of 150 words, on one line
+    short = []
+    for _ in range(5):
+        x = lines(160, 2)
+        short.append("\n".join(x + list(rng.permutation(x))))  # every line twice
+    bad = [(1000 + i, t, "en", "s") for i, t in enumerate(words)] + [(2000 + i, t, "en", "s") for i, t in enumerate(short)]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert not any(got[d]["base_failed"] for d, *_ in bad) and all(got[d]["n_dup_lines"] == 0 for d, *_ in bad[:5]) and all(got[d]["n_dup_lines"] == 80 for d, *_ in bad[5:])
+    assert sum(got[d]["kept"] for d, *_ in good) >= 297 and not any(got[d]["kept"] for d, *_ in bad)
+
+
 def test_quality_empty(empty):
     assert quality.judge(empty).count() == 0 and quality.accept(empty).count() == 0
 
