@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import ascii_lower, components, let, materialize, release, text_of, words_of
+from brindle.llm.common import ascii_lower, components, discard, let, materialize, release, text_of, words_of
 
 
 def shingle_hashes(text: Column, size: int) -> Column:
@@ -188,7 +188,11 @@ def _verified(texts: DataFrame, offers: DataFrame, shingle: int, similarity: flo
     near = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").filter(apart <= (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
     near = materialize(near.select("a", "b").distinct())
     both = F.size(F.array_intersect("ha", "hb"))
-    return materialize(near.join(side("a", "h"), "a").join(side("b", "h"), "b").filter(both >= F.lit(similarity) * (F.size("ha") + F.size("hb") - both)).select("a", "b"))
+    links = materialize(near.join(side("a", "h"), "a").join(side("b", "h"), "b").filter(both >= F.lit(similarity) * (F.size("ha") + F.size("hb") - both)).select("a", "b"))
+    for done in (pairs, sets, near):
+        discard(done)
+    release(texts.sparkSession)
+    return links
 
 
 def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -215,12 +219,15 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
     first = _verified(texts, stars.select(F.col("doc_id").alias("a"), F.col("least.doc_id").alias("b")).distinct(), shingle, similarity)
     roots = components(first).withColumnRenamed("node", "doc_id")
     rooted = materialize(shared.join(roots, "doc_id", "left").select("h", "doc_id", "n", "pos", F.coalesce("root", "doc_id").alias("root")))
+    discard(shared)
     groups = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("docs")).groupBy("h").agg(F.max(F.struct("docs", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"))
     split = materialize(rooted.join(groups.filter("roots > 1").select("h", "main"), "h"))
+    discard(rooted)
     release(docs.sparkSession)
     left = split.filter("root <> main").select("h", *[F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "pos", "root")])
     met = left.join(split, "h").filter("root <> root1").filter(fits("n", "pos", "n1", "pos1"))
     second = _verified(texts, met.select(F.greatest("doc_id", "doc_id1").alias("a"), F.least("doc_id", "doc_id1").alias("b")).distinct(), shingle, similarity)
+    discard(split)
     return first.union(second)
 
 
