@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.numbers import exclusive_quantile
-from brindle.operators.core import keep_first
+from brindle.operators.core import keep_first, majority
+from brindle.operators.quantiles import exclusive_quantile
 
 
 def nice_step(span: float, bins: int = 6) -> float:
@@ -63,13 +63,19 @@ def top_categories(df: DataFrame, column: str, n: int = 6) -> DataFrame:
 
 
 def statistics(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """The statistics that questions may ask for, per group. The quantile needs a group's sorted values; all else is one pass of sums."""
-    values = F.sort_array(F.collect_list(F.col(x)))
-    return df.groupBy(group).agg(
-        F.avg(x).alias("mean"), F.stddev_samp(x).alias("stdev"), F.stddev_pop(x).alias("pstdev"), F.var_samp(x).alias("variance"), F.corr(x, y).alias("correlation"),
+    """The statistics that questions may ask for, per group, in one pass of sums; the quantile is exact and comes from counted values."""
+    sums = df.groupBy(group).agg(
+        F.avg(x).alias("mean"), F.stddev_samp(x).alias("stdev"), F.stddev_pop(x).alias("pstdev"), F.var_samp(x).alias("variance"), F.var_pop(x).alias("pvariance"), F.corr(x, y).alias("correlation"),
         F.covar_samp(x, y).alias("covariance"), F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"),
-        F.exp(F.avg(F.log(x))).alias("geometric_mean"), (F.count(x) / F.sum(1 / F.col(x))).alias("harmonic_mean"), exclusive_quantile(values, 0.9).alias("q90"),
+        F.exp(F.avg(F.log(x))).alias("geometric_mean"), (F.count(x) / F.sum(1 / F.col(x))).alias("harmonic_mean"),
     )
+    q90 = exclusive_quantile(df, [group], x, 0.9).select(F.col(group).alias("_g"), F.col("quantile").alias("q90"))
+    return sums.join(q90, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+
+
+def modes(df: DataFrame, group: str, value: str, order: str) -> DataFrame:
+    """Each group's most frequent value, ties to the one seen first."""
+    return majority(df, [group], value, order)
 
 
 def scatter(df: DataFrame, x: str, y: str) -> tuple[DataFrame, DataFrame]:
@@ -80,8 +86,6 @@ def scatter(df: DataFrame, x: str, y: str) -> tuple[DataFrame, DataFrame]:
 
 def unit_series(df: DataFrame, label: str, value: str, unit: str, row: str) -> DataFrame:
     """Points in the column's majority unit; points in others are left out and counted."""
-    from brindle.operators.core import majority
-
     most = majority(df.select(F.lit(1).alias("_g"), unit, row), ["_g"], unit, row).first()
     main = most[unit] if most else None
     same = F.col(unit).eqNullSafe(F.lit(main))

@@ -7,13 +7,14 @@ A plan is data. ``check_plan`` validates it against a table's columns, and
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from decimal import Decimal
+from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.numbers import half_even
+from brindle.functions.numbers import half_even, read_number
 from brindle.functions.periods import bucket
+from brindle.operators.quantiles import middle
 from brindle.operators.typing import ColumnProfile
 
 AGGREGATES = ("count", "sum", "avg", "min", "max", "median", "distinct")
@@ -82,6 +83,14 @@ def check_plan(q: Query, profile: dict[str, ColumnProfile]) -> Query:
     return q
 
 
+def bound_of(value) -> Decimal | None:
+    """A filter's bound: a number, or words such as "5 lakh" read as a cell would be; None where it can't be read."""
+    try:
+        return Decimal(str(value))
+    except InvalidOperation:
+        return read_number(str(value))
+
+
 def condition(f: Filter, profile: dict[str, ColumnProfile], columns: list[str]) -> Column:
     """One predicate over typed columns; never null, so a missing cell is decided and not lost."""
     no = F.lit(False)
@@ -98,34 +107,51 @@ def condition(f: Filter, profile: dict[str, ColumnProfile], columns: list[str])
         key = bucket(F.col(f"{name}__key"), f.bucket) if f.bucket else F.col(f"{name}__key")
         inside = F.coalesce(key.isin(*[" ".join(str(v).split()) if f.bucket or kind == "period" else " ".join(str(v).split()).lower() for v in f.values]), no)
         return inside if f.op == "in" else ~inside
-    bounds = [F.lit(Decimal(str(v))) for v in f.values]
-    test = {"gte": lambda: number >= bounds[0], "lte": lambda: number <= bounds[0], "between": lambda: number.between(bounds[0], bounds[1])}
-    return F.coalesce(test[f.op](), no)
+    bounds = [bound_of(v) for v in f.values[: 2 if f.op == "between" else 1]]
+    if None in bounds or len(bounds) < (2 if f.op == "between" else 1):
+        return no
+    low, high = (bounds[0] if f.op != "lte" else None), (bounds[-1] if f.op != "gte" else None)
+    test = F.lit(True)
+    if low is not None:
+        test = test & (number >= F.lit(low))
+    if high is not None:
+        test = test & (number <= F.lit(high))
+    return F.coalesce(test, no)
+
+
+#: What a group keeps of its rows for each aggregate, how two such parts merge, and the value that they give.
+def _parts(agg: str, scale: int) -> tuple[dict[str, Column], dict[str, Column], Column]:
+    v = F.col("_v")
+    if agg == "avg":
+        return {"_s": F.sum(v), "_c": F.count(v)}, {"_s": F.sum("_s"), "_c": F.sum("_c")}, half_even(F.col("_s"), F.col("_c"), scale + 2, f"decimal(24,{max(scale, 1)})")
+    if agg == "count":
+        return {}, {}, F.col("rows").cast("decimal(38,0)")
+    f = {"sum": F.sum, "min": F.min, "max": F.max}[agg]
+    return {"_s": f(v)}, {"_s": f("_s")}, F.col("_s")
 
 
-def _aggregate(q: Query, scale: int) -> Column:
-    v = F.col("_v")
-    if q.agg == "count":
-        return F.count(F.lit(1)).cast("decimal(38,0)")
-    if q.agg == "distinct":
-        return F.count_distinct("_m").cast("decimal(38,0)")
-    if q.agg == "avg":
-        return half_even(F.sum(v), F.count(v), scale + 2, f"decimal(24,{max(scale, 1)})")
-    if q.agg == "median":
-        ordered = F.sort_array(F.collect_list(v))
-        n = F.size(ordered)
-        low, high = F.get(ordered, F.floor((n - 1) / 2).cast("int")), F.get(ordered, F.floor(n / 2).cast("int"))
-        return F.when(n > 0, F.bround((low + high).cast(f"decimal(28,{max(scale, 1)})") / F.lit(2).cast("decimal(2,0)"), scale + 1))
-    return {"sum": F.sum, "min": F.min, "max": F.max}[q.agg](v)
+def _half(ranked: Column, scale: int) -> Column:
+    """The mean of the two middle values, half-even at one digit more than they have."""
+    both = F.get(ranked, F.lit(0)) + F.get(ranked, F.lit(1))
+    return F.bround(both.cast(f"decimal(28,{max(scale, 1)})") / F.lit(2).cast("decimal(2,0)"), scale + 1)
+
+
+def _values(used: DataFrame, keys: list[str], agg: str, scale: int) -> DataFrame:
+    """keys and value of the aggregates whose parts do not merge: the median and the number of different values."""
+    if agg == "median":
+        return middle(used, keys, "_v").select(*keys, _half(F.col("ranked"), scale).alias("value"))
+    kinds = used.select(*keys, "_m").filter("_m is not null").distinct()
+    return kinds.groupBy(*keys).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("value"))
 
 
 def run_plan(df: DataFrame, profile: dict[str, ColumnProfile], q: Query, columns: list[str], row: str = "_row") -> Result:
     """Rows (label, key, value, rows, overall) and the accounting of what was left out.
 
-    The overall value is a scalar subquery over all used rows, before any
-    top-N. With ``other``, groups past the limit are named
-    from the ranked keys and aggregated again from their rows, so an average or
-    a median of the rest is right.
+    The table is read and parsed once: rows are summed to one small part a
+    group, and the groups, the overall value and ``other`` (the groups past the
+    limit) all follow from these parts, whose exchange Spark reuses. A median
+    or a number of different values has no such parts; there the overall value
+    and ``other`` are worked out from counted values.
     """
     missing = [c for c in (q.measure, q.group_by, *(f.column for f in q.filters if f.op != "search")) if c is not None and c not in profile]
     if missing:
@@ -158,9 +184,21 @@ def run_plan(df: DataFrame, profile: dict[str, ColumnProfile], q: Query, columns
         F.count_if(F.col("_why").isNotNull()).alias("excluded"),
     )
     used = rows.filter(usable)
-    value = _aggregate(q, scale)
-    overall = used.agg(value.alias("overall")).scalar()
-    groups = used.groupBy("key").agg(F.min_by("_label", "_row").alias("label"), value.alias("value"), F.count(F.lit(1)).alias("rows")).withColumn("overall", overall)
+    named = {"label": F.min_by("_label", "_row"), "rows": F.count(F.lit(1))}
+    merging = q.agg not in ("median", "distinct")
+    if merging:
+        first, again, value = _parts(q.agg, scale)
+        parts = used.groupBy("key").agg(*[c.alias(n) for n, c in (named | first).items()])
+        # Both sides of the overall value use every column of the parts, so their exchange is one and the same.
+        total = parts.agg(F.sum("rows").alias("rows"), F.max("label").alias("_any"), *[c.alias(n) for n, c in again.items()])
+        overall = total.select(F.when(F.col("_any").isNotNull() | F.col("rows").isNotNull(), value)).scalar()
+        groups = parts.withColumn("value", value).withColumn("overall", overall)
+    else:
+        parts = used.groupBy("key").agg(*[c.alias(n) for n, c in named.items()])
+        overall = _values(used, [], q.agg, scale).select("value").scalar()
+        groups = parts.join(_values(used, ["key"], q.agg, scale), "key", "left").withColumn("overall", overall)
+        if q.agg == "distinct":
+            groups = groups.withColumn("value", F.coalesce("value", F.lit(0).cast("decimal(38,0)")))
     sort = q.sort or ("time" if q.group_by and profile[q.group_by].kind == "period" else "value-desc")
     orders = {
         "value-desc": [F.desc_nulls_last("value"), F.lower("label")],
@@ -174,8 +212,13 @@ def run_plan(df: DataFrame, profile: dict[str, ColumnProfile], q: Query, columns
     top = groups.orderBy(*orders, "key").limit(q.limit).select(*out)
     if not q.other or q.group_by is None:
         return Result(top, accounting)
-    names = top.select("key").withColumn("_top", F.lit(True))  # at most 50 rows
-    rest = used.join(F.broadcast(names), "key", "left_anti")
-    folded = rest.agg(value.alias("value"), F.count(F.lit(1)).alias("rows"), F.count_distinct("key").alias("_k")).filter("rows > 0")
+    names = F.broadcast(top.select("key"))  # at most 50 rows
+    others = parts.join(names, "key", "left_anti")
+    count = [F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("_k")]
+    if merging:
+        folded = others.agg(*count, *[c.alias(n) for n, c in again.items()]).filter("rows > 0").withColumn("value", value)
+    else:
+        rest = _values(used.join(names, "key", "left_anti"), [], q.agg, scale).select("value").scalar()
+        folded = others.agg(*count).filter("rows > 0").withColumn("value", rest)
     other = folded.select(F.concat(F.lit("Other ("), F.col("_k").cast("string"), F.lit(")")).alias("label"), F.lit("__other").alias("key"), "value", "rows")
     return Result(top.unionByName(other.withColumn("overall", overall).select(*out)), accounting)

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import date
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -60,23 +61,51 @@ def json_array(df: DataFrame) -> str:
     return rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns)))).first()[0] or "[]"
 
 
-def markdown(df: DataFrame, most: int = 500) -> str:
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """One JSON object a line, in as many files as there are partitions."""
+    df.write.json(path, ignoreNullFields=False)
+
+
+def small(df: DataFrame, most: int) -> list:
+    """All rows of a table that a writer holds whole; a larger one is an error, never a cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: this format is for small tables")
+    return rows
+
+
+def markdown(df: DataFrame, most: int = 5000) -> str:
     """A small table as Markdown, numbers to the right."""
     right = [t.startswith(("decimal", "int", "bigint", "double")) for _, t in df.dtypes]
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "|".join(" ---: " if r else " --- " for r in right) + "|"]
-    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in df.limit(most).collect()])
+    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in small(df, most)])
 
 
-def sql_script(df: DataFrame, table: str, types: dict[str, str] | None = None, batch: int = 500) -> DataFrame:
+#: Types of four SQL dialects by Spark type, and their marks round names (fixed values).
+DIALECTS = {
+    "postgres": ({"string": "TEXT", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE PRECISION", "date": "DATE", "boolean": "BOOLEAN", "decimal": "NUMERIC"}, '"', '"'),
+    "mysql": ({"string": "TEXT", "bigint": "BIGINT", "int": "INT", "double": "DOUBLE", "date": "DATE", "boolean": "BOOLEAN", "decimal": "DECIMAL"}, "`", "`"),
+    "sqlite": ({"string": "TEXT", "bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "date": "TEXT", "boolean": "INTEGER", "decimal": "NUMERIC"}, '"', '"'),
+    "sqlserver": ({"string": "NVARCHAR(MAX)", "bigint": "BIGINT", "int": "INT", "double": "FLOAT", "date": "DATE", "boolean": "BIT", "decimal": "DECIMAL"}, "[", "]"),
+}
+
+
+def sql_script(df: DataFrame, table: str, batch: int = 500, dialect: str = "postgres") -> DataFrame:
     """Lines of INSERT statements of ``batch`` rows, made by the tasks that hold the rows."""
-    names, types = unique_slugs(df.columns), types or {}
-    head = f"INSERT INTO {slug(table)} ({', '.join(names)}) VALUES"
+    _, left, right = DIALECTS[dialect]
+    names = ", ".join(f"{left}{n}{right}" for n in unique_slugs(df.columns))
+    head = f"INSERT INTO {left}{slug(table)}{right} ({names}) VALUES"
+    bare = dialect in ("sqlite", "sqlserver")
 
     def literal(v) -> str:
         if v is None or v is pd.NA or (isinstance(v, float) and v != v):
             return "NULL"
-        return str(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'"
+        if isinstance(v, bool):
+            return str(int(v)) if bare else str(v).upper()
+        if isinstance(v, (str, date)):
+            return ("N" if dialect == "sqlserver" and isinstance(v, str) else "") + "'" + str(v).replace("'", "''") + "'"
+        return str(v)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -86,11 +115,13 @@ def sql_script(df: DataFrame, table: str, types: dict[str, str] | None = None, b
     return df.mapInPandas(run, "line string")
 
 
-def create_table(df: DataFrame, table: str, types: dict[str, str] | None = None) -> str:
-    kinds = {"string": "TEXT", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE PRECISION", "date": "DATE", "boolean": "BOOLEAN"}
+def create_table(df: DataFrame, table: str, types: dict[str, str] | None = None, dialect: str = "postgres") -> str:
+    """The table's definition; ``types`` (see ``sheet_types``) gives exact types where they are known."""
+    kinds, left, right = DIALECTS[dialect]
     types = types or {}
-    lines = [f"  {s} {types.get(c) or kinds.get(t) or ('NUMERIC' + t.removeprefix('decimal') if t.startswith('decimal') else 'TEXT')}" for s, (c, t) in zip(unique_slugs(df.columns), df.dtypes, strict=True)]
-    return f"CREATE TABLE {slug(table)} (\n" + ",\n".join(lines) + "\n);"
+    named = lambda t: kinds["decimal"] + t.removeprefix("decimal") if t.startswith("decimal") else kinds.get(t, kinds["string"])
+    lines = [f"  {left}{s}{right} {types.get(c) or named(t)}" for s, (c, t) in zip(unique_slugs(df.columns), df.dtypes, strict=True)]
+    return f"CREATE TABLE {left}{slug(table)}{right} (\n" + ",\n".join(lines) + "\n);"
 
 
 def write_xml(df: DataFrame, path: str) -> None:
@@ -98,8 +129,8 @@ def write_xml(df: DataFrame, path: str) -> None:
     df.toDF(*unique_slugs(df.columns)).write.format("xml").options(rootTag="rows", rowTag="row", nullValue="").save(path)
 
 
-def xlsx_bytes(df: DataFrame, most: int = 5000) -> bytes:
-    """A small table as a workbook of one sheet, numbers as numbers."""
+def xlsx_bytes(df: DataFrame, most: int = 50_000, about: dict[str, str] | None = None) -> bytes:
+    """A small table as a workbook, numbers as numbers, with a second sheet "About" where ``about`` has lines."""
     def ref(c: int, r: int) -> str:
         letters = ""
         c += 1
@@ -115,17 +146,24 @@ def xlsx_bytes(df: DataFrame, most: int = 5000) -> bytes:
             return f'<c r="{ref(c, r)}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
         return f'<c r="{ref(c, r)}"><v>{v}</v></c>' if not hasattr(v, "isoformat") else f'<c r="{ref(c, r)}" t="inlineStr"><is><t>{v.isoformat()}</t></is></c>'
 
-    rows = [df.columns, *[list(r) for r in df.limit(most).collect()]]
-    body = "".join(f'<row r="{i}">' + "".join(cell(c, i, v) for c, v in enumerate(r)) + "</row>" for i, r in enumerate(rows, 1))
+    def sheet(rows: list[list]) -> str:
+        body = "".join(f'<row r="{i}">' + "".join(cell(c, i, v) for c, v in enumerate(r)) + "</row>" for i, r in enumerate(rows, 1))
+        return f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>"
+
+    rows = [df.columns, *[list(r) for r in small(df, most)]]
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    more = ('<sheet name="About" sheetId="2" r:id="r2"/>', f'<Relationship Id="r2" Type="{rel}/worksheet" Target="worksheets/sheet2.xml"/>') if about else ("", "")
     parts = {
         "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
         "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="Data" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>",
+        "xl/workbook.xml": f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="Data" sheetId="1" r:id="r1"/>{more[0]}</sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/>{more[1]}</Relationships>',
+        "xl/worksheets/sheet1.xml": sheet(rows),
     }
+    if about:
+        parts["xl/worksheets/sheet2.xml"] = sheet([[k, v] for k, v in about.items()])
+        parts["[Content_Types].xml"] = parts["[Content_Types].xml"].replace("</Types>", '<Override PartName="/xl/worksheets/sheet2.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, content in parts.items():

@@ -6,33 +6,69 @@ function on every micro-batch.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from brindle.operators.core import keep_first
 from brindle.operators.merge import upsert
 
 
-def sliding_limit(events: DataFrame, key: str, at: str, most: int, seconds: int) -> DataFrame:
-    """Adds allowed: at most ``most`` accepted calls of a key in any ``seconds`` seconds; refused calls don't count.
+def fold_in_order(df: DataFrame, keys: list[str], order: list[str], result: str, start: Callable[[], object], step: Callable[[object, tuple], tuple[object, bool]], reads: list[str]) -> DataFrame:
+    """Adds the boolean ``result`` of a rule that must see each key's rows one by one in order.
 
-    The accepted calls of the last interval are state, so a key's events are
-    folded in order of time, then id. The fold is Spark's own ``aggregate``
-    over a sorted array of small integers and keeps no more than ``most`` times.
+    Rows are dealt by key, sorted by Spark (which spills) and streamed through
+    the rule in Arrow batches, so a task holds one key's state and one batch,
+    however many rows the key has. ``step`` takes the state and a row's
+    ``reads`` and gives the next state and the result.
     """
-    rows = F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col("event_id").alias("id"))))
-    start = F.struct(F.array().cast("array<bigint>").alias("recent"), F.array().cast("array<bigint>").alias("ok"))
+    schema = T.StructType([*df.schema.fields, T.StructField(result, T.BooleanType())])
 
-    def step(acc, x):
-        live = F.filter(acc["recent"], lambda t: t > x["t"] - seconds * 1_000_000)
-        fits = F.size(live) < most
-        return F.struct(F.when(fits, F.array_append(live, x["t"])).otherwise(live).alias("recent"), F.when(fits, F.array_append(acc["ok"], x["id"])).otherwise(acc["ok"]).alias("ok"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            names = batch.schema.names
+            who = list(zip(*[batch.column(names.index(k)).to_pylist() for k in keys], strict=True))
+            rows = zip(*[batch.column(names.index(c)).to_pylist() for c in reads], strict=True)
+            out = []
+            for k, row in zip(who, rows, strict=True):
+                if k != key or state is None:
+                    key, state = k, start()
+                state, said = step(state, row)
+                out.append(said)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*names, result])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def sliding_limit(events: DataFrame, key: str, at: str, most: int, seconds: int) -> DataFrame:
+    """Adds allowed: at most ``most`` accepted calls of a key in any ``seconds`` seconds; refused calls don't count. State is the accepted times of the interval, ``most`` at most."""
+    def step(recent: deque, row: tuple) -> tuple[deque, bool]:
+        t = row[0]
+        while recent and recent[0] <= t - seconds * 1_000_000:
+            recent.popleft()
+        fits = len(recent) < most
+        if fits:
+            recent.append(t)
+        return recent, fits
 
-    accepted = events.groupBy(key).agg(F.aggregate(rows, start, step, lambda a: a["ok"]).alias("ok"))
-    ok = accepted.select(F.explode("ok").alias("event_id")).withColumn("allowed", F.lit(True))
-    return events.join(ok, "event_id", "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    timed = events.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
+    return fold_in_order(timed, [key], ["_t", "event_id"], "allowed", deque, step, ["_t"]).drop("_t")
+
+
+def throttled(events: DataFrame, key: str, at: str, seconds: float) -> DataFrame:
+    """Adds told: whether a status message is passed on, at most one of a key in ``seconds``."""
+    def step(last: int, row: tuple) -> tuple[int, bool]:
+        told = row[0] - last >= seconds * 1_000_000
+        return (row[0] if told else last), told
+
+    timed = events.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
+    return fold_in_order(timed, [key], ["_t", "event_id"], "told", lambda: -(1 << 62), step, ["_t"]).drop("_t")
 
 
 def limit_stream(events: DataFrame, key: str, at: str, most: int, seconds: int) -> DataFrame:
@@ -54,21 +90,58 @@ def limit_stream(events: DataFrame, key: str, at: str, most: int, seconds: int)
 
 
 def metered(usage: DataFrame, cap_day: int, cap_month: int) -> DataFrame:
-    """(user, day, calls) in order of seq, charged atomically: a charge that would pass a cap is refused and costs nothing."""
-    rows = F.sort_array(F.collect_list(F.struct("seq", F.col("day").cast("string").alias("day"), "calls")))
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.lit("").alias("day"), zero.alias("d"), F.lit("").alias("month"), zero.alias("m"), F.array().cast("array<bigint>").alias("ok"))
+    """(user_id, seq, day, calls) in order of seq with charged: a charge that would pass a cap is refused and costs nothing."""
+    def step(state: tuple, row: tuple) -> tuple[tuple, bool]:
+        day, used_day, used_month = state
+        now, calls = row
+        used_day = used_day if day == now else 0
+        used_month = used_month if day is not None and (day.year, day.month) == (now.year, now.month) else 0
+        fits = used_day + calls <= cap_day and used_month + calls <= cap_month
+        return (now, used_day + calls * fits, used_month + calls * fits), fits
+
+    return fold_in_order(usage, ["user_id"], ["seq"], "charged", lambda: (None, 0, 0), step, ["day", "calls"])
+
+
+def accepted_reads(reads: DataFrame, key: str, order: str) -> DataFrame:
+    """Adds accepted: a finished read (request, begun_at change, change now) counts only if it is newer than the last one applied and nothing changed since it began."""
+    def step(applied: int, row: tuple) -> tuple[int, bool]:
+        request, begun, change = row
+        fits = begun == change and request > applied
+        return (request if fits else applied), fits
+
+    return fold_in_order(reads, [key], [order], "accepted", lambda: 0, step, ["request", "begun", "change"])
+
+
+def fan_out_queue(events: DataFrame, subscriber: str, order: str, size: int = 256, drop: str = "oldest") -> DataFrame:
+    """What a bounded queue of each subscriber holds when it is read: the newest ``size`` messages, or the first ones where new ones are dropped."""
+    w = Window.partitionBy(subscriber).orderBy(F.desc(order) if drop == "oldest" else F.asc(order))
+    return events.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= size).drop("_rn")
+
+
+def replayed(snapshot: DataFrame, frames: DataFrame, key: str, order: str) -> DataFrame:
+    """A snapshot with the frames that came while it was read: known ids keep the snapshot's row, new ones are added once, the first frame wins."""
+    both = snapshot.withColumn("_f", F.lit(0)).withColumn("_o", F.lit(None).cast("long")).unionByName(frames.withColumn("_f", F.lit(1)).withColumn("_o", F.col(order).cast("long")), allowMissingColumns=True)
+    return keep_first(both, [key], ["_f", "_o"]).drop("_f", "_o")
+
+
+def in_source_order(rows: DataFrame, source: str, row: str) -> DataFrame:
+    """Rows of sources that were read side by side, in the order of the sources and of their rows."""
+    return rows.orderBy(source, row)
+
+
+def next_work(items: DataFrame, done: DataFrame, key: str, order: str, n: int = 10) -> DataFrame:
+    """The next ``n`` items, newest first, that have no result yet."""
+    return items.join(done.select(key), key, "left_anti").orderBy(F.desc(order)).limit(n)
+
+
+def stored_answer(plan: dict, signature: str, columns: list[str]) -> dict | None:
+    """A stored question's plan, to be run again on the table as it is now; None when the table's columns have changed."""
+    return plan if signature == column_signature(columns) else None
 
-    def step(acc, x):
-        month = F.substring(x["day"], 1, 7)
-        d = F.when(acc["day"] == x["day"], acc["d"]).otherwise(F.lit(0)).cast("long")
-        m = F.when(acc["month"] == month, acc["m"]).otherwise(F.lit(0)).cast("long")
-        fits = (d + x["calls"] <= cap_day) & (m + x["calls"] <= cap_month)
-        add = F.when(fits, x["calls"]).otherwise(F.lit(0)).cast("long")
-        return F.struct(x["day"].alias("day"), (d + add).alias("d"), month.alias("month"), (m + add).alias("m"), F.when(fits, F.array_append(acc["ok"], x["seq"])).otherwise(acc["ok"]).alias("ok"))
 
-    ok = usage.groupBy("user_id").agg(F.aggregate(rows, start, step, lambda a: a["ok"]).alias("ok")).select(F.explode("ok").alias("seq")).withColumn("charged", F.lit(True))
-    return usage.join(ok, "seq", "left").withColumn("charged", F.coalesce("charged", F.lit(False)))
+def column_signature(columns: list[str]) -> str:
+    """The table's own column names in order; columns that are derived from them are left out by the caller."""
+    return "|".join(columns)
 
 
 def keep_recent(events: DataFrame, key: str, order: str, n: int) -> DataFrame:
@@ -107,11 +180,12 @@ def final_status(events: DataFrame, key: str, order: str, status: str, terminal:
     return events.groupBy(key).agg(F.coalesce(done, F.max_by(status, order)).alias(status))
 
 
-def live_upsert(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, on_new: Callable[[DataFrame], None] | None = None, interval: str = "0 seconds"):
+def live_upsert(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, on_new: Callable[[DataFrame], None] | None = None, interval: str = "0 seconds", keep: int = 3):
     """Keeps the table at ``path``/<batch> current: each micro-batch is upserted into the last version.
 
     A version is written under its batch id, so a batch that is run again
-    overwrites its own output and reads the version before it.
+    overwrites its own output and reads the version before it; the last
+    ``keep`` versions stay. A missing version is an error, not an empty table.
     """
     spark = stream.sparkSession
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -120,12 +194,15 @@ def live_upsert(stream: DataFrame, path: str, key: str, order: str, checkpoint:
         return f"{path}/v={n}"
 
     def run(batch: DataFrame, number: int) -> None:
-        last = version(number - 1)
         fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        old = spark.read.parquet(last) if number and fs.exists(fs_path(last)) else spark.createDataFrame([], batch.schema)
+        if number and not fs.exists(fs_path(f"{version(number - 1)}/_SUCCESS")):
+            raise RuntimeError(f"version {number - 1} of {path} is missing: the table can't be kept current from here")
+        old = spark.read.parquet(version(number - 1)) if number else spark.createDataFrame([], batch.schema)
         merged = upsert(old.select(*batch.columns), batch, key, order)
         merged.select(*batch.columns).write.mode("overwrite").parquet(version(number))
         if on_new:
-            on_new(merged.filter("is_new"))
+            fresh = batch.join(old.select(key), key, "left_anti")
+            on_new(keep_first(fresh, [key], [F.desc(order)]))
+        fs.delete(fs_path(version(number - keep)), True)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import numbers, periods, text
+from brindle.operators import quantiles
 
 NUMBERS = {
     "₹12.5 lakh": (1250000, "INR", False, None, "lakh", False),
@@ -100,8 +101,23 @@ def test_emails(spark):
 def test_half_even_and_quantile(spark):
     df = spark.createDataFrame([(Decimal("0.5"), 2), (Decimal("1.5"), 2)], "t decimal(10,2), n int")
     assert [str(r[0]) for r in df.select(numbers.half_even(F.col("t"), F.col("n"), 1)).collect()] == ["0.2", "0.8"]
-    q = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0],)], "v array<double>").select(numbers.exclusive_quantile(F.col("v"), 0.9)).first()[0]
-    assert q == 5.0
+    df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 5)], "v double")
+    assert quantiles.exclusive_quantile(df, [], "v", 0.9).first()["quantile"] == 5.0
+
+
+@pytest.mark.parametrize("q", [0.0, 0.1, 0.25, 0.5, 0.9, 1.0])
+def test_ranks_of_uneven_groups(spark, q):
+    import random
+
+    rng = random.Random(7)
+    rows = [("big", rng.randrange(5000)) for _ in range(30_000)] + [("one", 3)] + [(None, rng.randrange(3)) for _ in range(50)] + [("none", None)] * 3
+    df = spark.createDataFrame(rows, "k string, v long")
+    got = {r["k"]: r["ranked"] for r in quantiles.at_ranks(df, ["k"], "v", q, lambda n: [F.floor((n - 1) * q)]).collect()}
+    want = {}
+    for k in ("big", "one", None):
+        own = sorted(v for a, v in rows if a == k)
+        want[k] = [own[int((len(own) - 1) * q)]]
+    assert got == want
 
 
 def test_durations(spark):

@@ -64,7 +64,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_delimited(df, str(tmp_path / "c"))
     assert [r["x"] for r in spark.read.csv(str(tmp_path / "c"), header=True).collect()] == ["'=1+1", "O'Neil"]
     assert "('O''Neil', NULL);" in sinks.sql_script(df, "My table").first()["line"]
-    assert sinks.create_table(df, "My table") == "CREATE TABLE my_table (\n  x TEXT,\n  y TEXT\n);"
+    assert sinks.create_table(df, "My table", dialect="mysql") == "CREATE TABLE `my_table` (\n  `x` TEXT,\n  `y` TEXT\n);"
     assert sinks.markdown(df).splitlines()[1] == "| --- | --- |"
     sinks.write_xml(df, str(tmp_path / "x"))
     assert spark.read.format("xml").option("rowTag", "row").load(str(tmp_path / "x")).count() == 2
