@@ -53,12 +53,14 @@ _folders: dict[str, str] = {}
 def scratch_folder(spark: SparkSession) -> str:
     """A folder for this application in ``spark.checkpoint.dir``, removed when Python ends.
 
-    Where that setting is absent (tests, one machine), a temporary folder stands in.
+    Where that setting is absent and all runs on one machine, a temporary folder stands in; on a cluster that is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _folders:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="brindle-")
         _folders[app] = f"{base.rstrip('/')}/brindle-{app}"
         atexit.register(_remove, spark, _folders[app])
@@ -89,7 +91,45 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, file.rsplit("/", 1)[0])
 
 
+# ---------------------------------------------------------------- rows
+#: The column that ``numbered`` adds.
+ROW = "_brindle_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """A copy of ``docs`` in the scratch folder with ROW, a number of its own for every row. Written once, it is the same in every job, whatever executors are lost."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 # ---------------------------------------------------------------- joins
+#: Most keys of a list that is sent to every task; longer lists are joined by merge.
+SENT_KEYS = 500_000
+
+
+def _listed(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    named = keys.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)], *[c for c in keys.columns if c not in on])
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    few = keys.limit(SENT_KEYS + 1).count() <= SENT_KEYS
+    return rows.join(F.broadcast(named) if few else named.hint("merge"), same, how)
+
+
+def only(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows in a materialized list of keys (null meets null). A list of checked length is broadcast, so that texts are not shuffled for it; a longer one is joined by merge."""
+    return _listed(rows, keys.select(*on), on, "left_semi")
+
+
+def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows not in a materialized list of keys (see ``only``)."""
+    return _listed(rows, keys.select(*on), on, "left_anti")
+
+
+def looked_up(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows in a materialized list of distinct keys, with the list's other columns (see ``only``)."""
+    return _listed(rows, keys, on, "inner").drop(*[f"_k{i}" for i in range(len(on))])
+
+
 def salted_join(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, salts: int = 32, how: str = "left") -> DataFrame:
     """Joins per-key values to many rows where one key may hold most rows.
 

@@ -13,10 +13,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import ascii_lower, components, discard, let, materialize, release, text_of, words_of
+from brindle.llm.common import ROW, ascii_lower, components, discard, let, materialize, numbered, only, release, text_of, without, words_of
 
 
 def shingle_hashes(text: Column, size: int) -> Column:
@@ -100,143 +102,187 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
 # ---------------------------------------------------------------- by similarity
 #: Of so many documents one is counted to learn which shingles are common: those in LEAST_SEEN counted ones or more, the MOST_TOLD most common.
 SAMPLE, LEAST_SEEN, MOST_TOLD = 32, 3, 250_000
-#: Bits of a document's parity sketch, and hashes and documents that one numpy step takes.
-SKETCH, STEP_HASHES, STEP_DOCS = 1024, 500_000, 2_000
+#: Bits of a document's parity sketch, and words and documents that one numpy step takes.
+SKETCH, STEP_WORDS, STEP_DOCS = 1024, 300_000, 2_000
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and the distinct hashes of its word shingles."""
-    return docs.select("doc_id", F.array_distinct(shingle_hashes(ascii_lower(text_of()), size)).alias("h"))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(33))
 
 
-def _steps(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, offsets, uint64 hashes) of slices of bounded size; the lists are the batch's second column."""
-    lists = batch.column(1)
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    row = 0
-    while row < len(lists):
-        stop = min(len(lists), row + STEP_DOCS, max(row + 1, int(np.searchsorted(offsets, offsets[row] + STEP_HASHES, side="right")) - 1))
-        yield row, stop, offsets[row : stop + 1] - offsets[row], values[offsets[row] : offsets[stop]]
-        row = stop
-
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, offsets, sorted distinct hashes of each row's word shingles) for slices of bounded size.
 
-def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    A-Z are lower-cased. A shingle's hash joins the XXH64 of its words; a text
+    of fewer words has one hash, of all its words, and a wordless text none.
+    """
+    bounds = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(bounds), 0
+    while start < len(texts):
+        stop = min(start + STEP_DOCS, max(start + 1, int(np.searchsorted(ends, ends[start] - bounds[start] + 7 * STEP_WORDS, side="right"))), len(texts))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(start, stop - start)))
+        words, offsets = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(real)])[offsets]
+        coded = words.filter(pa.array(real)).dictionary_encode()
+        kinds = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        h = kinds[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
+        row = np.repeat(np.arange(stop - start), np.diff(offsets))
+        n = max(0, len(h) - size + 1)
+        grams = np.zeros(n, np.uint64)
+        for j in range(size):
+            grams = grams * _MULT + h[j : j + n]
+        whole = row[:n] == row[size - 1 :] if n else np.zeros(0, bool)
+        values, rows = [_mixed(grams[whole])], [row[:n][whole]]
+        lengths = np.diff(offsets)
+        for few in range(1, size):
+            at = np.flatnonzero(lengths == few)
+            short = np.full(len(at), few, np.uint64)
+            for j in range(few):
+                short = short * _MULT + h[offsets[at] + j]
+            values.append(_mixed(short))
+            rows.append(at)
+        values, rows = np.concatenate(values), np.concatenate(rows)
+        order = np.lexsort((values, rows))
+        values, rows = values[order], rows[order]
+        new = np.ones(len(values), bool)
+        new[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
+        values, rows = values[new], rows[new]
+        yield start, stop, np.searchsorted(rows, np.arange(stop - start + 1)), values
+        start = stop
+
+
+def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of common shingles and their counts in a sample. They only order the shingles: any order gives the same pairs."""
-    some = sets.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(F.explode("h").alias("h"))
-    seen = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "h").limit(MOST_TOLD).toArrow()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, values in shingle_sets(batch.column(0), size):
+                kinds, n = np.unique(values, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    some = texts.filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(count, "h long, n long")
+    seen = some.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "h").limit(MOST_TOLD).toArrow()
     keys, counts = seen.column(0).to_numpy().view(np.uint64), seen.column(1).to_numpy()
     order = np.argsort(keys)
     return keys[order], counts[order]
 
 
-def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(doc_id, n, pos, h): of each set of n hashes, in one order for all with common ones last, the first n - ceil(similarity n) + 1.
+def _prefixes(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(row, n, pos, h): of each set of n hashes, in one order for all with common ones last, the first n - ceil(similarity n) + 1.
 
     Sets that are similar enough share a hash in these parts.
     """
-    told = sets.sparkSession.sparkContext.broadcast(_common(sets))
+    told = texts.sparkSession.sparkContext.broadcast(_common(texts, size))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = told.value
         for batch in batches:
-            for first, stop, offsets, values in _steps(batch):
+            for first, stop, offsets, values in shingle_sets(batch.column(1), size):
                 sizes = np.diff(offsets)
                 rows = np.repeat(np.arange(stop - first), sizes)
                 level = np.zeros(len(values), np.int64)
-                if len(keys):
+                if len(keys) and len(values):
                     at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
                     level = np.where(keys[at] == values, counts[at], 0)
-                order = np.lexsort((values, level, rows))
+                order = np.lexsort((level, rows))  # stable, so equal counts stay in the order of the hashes
                 pos = np.arange(len(values)) - offsets[rows]
                 part = pos < (sizes - np.ceil(sizes * similarity - 1e-6).astype(np.int64) + 1)[rows]
                 ids = batch.column(0).slice(first, stop - first).take(pa.array(rows[part]))
                 cols = [ids, pa.array(sizes[rows[part]].astype(np.int32)), pa.array(pos[part].astype(np.int32)), pa.array(values[order][part].view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "pos", "h"])
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "n", "pos", "h"])
 
-    return sets.mapInArrow(cut, "doc_id long, n int, pos int, h long")
+    return texts.select("row", "text").mapInArrow(cut, "row long, n int, pos int, h long")
 
 
-def _sketched(sets: DataFrame) -> DataFrame:
-    """Adds sketch: the parities of the counts of hashes that fall on each of SKETCH bits. Two sketches differ in no more bits than the sets do in hashes."""
+def _sketched(texts: DataFrame, size: int) -> DataFrame:
+    """(row, h, sketch): sets, and the parities of the counts of hashes that fall on each of SKETCH bits. Two sketches differ in no more bits than the sets do in hashes."""
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, stop, offsets, values in _steps(batch):
+            for first, stop, offsets, values in shingle_sets(batch.column(1), size):
                 rows = np.repeat(np.arange(stop - first), np.diff(offsets))
-                bit = ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % SKETCH
+                bit = ((values * _MULT) >> np.uint64(32)).astype(np.int64) % SKETCH
                 odd = (np.bincount(rows * SKETCH + bit, minlength=(stop - first) * SKETCH) & 1).astype(np.uint8)
                 longs = np.packbits(odd.reshape(-1, SKETCH), axis=1).view(np.int64).ravel()
                 sketch = pa.ListArray.from_arrays(np.arange(0, len(longs) + 1, SKETCH // 64, dtype=np.int32), pa.array(longs))
-                part = batch.slice(first, stop - first)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sketch], names=["doc_id", "h", "sketch"])
+                sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), sets, sketch], names=["row", "h", "sketch"])
 
-    return sets.mapInArrow(draw, "doc_id long, h array<long>, sketch array<long>")
+    return texts.select("row", "text").mapInArrow(draw, "row long, h array<long>, sketch array<long>")
 
 
 def _verified(texts: DataFrame, offers: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Of the offered pairs (a, b) those whose sets are similar enough: first by sketches, which reject no such pair, then by the sets."""
     pairs = materialize(offers)
     release(texts.sparkSession)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(_sketched(shingle_sets(texts.join(ids.hint("merge"), "doc_id", "left_semi"), shingle).filter(F.size("h") > 0)))
+    ids = materialize(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct())
+    sets = materialize(_sketched(only(texts, ids, ["row"]), shingle))
     release(texts.sparkSession)
 
     def side(x: str, *names: str) -> DataFrame:
-        return sets.select(F.col("doc_id").alias(x), *[(F.size("h") if c == "n" else F.col(c)).alias(f"{c}{x}") for c in names])
+        return sets.select(F.col("row").alias(x), *[(F.size("h") if c == "n" else F.col(c)).alias(f"{c}{x}") for c in names])
 
     apart = F.aggregate(F.zip_with("sketcha", "sketchb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").filter(apart <= (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
     near = materialize(near.select("a", "b").distinct())
     both = F.size(F.array_intersect("ha", "hb"))
     links = materialize(near.join(side("a", "h"), "a").join(side("b", "h"), "b").filter(both >= F.lit(similarity) * (F.size("ha") + F.size("hb") - both)).select("a", "b"))
-    for done in (pairs, sets, near):
+    for done in (pairs, ids, sets, near):
         discard(done)
     release(texts.sparkSession)
     return links
 
 
-def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Verified links (a, b), a > b, that connect exactly what all pairs of at least ``similarity`` (Jaccard of word shingles) connect.
+def near_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Verified links (a, b), a > b, between rows of ``texts`` (row, text) that connect exactly what all pairs of at least ``similarity`` (Jaccard of word shingles) connect.
 
     Two such sets share a hash in their prefixes (see ``_prefixes``), and at
-    the first one enough hashes are left in both. In a first round the
-    documents of each prefix hash are offered to the smallest of them, so a
-    group of near-copies costs one offer a document. In a second one, each two
-    documents of a hash that are not linked yet are offered, whatever their
-    number: those outside the hash's largest linked group to all others.
+    the first one enough hashes are left in both. In a first round the rows of
+    each prefix hash are offered to the smallest of them, so a group of
+    near-copies costs one offer a row. In a second one, each two rows of a hash
+    that are not linked yet are offered, whatever their number: those outside
+    the hash's largest linked group to all others.
     """
-    texts = docs.select("doc_id", "text").filter("doc_id is not null")
-    index = _prefixes(shingle_sets(texts, shingle).filter(F.size("h") > 0), similarity)
-    of_hash = Window.partitionBy("h")
-    shared = index.select("*", F.min(F.struct("doc_id", "n", "pos")).over(of_hash).alias("least"), F.count(F.lit(1)).over(of_hash).alias("docs")).filter("docs > 1").drop("docs")
-    shared = materialize(shared)
-    release(docs.sparkSession)
+    spark = texts.sparkSession
+    index = materialize(_prefixes(texts, shingle, similarity))
+    of_hash = index.groupBy("h").agg(F.min(F.struct("row", "n", "pos")).alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("h", "least")
+    shared = materialize(index.join(materialize(of_hash).hint("merge"), "h"))
+    discard(index)
+    release(spark)
 
     def fits(n1: str, pos1: str, n2: str, pos2: str) -> Column:
         return F.least(F.col(n1) - F.col(pos1), F.col(n2) - F.col(pos2)) >= (F.col(n1) + F.col(n2)) * F.lit(similarity / (1 + similarity)) - 1e-6
 
-    stars = shared.filter("doc_id <> least.doc_id").filter(fits("n", "pos", "least.n", "least.pos"))
-    first = _verified(texts, stars.select(F.col("doc_id").alias("a"), F.col("least.doc_id").alias("b")).distinct(), shingle, similarity)
-    roots = components(first).withColumnRenamed("node", "doc_id")
-    rooted = materialize(shared.join(roots, "doc_id", "left").select("h", "doc_id", "n", "pos", F.coalesce("root", "doc_id").alias("root")))
+    stars = shared.filter("row <> least.row").filter(fits("n", "pos", "least.n", "least.pos"))
+    first = _verified(texts, stars.select(F.col("row").alias("a"), F.col("least.row").alias("b")).distinct(), shingle, similarity)
+    roots = components(first).withColumnRenamed("node", "row")
+    rooted = materialize(shared.join(roots, "row", "left").select("h", "row", "n", "pos", F.coalesce("root", "row").alias("root")))
     discard(shared)
-    groups = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("docs")).groupBy("h").agg(F.max(F.struct("docs", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"))
+    groups = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("rows")).groupBy("h").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"))
     split = materialize(rooted.join(groups.filter("roots > 1").select("h", "main"), "h"))
     discard(rooted)
-    release(docs.sparkSession)
-    left = split.filter("root <> main").select("h", *[F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "pos", "root")])
+    release(spark)
+    left = split.filter("root <> main").select("h", *[F.col(c).alias(f"{c}1") for c in ("row", "n", "pos", "root")])
     met = left.join(split, "h").filter("root <> root1").filter(fits("n", "pos", "n1", "pos1"))
-    second = _verified(texts, met.select(F.greatest("doc_id", "doc_id1").alias("a"), F.least("doc_id", "doc_id1").alias("b")).distinct(), shingle, similarity)
+    second = _verified(texts, met.select(F.greatest("row", "row1").alias("a"), F.least("row", "row1").alias("b")).distinct(), shingle, similarity)
     discard(split)
     return first.union(second)
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **options) -> DataFrame:
-    """``docs`` without near-copies: of each group that links reach, the document with the smallest doc_id stays.
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without near-copies: of each group that links reach, one row with the smallest doc_id stays.
 
-    Rows without a doc_id and wordless texts are in no group and stay; rows
-    repeated under one doc_id stay or go together.
+    Groups are of rows, so rows that repeat a doc_id with other texts are
+    judged each by its own text, and of equal rows one stays. Rows without a
+    doc_id and wordless texts are in no group and stay.
     """
-    links = materialize(near_pairs(docs, shingle, similarity, **options))
-    gone = components(links).filter("node <> root").select(F.col("node").alias("_gone"))
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = numbered(docs)
+    texts = rows.filter("doc_id is not null").select(F.col(ROW).alias("row"), text_of().alias("text"))
+    links = materialize(near_pairs(texts, shingle, similarity))
+    group = materialize(components(links))
+    ids = only(rows.select(F.col(ROW).alias("node"), "doc_id"), group, ["node"])
+    stays = group.join(ids, "node").groupBy("root").agg(F.min(F.struct("doc_id", "node"))["node"].alias("stays"))
+    gone = materialize(group.join(stays, "root").filter("node <> stays").select(F.col("node").alias(ROW)))
+    return without(rows, gone, [ROW]).drop(ROW)
