@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import ascii_lower, materialize, text_of
+from brindle.llm.common import ascii_lower, looked_up, materialize, only, text_of, without
 
 #: Keys of one filter: bounds the memory of the task that builds or probes it.
 BUCKET_KEYS = 32_768
@@ -120,23 +120,16 @@ def screen(batch: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------- the operator
-def dedup(docs: DataFrame, incoming: Column | None = None, key_bytes: int = 32, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def _snapshot_or_batch() -> Column:
+    """By default a quarter of the ids, by hash, is the batch and the rest the snapshot."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
 
-    Texts are equal when identical after lower-casing A-Z; the largest doc_id
-    stays. ``incoming`` marks the batch, the other rows are the snapshot (by
-    default a quarter of the ids, by hash, is the batch). ``key_bytes`` cuts
-    the SHA-256 that groups rows; the byte check holds for any length. Null
-    text is the empty text, null doc_id sorts below all others, rows repeated
-    under one doc_id are one document and share ``kept``; an empty table gives
-    an empty result and other columns are not read.
-    """
-    if incoming is None:
-        incoming = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
-    hashed = docs.select("doc_id", ascii_lower(text_of()).alias("text"), incoming.alias("incoming")).select(
-        "*", F.unhex(F.sha2("text", 256)).alias("digest")
-    ).withColumn("key", F.substring("digest", 1, key_bytes))
-    narrow = materialize(hashed.select("doc_id", "key", "incoming"))
+
+def _judged(docs: DataFrame, incoming: Column | None, key_bytes: int, bucket_keys: int) -> DataFrame:
+    """doc_id, digest, keep_id and group_size of every row. Only texts whose key repeats are read again."""
+    hashed = docs.select("doc_id", ascii_lower(text_of()).alias("text"), (_snapshot_or_batch() if incoming is None else incoming).alias("incoming")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    hashed = hashed.withColumn("key", F.substring("digest", 1, key_bytes))
+    narrow = materialize(hashed.select("doc_id", "incoming", "digest", "key"))
 
     def grouped(df: DataFrame) -> DataFrame:
         return materialize(df.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")))
@@ -150,37 +143,48 @@ def dedup(docs: DataFrame, incoming: Column | None = None, key_bytes: int = 32,
         screened.filter("not maybe").select("key", "n", "top")
     )
     repeated = materialize(groups.filter("n > 1"))
-
-    rows = materialize(
-        hashed.drop("incoming").join(repeated.hint("merge"), "key", "left").select("doc_id", "digest", "key", "n", "top", F.when(F.col("n") > 1, F.col("text")).alias("text"))
-    )
-    return _byte_checked(rows)
+    once = without(narrow, repeated, ["key"]).select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    return once.union(_byte_checked(looked_up(hashed.select("doc_id", "digest", "key", "text"), repeated, ["key"])))
 
 
-def _byte_checked(rows: DataFrame) -> DataFrame:
+def _byte_checked(again: DataFrame) -> DataFrame:
     """Compares the rows of each repeated key with the row that stays; unequal ones form groups by their own text."""
-    parts = F.ceil(F.col("n") / 2000).cast("int")
-    again = rows.filter("n > 1")
+    again = materialize(again.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("n") / 2000)).cast("int")))
     stays = again.filter("doc_id <=> top").groupBy("key", "n").agg(F.min("text").alias("kept_text"))
-    stays = stays.select("key", "kept_text", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    checked = again.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), parts).cast("int")).join(stays, ["key", "part"], "left")
+    stays = stays.select("key", "kept_text", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / 2000).cast("int") - 1)).alias("part"))
     same = F.coalesce(F.col("text") == F.col("kept_text"), F.lit(False))
-    checked = materialize(checked.select("doc_id", "digest", "key", "n", "top", F.when(~same, F.col("text")).alias("other")))
-    once = rows.filter("n is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
+    checked = materialize(again.join(stays, ["key", "part"], "left").select("doc_id", "digest", "key", "n", "top", F.when(~same, F.col("text")).alias("other")))
     if checked.filter("other is not null").isEmpty():
-        many = checked.select("doc_id", F.col("top").alias("keep_id"), F.col("n").alias("group_size"), "digest")
-    else:
-        split = checked.groupBy("key", "other").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
-        s = split.select(F.col("key").alias("_k"), F.col("other").alias("_o"), "group_size", "keep_id")
-        many = checked.join(s, (F.col("key") == F.col("_k")) & F.col("other").eqNullSafe(F.col("_o"))).select("doc_id", "keep_id", "group_size", "digest")
-    return once.union(many).select(
+        return checked.select("doc_id", "digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"))
+    split = checked.groupBy("key", "other").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
+    s = split.select(F.col("key").alias("_k"), F.col("other").alias("_o"), "group_size", "keep_id")
+    return checked.join(s, (F.col("key") == F.col("_k")) & F.col("other").eqNullSafe(F.col("_o"))).select("doc_id", "digest", "keep_id", "group_size")
+
+
+def dedup(docs: DataFrame, incoming: Column | None = None, key_bytes: int = 32, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after lower-casing A-Z; the largest doc_id
+    stays. ``incoming`` marks the batch, the other rows are the snapshot (by
+    default a quarter of the ids, by hash, is the batch). ``key_bytes`` cuts
+    the SHA-256 that groups rows; the byte check holds for any length. Null
+    text is the empty text, null doc_id sorts below all others, equal rows
+    under one doc_id share ``kept``, rows that repeat a doc_id with other texts
+    are judged each by its own text; an empty table gives an empty result and
+    other columns are not read.
+    """
+    return _judged(docs, incoming, key_bytes, bucket_keys).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
-def keep_last(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without exact copies: the rows whose doc_id ``dedup`` keeps, once each where one doc_id repeats a text."""
-    kept = dedup(docs, **options).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times"))
-    rows = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
-    once = rows.filter("_times = 1").drop("_times")
-    return once.unionByName(rows.filter("_times > 1").drop("_times").dropDuplicates())
+def keep_last(docs: DataFrame, incoming: Column | None = None, key_bytes: int = 32, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """``docs`` without exact copies: of each group of equal texts one row with the largest doc_id stays, whole and by its own text."""
+    many = materialize(_judged(docs, incoming, key_bytes, bucket_keys).filter("group_size > 1").groupBy("doc_id", "digest", "keep_id").agg(F.count(F.lit(1)).alias("times")))
+    whole = docs.select("doc_id", F.unhex(F.sha2(ascii_lower(text_of()), 256)).alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"))
+    gone = materialize(many.filter("not doc_id <=> keep_id").select("doc_id", "digest"))
+    left = without(whole, gone, ["doc_id", "digest"])
+    equal = materialize(many.filter("doc_id <=> keep_id and times > 1").select("doc_id", "digest"))  # rows repeated under one doc_id
+    if not equal.isEmpty():
+        left = without(left, equal, ["doc_id", "digest"]).union(only(left, equal, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]))
+    return left.select(*[F.col("_whole").getField(c).alias(c) for c in docs.columns])
