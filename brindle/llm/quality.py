@@ -1,7 +1,7 @@
 """Quality rules (native): robust multivariate outliers.
 
 For each language and source a minimum-covariance-determinant estimate is
-reached by concentration steps; documents whose transformed statistics lie far
+reached by concentration steps from two starts; documents whose transformed statistics lie far
 by Mahalanobis distance are rejected. Everything is grouped DataFrame
 aggregation: one scan of the texts, then small jobs over narrow rows.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import SPACE_CHARS, WORD_CLASS, let, materialize, salted_join, words_of
+from brindle.llm.common import SPACE_CHARS, WORD_CLASS, let, materialize, salted_join, without, words_of
 
 FEATURES = ("len", "mean", "sym", "dup", "rep")
 #: Smallest spread that counts, in each feature's own unit; a group's own spread
@@ -100,14 +100,14 @@ def _pools(rows: DataFrame) -> DataFrame:
     )
 
 
-def _whitened(moments: DataFrame, scale: Column) -> DataFrame:
-    """From count n, sums s_i and s_i_j: means m_i and the inverse Cholesky factor w_i_j of the covariance times ``scale``."""
+def _whitened(moments: DataFrame) -> DataFrame:
+    """From count n, sums s_i and s_i_j of each (g, start): means m_i, the inverse Cholesky factor w_i_j of the covariance, and the logarithm of its determinant."""
     out = moments
     for i in FEATURES:
         out = out.withColumn(f"m_{i}", F.col(f"s_{i}") / F.col("n"))
     for a, i in enumerate(FEATURES):
         for j in FEATURES[: a + 1]:
-            cov = (F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) * scale
+            cov = F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")
             out = out.withColumn(f"c_{i}_{j}", F.greatest(cov, F.lit(float((FLOOR[i] * UNIT) ** 2))) if i == j else cov)
     for a, i in enumerate(FEATURES):
         for b, j in enumerate(FEATURES[: a + 1]):
@@ -123,7 +123,8 @@ def _whitened(moments: DataFrame, scale: Column) -> DataFrame:
             else:
                 dot = sum((F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in FEATURES[b + 1 : a]), F.col(f"l_{i}_{j}") * F.col(f"w_{j}_{j}"))
                 out = out.withColumn(f"w_{i}_{j}", -dot / F.col(f"l_{i}_{i}"))
-    return out.select("g", *[f"m_{i}" for i in FEATURES], *[f"w_{i}_{j}" for a, i in enumerate(FEATURES) for j in FEATURES[: a + 1]])
+    size = sum((2 * F.log(f"l_{i}_{i}") for i in FEATURES[1:]), 2 * F.log(f"l_{FEATURES[0]}_{FEATURES[0]}"))
+    return out.select("g", "start", size.alias("logdet"), *[f"m_{i}" for i in FEATURES], *[f"w_{i}_{j}" for a, i in enumerate(FEATURES) for j in FEATURES[: a + 1]])
 
 
 def _distance() -> Column:
@@ -136,53 +137,65 @@ def _distance() -> Column:
     return total
 
 
-def _start(fit: DataFrame) -> DataFrame:
-    """Medians and scaled interquartile ranges of each group. The values are whole numbers of few kinds, so exact percentiles are counted, not collected."""
-    quarts = fit.groupBy("g").agg(*[F.percentile((F.col(f"x_{i}") / 16).cast("long"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}") for i in FEATURES])
+def _medians(core: DataFrame) -> DataFrame:
+    """The first start: medians and scaled interquartile ranges of each group. The values are whole numbers of few kinds, so exact percentiles are counted, not collected."""
+    quarts = core.groupBy("g").agg(*[F.percentile((F.col(f"x_{i}") / 16).cast("long"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}") for i in FEATURES])
     cols = [(F.get(f"q_{i}", F.lit(1)) * 16).alias(f"m_{i}") for i in FEATURES]
     for a, i in enumerate(FEATURES):
         for j in FEATURES[: a + 1]:
             spread = (F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) * 16 / 1.349
             cols.append((1.0 / F.greatest(spread, F.lit(FLOOR[i] * UNIT)) if i == j else F.lit(0.0)).alias(f"w_{i}_{j}"))
-    return quarts.select("g", *cols)
+    return quarts.select("g", F.lit(0).alias("start"), F.lit(float("inf")).alias("logdet"), *cols)
 
 
-def _concentrate(fit: DataFrame, params: DataFrame) -> DataFrame:
-    """One step: mean and covariance of each group's nearest rows.
+def _sums() -> list[Column]:
+    return [F.sum(f"x_{i}").alias(f"s_{i}") for i in FEATURES] + [F.sum(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"s_{i}_{j}") for a, i in enumerate(FEATURES) for j in FEATURES[: a + 1]]
 
-    Distances fall into bins of fixed width on a log scale; the bins carry
-    counts and moments and are cut where the core's share is reached, so no
-    group is ever sorted.
-    """
-    d = salted_join(fit, params, ["g"], F.col("doc_id"), how="inner").withColumn("d2", _distance())
-    sums = [F.sum(f"x_{i}").alias(f"s_{i}") for i in FEATURES]
-    sums += [F.sum(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"s_{i}_{j}") for a, i in enumerate(FEATURES) for j in FEATURES[: a + 1]]
-    names = ["n", *[f"s_{i}" for i in FEATURES], *[f"s_{i}_{j}" for a, i in enumerate(FEATURES) for j in FEATURES[: a + 1]]]
-    bins = d.groupBy("g", F.floor(F.log1p("d2") * 32).alias("bin")).agg(F.count(F.lit(1)).alias("n"), *sums)
-    upto = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    core = bins.withColumn("below", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("g"))).filter(F.col("below") < F.col("all") * CORE)
-    return core.groupBy("g").agg(*[F.sum(c).alias(c) for c in names])
+
+def _moments(core: DataFrame) -> DataFrame:
+    """The second start: mean and covariance of all rows of each group."""
+    return _whitened(core.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *_sums()).withColumn("start", F.lit(1)))
+
+
+def _core_bins(rows: DataFrame, keys: list[str], *sums: Column) -> DataFrame:
+    """Bins of distance (on a log scale, of fixed width) that hold the nearest CORE of each key's rows, so no group is ever sorted."""
+    bins = rows.groupBy(*keys, F.floor(F.log1p("d2") * 32).alias("bin")).agg(F.count(F.lit(1)).alias("n"), *sums)
+    w = Window.partitionBy(*keys)
+    below = F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return bins.withColumn("below", below).withColumn("all", F.sum("n").over(w)).filter(F.col("below") < F.col("all") * CORE)
+
+
+def _concentrate(core: DataFrame, params: DataFrame) -> DataFrame:
+    """One step: moments of each group's nearest rows, for every start at once."""
+    d = salted_join(core, params, ["g"], F.col("doc_id"), how="inner").withColumn("d2", _distance())
+    near = _core_bins(d, ["g", "start"], *_sums())
+    return near.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in ["n", *[f"s_{i}" for i in FEATURES], *[f"s_{i}_{j}" for a, i in enumerate(FEATURES) for j in FEATURES[: a + 1]]]])
 
 
-def fit(rows: DataFrame, steps: int = 3) -> DataFrame:
+def fit(rows: DataFrame, most_steps: int = 12) -> DataFrame:
     """(lang, source, _fit): location, whitening, edge and size of the group that judges each language and source.
 
     ``rows`` are featured (see ``_features``) and hold base_failed; the rows
-    that pass the base rules are fitted, pooled for small groups. The edge is
-    the core's largest distance, which scales distances to chi-square.
+    that pass the base rules are fitted, pooled for small groups. Steps go on
+    from both starts until no determinant moves; of each group's two ends the
+    one with the smaller determinant counts. The edge is the core's largest
+    distance, which scales distances to chi-square.
     """
     pools = materialize(_pools(rows))
     core = salted_join(rows.filter("not base_failed"), pools, ["lang", "source"], F.col("doc_id"), how="inner")
     core = materialize(core.select("doc_id", "g", *[f"x_{i}" for i in FEATURES]))
-    params = materialize(_start(core))
-    for _ in range(steps):
-        params = materialize(_whitened(_concentrate(core, params), F.lit(1.0)))
-    d = salted_join(core, params, ["g"], F.col("doc_id"), how="inner").withColumn("bin", F.floor(F.log1p(_distance()) * 32))
-    bins = d.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    cum = bins.withColumn("below", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
-    edge = cum.filter(F.col("below") < F.col("all") * CORE).groupBy("g").agg(F.expm1((F.max("bin") + 1) / 32.0).alias("edge"), F.max("all").alias("n_group"))
-    final = params.join(edge, "g")
+    params = materialize(_medians(core).unionByName(_moments(core)))
+    for _ in range(most_steps):
+        after = materialize(_whitened(_concentrate(core, params)))
+        moved = after.join(params.select("g", "start", F.col("logdet").alias("was")), ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        params = after
+        if moved is None or moved < 0.01:
+            break
+    least = params.groupBy("g").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
+    params = materialize(params.join(least, ["g", "start"]))
+    d = salted_join(core, params, ["g"], F.col("doc_id"), how="inner").withColumn("d2", _distance())
+    edge = _core_bins(d, ["g"]).groupBy("g").agg(F.expm1((F.max("bin") + 1) / 32.0).alias("edge"), F.max("all").alias("n_group"))
+    final = params.drop("start", "logdet").join(edge, "g")
     return materialize(pools.join(final, "g").select("lang", "source", F.struct(*[c for c in final.columns if c != "g"]).alias("_fit")))
 
 
@@ -200,7 +213,7 @@ def _judged(rows: DataFrame, fitted: DataFrame, cut: float) -> DataFrame:
     return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.col("distance"), F.lit(0.0)) <= cut))
 
 
-def judge(docs: DataFrame, steps: int = 3, cut: float = CHI2_CUT) -> DataFrame:
+def judge(docs: DataFrame, cut: float = CHI2_CUT) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang, source, the counts, base_failed, distance, kept.
 
     Null text has no words and fails the base rules; null lang and source are
@@ -208,14 +221,15 @@ def judge(docs: DataFrame, steps: int = 3, cut: float = CHI2_CUT) -> DataFrame:
     an empty result and extra columns are not read.
     """
     rows = materialize(_features(statistics(docs)).withColumn("base_failed", base_failed()))
-    return _judged(rows, fit(rows, steps), cut).select(
+    return _judged(rows, fit(rows), cut).select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"
     )
 
 
-def accept(docs: DataFrame, steps: int = 3, cut: float = CHI2_CUT) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their own columns. The verdict is worked out in the row, so texts aren't shuffled."""
-    packed = docs.select("doc_id", "lang", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    narrow = materialize(_features(statistics(docs)).withColumn("base_failed", base_failed()))
-    rows = _features(statistics(packed, ("doc_id", "lang", "source", "_row"))).withColumn("base_failed", base_failed())
-    return _judged(rows, fit(narrow, steps), cut).filter("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+def accept(docs: DataFrame, cut: float = CHI2_CUT) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns. Texts are counted once; the rejected ones are listed by id, language, source and text hash, and taken out."""
+    named = docs.select("doc_id", "lang", "source", "text", F.xxhash64("text").alias("_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"))
+    keys = ["_h", "doc_id", "lang", "source"]
+    narrow = materialize(_features(statistics(named, (*keys,))).withColumn("base_failed", base_failed()))
+    gone = materialize(_judged(narrow, fit(narrow), cut).filter("not kept").select(*keys).distinct())
+    return without(named.select(*keys, "_whole"), gone, keys).select(*[F.col("_whole").getField(c).alias(c) for c in docs.columns])
