@@ -90,17 +90,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def pair_counts(docs: DataFrame) -> DataFrame:
     """(h, c): hashed pairs of neighbouring tokens; a document's first token follows an end."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for part in _slices(batch, 0):
-                kinds, stream, _ = _streams(part.column(0))
-                h = _hash(kinds)[stream]
-                before = np.empty_like(h)
-                before[1:], before[:1] = h[:-1], _hash([END])
-                found.append(_pair(before, h))
-            kind, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            for i in range(0, len(kind), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(kind[i : i + 500_000].view(np.int64)), pa.array(n[i : i + 500_000])], names=["h", "n"])
+        for part in (p for batch in batches for p in _slices(batch, 0)):
+            kinds, stream, _ = _streams(part.column(0))
+            h = _hash(kinds)[stream]
+            before = np.empty_like(h)
+            before[1:], before[:1] = h[:-1], _hash([END])
+            kind, n = np.unique(_pair(before, h), return_counts=True)
+            for i in range(0, len(kind), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(kind[i : i + 200_000].view(np.int64)), pa.array(n[i : i + 200_000])], names=["h", "n"])
 
     return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
