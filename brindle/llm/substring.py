@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import discard, materialize, release, text_of
+from brindle.llm.common import discard, looked_up, materialize, release, text_of
 
 #: Words of a window, and of an anchor. A window holds WINDOW - ANCHOR + 1 anchors' places.
 WINDOW, ANCHOR = 13, 6
@@ -75,17 +75,17 @@ def _windows(words: np.ndarray, offsets: np.ndarray, window: int, anchor: int) -
 
 
 def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(a, doc_id): each document's winnowed anchors."""
+    """(a, doc_id, t): each text's winnowed anchors."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for first, _, _, words, offsets in _chunks(batch.column(1)):
+            for first, _, _, words, offsets in _chunks(batch.column(2)):
                 _, row, place, h = _windows(words, offsets, window, anchor)
                 new = np.ones(len(place), bool)
                 new[1:] = place[1:] != place[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), ids.take(pa.array(row[new] + first))], names=["a", "doc_id"])
+                own = batch.select([0, 1]).take(pa.array(row[new] + first))
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), *own.columns], names=["a", "doc_id", "t"])
 
-    return docs.mapInArrow(find, "a long, doc_id long")
+    return docs.select("doc_id", "t", "text").mapInArrow(find, "a long, doc_id long, t long")
 
 
 def _sets(column: pa.Array, row: int) -> np.ndarray:
@@ -94,27 +94,28 @@ def _sets(column: pa.Array, row: int) -> np.ndarray:
 
 
 def extend(docs: DataFrame, seeds: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(w, doc_id): hashes of the windows around each document's shared anchors (seeds.found)."""
+    """(w, doc_id, t): hashes of the windows around each text's shared anchors (seeds.found)."""
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch.column(0), batch.column(2)
-            for first, _, _, words, offsets in _chunks(batch.column(1)):
+            found = batch.column(3)
+            for first, _, _, words, offsets in _chunks(batch.column(2)):
                 start, row, _, h = _windows(words, offsets, window, anchor)
                 whole = _grams(words, window)[start]
                 edges = np.searchsorted(row, np.arange(len(offsets)))
                 keep = np.zeros(len(start), bool)
                 for r in range(len(offsets) - 1):
                     keep[edges[r] : edges[r + 1]] = np.isin(h[edges[r] : edges[r + 1]], _sets(found, first + r))
-                yield pa.RecordBatch.from_arrays([pa.array(whole[keep].view(np.int64)), ids.take(pa.array(row[keep] + first))], names=["w", "doc_id"])
+                own = batch.select([0, 1]).take(pa.array(row[keep] + first))
+                yield pa.RecordBatch.from_arrays([pa.array(whole[keep].view(np.int64)), *own.columns], names=["w", "doc_id", "t"])
 
-    return docs.join(seeds, "doc_id").select("doc_id", "text", "found").mapInArrow(grow, "w long, doc_id long")
+    return docs.join(seeds, ["doc_id", "t"]).select("doc_id", "t", "text", "found").mapInArrow(grow, "w long, doc_id long, t long")
 
 
 def whole_copies(docs: DataFrame) -> DataFrame:
-    """doc_id of each document whose whole text a smaller document has too."""
-    digests = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
-    least = digests.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    return digests.join(least, "digest").filter("lo < doc_id").select("doc_id").distinct()
+    """(doc_id, t) of each text that a smaller document has as a whole."""
+    digests = docs.select("doc_id", "t", F.unhex(F.sha2("text", 256)).alias("digest"))
+    least = materialize(digests.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("digest", "lo"))
+    return looked_up(digests, least, ["digest"]).filter("lo < doc_id").select("doc_id", "t").distinct()
 
 
 def cut(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
@@ -147,7 +148,7 @@ def cut(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    marked = docs.join(repeats.withColumn("hit", F.lit(True)), "doc_id", "left")
+    marked = docs.join(repeats.withColumn("hit", F.lit(True)), ["doc_id", "t"], "left")
     copied = F.coalesce(F.col("hit") & F.col("found").isNull(), F.lit(False)).alias("copied")
     return marked.select("doc_id", "text", "found", copied).mapInArrow(drop, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
@@ -157,7 +158,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
 
     Removes each word covered by a ``window``-word window whose words also
     start in a document with a smaller doc_id, judged on the input. A repeat
-    inside one document, or between rows with one doc_id, is left. Anchors and
+    inside one document, or between rows with one doc_id, is left; such rows are cut each by its own text (t, its hash). Anchors and
     windows meet as (hash, smallest doc_id) pairs summed before the shuffle, so
     a passage in a third of all documents costs a row for each task, not pairs.
     A document that repeats a smaller one as a whole is found by digest; it is
@@ -169,14 +170,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     if not 1 <= anchor < window:
         raise ValueError("an anchor must be shorter than a window")
     spark = docs.sparkSession
-    texts = docs.select("doc_id", text_of().alias("text"))
+    texts = docs.select("doc_id", text_of().alias("text")).withColumn("t", F.xxhash64("text"))
     owned = texts.filter("doc_id is not null")
     copies = materialize(whole_copies(owned))
     found = anchors(owned, window, anchor)
     # What is shared is written before it is joined back: the sums' shuffle files can go, and the join's two plain exchanges let Spark split a hot hash.
     shared = materialize(found.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("a"))
     release(spark)
-    seeds = materialize(found.join(shared.hint("merge"), "a").groupBy("doc_id").agg(F.collect_set("a").alias("found")).join(copies, "doc_id", "left_anti"))
+    seeds = materialize(found.join(shared.hint("merge"), "a").groupBy("doc_id", "t").agg(F.collect_set("a").alias("found")).join(copies, ["doc_id", "t"], "left_anti"))
     discard(shared)
     release(spark)
     windows = materialize(extend(owned, seeds, window, anchor))
@@ -184,7 +185,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     release(spark)
     least = materialize(windows.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w", "lo"))
     release(spark)
-    repeats = materialize(windows.join(least.hint("merge"), "w").filter("lo < doc_id").groupBy("doc_id").agg(F.collect_set("w").alias("found")))
+    repeats = materialize(windows.join(least.hint("merge"), "w").filter("lo < doc_id").groupBy("doc_id", "t").agg(F.collect_set("w").alias("found")))
     discard(windows)
     discard(least)
     release(spark)
