@@ -92,6 +92,8 @@ def mix_plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float
 def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seeds: int = 16) -> DataFrame:
     """The mixed corpus: every row of ``docs``, all its columns, as often as ``mix_plan`` says (at most ``most`` times, rounded up)."""
     sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    planned = salted_join(docs, mix_rates(sizes, weights, share, most, seeds), ["source"], F.col("doc_id"))
-    taken = planned.withColumn("_copies", _copies()).filter("_copies > 0")
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    packed = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"))
+    planned = salted_join(packed, mix_rates(sizes, weights, share, most, seeds), ["source"], F.col("doc_id"))
+    taken = planned.select("_whole", _copies().alias("_times")).filter("_times > 0")
+    copies = taken.select("_whole", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
+    return copies.select(*[F.col("_whole").getField(c).alias(c) for c in docs.columns])
