@@ -53,12 +53,32 @@ def row_hash(*cells: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(F.lower(collapse(c)), F.lit("")) for c in cells])), 1, 12)
 
 
-def record_id(host: Column, *parts: Column) -> Column:
-    """Host and the first part that has text, else a digest of nothing but the host; cut at 220 characters."""
-    named = F.coalesce(*[F.when(F.trim(p) != "", F.trim(p)) for p in parts], F.substring(F.md5(host), 1, 16))
+def record_id(host: Column, names: list[Column], cells: list[Column]) -> Column:
+    """Host and the first name that has text, else a digest of the record's cells; cut at 220 characters."""
+    digest = F.substring(F.md5(F.concat_ws("|", host, *[F.coalesce(c, F.lit("")) for c in cells])), 1, 16)
+    named = F.coalesce(*[F.when(F.trim(p) != "", F.trim(p)) for p in names], digest)
     return F.substring(F.concat_ws("|", host, named), 1, 220)
 
 
+def clauses(c: Column, most: int = 5) -> Column:
+    """Sections that a text cites, in order, each once."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(r"[Ss]ection\s+\d+[A-Za-z]*"), F.lit(0))), 1, most)
+
+
+def first_tag(c: Column, tags: list[tuple[tuple[str, ...], str]], otherwise: str) -> Column:
+    """The tag of the first group of words of which the text contains one."""
+    low, out = F.lower(F.coalesce(c, F.lit(""))), F.lit(otherwise)
+    for words, tag in reversed(tags):
+        out = F.when(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)), F.lit(tag)).otherwise(out)
+    return out
+
+
+def all_tags(c: Column, tags: list[tuple[str, str]], most: int = 6) -> Column:
+    """Tags of all words that the text contains, each once, at most ``most``."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.slice(F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(t)) for w, t in tags]))), 1, most)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Share of words in common of two texts; 0 where neither has words."""
     words = lambda c: F.array_remove(F.array_distinct(F.split(plain_name(c), " ")), "")

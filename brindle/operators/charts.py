@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from brindle.operators.core import keep_first, majority
 from brindle.operators.quantiles import exclusive_quantile
 
 
+#: Names of columns that number or date rows and are no measures (fixed value).
+ID_LIKE = re.compile(r"(?i)(^|[_\s-])(id|no|serial|rank|index|year|date|month|period|quarter)([_\s-]|$)")
+
+
 def nice_step(span: float, bins: int = 6) -> float:
     """The smallest of 1, 2, 2.5, 5 times a power of ten that cuts a span into about ``bins`` bins."""
     if span <= 0:
@@ -95,3 +100,26 @@ def unit_series(df: DataFrame, label: str, value: str, unit: str, row: str) -> D
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key."""
     return keep_first(df, [key], [F.desc(order)])
+
+
+def graph_parameters(df: DataFrame, columns: list[str], read, row: str = "_row") -> DataFrame:
+    """(name, unit, points): columns that a graph can show, by a reader of measures (``read``: Column -> struct of value and unit).
+
+    A column counts when four of five of its filled cells are measures; its
+    unit is the most frequent one, ties to the first seen. One pass over the
+    table turned long.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("cell")) for c in columns if not ID_LIKE.search(c)])
+    long = df.select(F.col(row).alias("_row"), F.explode(cells).alias("_c")).select("_row", "_c.name", "_c.cell").filter("trim(cell) <> ''").withColumn("_m", F.explode(F.array(read(F.col("cell")))))
+    sizes = long.groupBy("name").agg(F.count(F.lit(1)).alias("filled"), F.count("_m").alias("hits"))
+    units = long.filter("_m is not null").groupBy("name", F.col("_m.unit").alias("unit")).agg(F.count(F.lit(1)).alias("points"), F.min("_row").alias("_first"))
+    best = units.groupBy("name").agg(F.max_by(F.struct("unit", "points"), F.struct("points", -F.col("_first"))).alias("_b"))
+    return sizes.filter(F.col("hits") >= F.greatest(F.lit(1), F.ceil(0.8 * F.col("filled")))).join(best, "name").select("name", "_b.unit", "_b.points")
+
+
+def graph_series(df: DataFrame, x: str, y: str, unit: str, read) -> tuple[DataFrame, DataFrame]:
+    """Points (x, value, raw) of a column in its unit, and how many filled cells were left out."""
+    measured = df.withColumn("_m", F.explode(F.array(read(F.col(y)))))
+    same = F.coalesce(F.col("_m.unit") == unit, F.lit(False))
+    points = measured.filter(same).select(F.col(x).alias("x"), F.col("_m.value").alias("value"), F.trim(y).alias("raw"))
+    return points, measured.agg(F.count_if(~same & (F.trim(F.coalesce(y, F.lit(""))) != "")).alias("omitted"))

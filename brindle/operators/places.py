@@ -38,14 +38,17 @@ def search_order(areas: DataFrame, terms: DataFrame) -> DataFrame:
     return spread.join(terms, "t").select("shift", "a", "area", "term").orderBy("shift", "a")
 
 
-def lead_score(rating: Column, reviews: Column, phone: Column, website: Column, open_: Column) -> Column:
-    """0 to 100 from what is known about a place."""
-    has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
-    points = (
-        F.when(F.coalesce(rating, F.lit(0.0)) >= 4.5, 30).when(F.coalesce(rating, F.lit(0.0)) >= 4.0, 22).when(F.coalesce(rating, F.lit(0.0)) >= 3.0, 10).otherwise(0)
-        + F.when(F.coalesce(reviews, F.lit(0)) >= 200, 25).when(F.coalesce(reviews, F.lit(0)) >= 50, 18).when(F.coalesce(reviews, F.lit(0)) >= 10, 8).otherwise(0)
-        + F.when(has(phone), 20).otherwise(0) + F.when(has(website), 15).otherwise(0) + F.when(F.coalesce(open_, F.lit(False)), 10).otherwise(0)
-    )
+def lead_score(rating: Column, reviews: Column, phone: Column, state: Column, has_site: Column, sells_web: bool = False, weak_site: Column | None = None, email: Column | None = None) -> Column:
+    """0 to 100: reachable, well rated and reviewed, in business, and the website signal. Who sells web services wants places without a site, or with a weak one."""
+    filled = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    site = F.coalesce(has_site, F.lit(False))
+    tests = [
+        (filled(phone), 25), (F.coalesce(rating, F.lit(0.0)) >= 4.0, 20), (F.coalesce(reviews, F.lit(0)) >= 50, 15), (F.coalesce(state == "Operational", F.lit(False)), 10),
+        (~site if sells_web else site, 30), (site & F.coalesce(weak_site, F.lit(False)) if sells_web and weak_site is not None else F.lit(False), 20), (filled(email) if email is not None else F.lit(False), 5),
+    ]
+    points = F.lit(0)
+    for test, n in tests:
+        points = points + F.when(test, n).otherwise(0)
     return F.least(points, F.lit(100))
 
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.numbers import add_number, duration_minutes
+from brindle.functions.numbers import add_number
 from brindle.functions.periods import parse_period
-from brindle.functions.text import collapse, group_key, is_missing, is_url, site_of
-from brindle.operators.core import majority
+from brindle.functions.text import MISSING, collapse, group_key, is_missing, is_url, site_of
 
 #: Header words that decide a column's kind (fixed values).
 MEASURE_NAME = r"(?i)price|cost|amount|revenue|sales|range|battery|power|speed|capacity|score|count|qty|quantity|value|volume|percentage|percent|charging.*time|duration"
@@ -42,38 +41,43 @@ def cells_of(df: DataFrame, columns: list[str], row: str = "_row") -> DataFrame:
 
 
 def profile_table(df: DataFrame, columns: list[str], row: str = "_row") -> DataFrame:
-    """One row per column: counts, kind, scale, majority currency and suffix. Three grouped aggregates over one long table."""
-    cells = add_number(cells_of(df, columns, row), "cell", "num").withColumn("gone", is_missing(F.col("cell")))
-    cells = cells.withColumn("minutes", F.when(~F.col("gone"), duration_minutes(F.col("cell")))).withColumn("key", group_key(F.col("cell")))
-    cells = cells.withColumn("period", F.explode(F.array(F.when(~F.col("gone"), parse_period(F.col("cell"))))))
-    there = ~F.col("gone")
-    value = F.col("num.value")
+    """One row per column: counts, kind, scale, majority currency, suffix and grain.
+
+    Equal cells are counted first, so each is read once however often it
+    occurs; what is read is summed by (column, currency, suffix, grain), and
+    counts and majorities all come from that small table.
+    """
+    cells = cells_of(df, columns, row).groupBy("name", F.lower(collapse(F.col("cell"))).alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("cell", "_row").alias("cell"), F.min("_row").alias("first"), F.max("_row").alias("last"), F.sum(F.char_length("cell")).alias("length")
+    )
+    cells = add_number(cells, "cell", "num").withColumn("there", ~F.col("key").isin(*MISSING))
+    cells = cells.withColumn("period", F.explode(F.array(F.when(F.col("there"), parse_period(F.col("cell"))))))
+    there, value = F.col("there"), F.col("num.value")
     decimals = F.when(value.isNotNull(), F.char_length(F.regexp_replace(F.regexp_extract(value.cast("string"), r"\.(\d+)$", 1), "0+$", "")))
-    stats = cells.groupBy("name").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(there).alias("filled"),
-        F.count_if(~there).alias("missing"),
-        F.count_distinct("key").alias("distinct"),
-        F.count_if(there & is_url(F.col("cell"))).alias("urls"),
-        F.count("num").alias("numbers"),
-        F.count_if(F.col("num.currency").isNotNull()).alias("monies"),
-        F.count_if(F.coalesce(F.col("num.percent"), F.lit(False))).alias("percents"),
-        F.count("minutes").alias("durations"),
-        F.count("period").alias("periods"),
-        F.count_if(there & F.col("cell").rlike(r"^\d{4}$")).alias("plain_years"),
-        F.count_if(there & F.col("cell").rlike(r"(?i)^\d{1,2}[a-z]{1,4}$")).alias("codes"),
-        F.avg(F.when(there, F.char_length("cell"))).alias("mean_length"),
-        F.coalesce(F.max(decimals), F.lit(0)).alias("scale"),
-        F.min(F.when(there, F.col("_row"))).alias("first_row"),
-        F.max(F.when(there, F.col("_row"))).alias("last_row"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
-        F.count_if(value == F.col("_row") + 1).alias("in_order"),
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    parts = cells.groupBy("name", F.col("num.currency").alias("currency"), F.col("num.suffix").alias("suffix"), F.col("period.grain").alias("grain")).agg(
+        F.sum("n").alias("rows"),
+        total(there).alias("filled"),
+        F.count_if(there).alias("distinct"),
+        total(there & is_url(F.col("cell"))).alias("urls"),
+        total(F.col("num").isNotNull()).alias("numbers"),
+        total(F.col("num.currency").isNotNull()).alias("monies"),
+        total(F.coalesce(F.col("num.percent"), F.lit(False))).alias("percents"),
+        total(F.col("period").isNotNull()).alias("periods"),
+        total(there & F.col("cell").rlike(r"^\d{4}$")).alias("plain_years"),
+        total(there & F.col("cell").rlike(r"(?i)^\d{1,2}[a-z]{1,4}$")).alias("codes"),
+        F.sum(F.when(there, F.col("length"))).alias("length"),
+        F.max(decimals).alias("scale"),
+        F.min(F.when(there, F.col("first"))).alias("first"),
+        F.count_if((F.col("n") == 1) & (value == F.col("first") + 1)).alias("in_order"),
     )
-    currency = majority(cells.select("name", "_row", F.col("num.currency").alias("currency")), ["name"], "currency", "_row")
-    suffix = majority(cells.select("name", "_row", F.col("num.suffix").alias("suffix")), ["name"], "suffix", "_row")
-    grain = majority(cells.select("name", "_row", F.col("period.grain").alias("grain")), ["name"], "grain", "_row")
-    s = stats.join(currency, "name", "left").join(suffix, "name", "left").join(grain, "name", "left")
+    for c in ("currency", "suffix", "grain"):
+        own = Window.partitionBy("name", c)
+        parts = parts.withColumn(f"_{c}", F.when(F.col(c).isNotNull(), F.struct(F.sum("filled").over(own).alias("n"), (-F.min("first").over(own)).alias("first"))))
+    sums = [F.sum(c).alias(c) for c in ("rows", "filled", "distinct", "urls", "numbers", "monies", "percents", "periods", "plain_years", "codes", "in_order")]
+    s = parts.groupBy("name").agg(
+        *sums, F.coalesce(F.max("scale"), F.lit(0)).alias("scale"), (F.sum("length") / F.nullif(F.sum("filled"), F.lit(0))).alias("mean_length"), *[F.max_by(c, f"_{c}").alias(c) for c in ("currency", "suffix", "grain")]
+    ).withColumn("missing", F.col("rows") - F.col("filled"))
     most = F.greatest(F.lit(1), F.ceil(0.8 * F.col("filled")))
     named, timed, grouped = F.col("name").rlike(MEASURE_NAME), F.col("name").rlike(TIME_NAME), F.col("name").rlike(CATEGORY_NAME)
     few = (F.col("distinct") <= F.when(grouped, 20).otherwise(12)) & (F.col("distinct") <= 0.5 * F.col("filled"))

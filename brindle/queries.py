@@ -405,11 +405,13 @@ def join_counts(spark, sf_dir):
     return core.join_small(read(spark, sf_dir, "nation"), n, "n_nationkey").select("n_name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@register("SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS v FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 5 = 0) b ON a.k = b.k")
+@register("SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS v FROM customer UNION ALL SELECT -1 - s_suppkey, s_name FROM supplier")
 def back_fill(spark, sf_dir):
-    c = read(spark, sf_dir, "customer")
-    table = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("v"))
-    return merge.back_fill(table, c.filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v")), "k", ["v"])
+    """All customers with a third of the names blank, and a reference of all customers and suppliers."""
+    c, s = read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier")
+    table = c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("v"))
+    reference = c.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v")).union(s.select(-1 - F.col("s_suppkey"), "s_name"))
+    return merge.back_fill(table, reference, "k", ["v"])
 
 
 @register("SELECT r.r_name AS area, n.n_name AS term, (n.t - r.a + 25) % 25 AS shift FROM (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS a FROM region) r, (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS t FROM nation) n")
@@ -424,10 +426,13 @@ def group_cap(spark, sf_dir):
     return core.first_per_group(read(spark, sf_dir, "documents"), ["source"], [F.desc("n_chars"), "doc_id"], 3).select("doc_id", "source")
 
 
-@register("SELECT arg_min(doc_id, doc_id) AS doc_id, lower(text) AS k, count(*) AS n FROM documents WHERE n_chars < 200 GROUP BY 2")
+@register("SELECT min(doc_id) AS doc_id, md5(lower(coalesce(text, ''))) AS k, count(*) AS n FROM documents GROUP BY 2")
 def keep_first(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").filter("n_chars < 200").withColumn("k", F.lower("text")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k")))
-    return core.keep_first(d, ["k"], ["doc_id"]).select("doc_id", "k", "n")
+    """Documents by a digest of their lower-cased text, so that the window moves no texts."""
+    k = F.md5(F.lower(F.coalesce("text", F.lit(""))))
+    d = read(spark, sf_dir, "documents").select("doc_id", k.alias("k"))
+    counts = d.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return core.keep_first(d, ["k"], ["doc_id"]).join(counts, "k").select("doc_id", "k", "n")
 
 
 @register("SELECT r_name AS name, row_number() OVER (ORDER BY r_name) AS place FROM region UNION ALL SELECT n_name, row_number() OVER (ORDER BY n_name) FROM nation")
@@ -461,11 +466,12 @@ def row_hash(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", text.row_hash(F.col("c_name"), F.col("c_mktsegment")).alias("h"))
 
 
-@register("SELECT k, v, is_new FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS v, c_custkey % 2 <> 0 AS is_new FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0)")
+@register("SELECT c_custkey AS k, c_mktsegment AS v, FALSE AS is_new FROM customer UNION ALL SELECT -1 - s_suppkey, s_name, TRUE FROM supplier")
 def upsert_rows(spark, sf_dir):
-    c = read(spark, sf_dir, "customer")
-    old = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"), F.lit(1).alias("seq"))
-    new = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.lit("new").alias("v"), F.lit(2).alias("seq"))
+    """All customers are stored; all of them change and all suppliers are new."""
+    c, s = read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier")
+    old = c.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"), F.lit(1).alias("seq"))
+    new = c.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"), F.lit(2).alias("seq")).union(s.select(-1 - F.col("s_suppkey"), "s_name", F.lit(2)))
     return merge.upsert(old, new, "k", "seq").select("k", "v", "is_new")
 
 
@@ -511,23 +517,48 @@ def html_tables(spark, sf_dir):
     return readers.scan_html_tables(read(spark, sf_dir, "pages"))
 
 
-@register()
+@register("""
+    WITH a AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<noscript\\b.*?</noscript\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages),
+    b AS (SELECT page_id, html, trim(regexp_replace(t, '[\\s\\x{85}\\p{Z}]+', ' ', 'g')) AS text FROM a)
+    SELECT page_id, text, length(html) >= 5000 AND length(text) < 4000 AND length(text) < 0.02 * length(html) AS needs_script FROM b
+""")
 def html_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"), text.needs_script(F.col("html")).alias("needs_script"))
 
 
-@register()
+@register("""
+    WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '\\s*[\\[(]\\s*at\\s*[\\])]\\s*', '@', 'g'), '\\s*[\\[(]\\s*dot\\s*[\\])]\\s*', '.', 'g') AS t FROM documents),
+    b AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(t, '[a-z0-9._%+-]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.[a-z]{2,}'))) AS emails FROM a)
+    SELECT doc_id, emails FROM b WHERE len(emails) > 0
+""")
 def email_list(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.emails(F.col("text")).alias("emails")).filter(F.size("emails") > 0)
 
 
 # ---------------------------------------------------------------- live rules over events
-@register()
+@register("""
+    WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    f AS (SELECT user_id, event_id, rn, TRUE AS allowed, [t] AS log FROM e WHERE rn = 1
+          UNION ALL
+          SELECT e.user_id, e.event_id, e.rn, len(list_filter(f.log, lambda x: x > e.t - 86400000000)) < 3,
+                 CASE WHEN len(list_filter(f.log, lambda x: x > e.t - 86400000000)) < 3 THEN list_append(list_filter(f.log, lambda x: x > e.t - 86400000000), e.t) ELSE list_filter(f.log, lambda x: x > e.t - 86400000000) END
+          FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)
+    SELECT event_id, user_id, allowed FROM f
+""")
 def rate_limit(spark, sf_dir):
     return live.sliding_limit(read(spark, sf_dir, "events"), "user_id", "ts", 3, 86_400).select("event_id", "user_id", "allowed")
 
 
-@register()
+@register("""
+    WITH RECURSIVE e AS (SELECT event_id AS seq, user_id, CAST(ts AS DATE) AS day, event_id % 5 + 1 AS calls, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+    f AS (SELECT user_id, seq, day, calls, rn, TRUE AS charged, calls AS d, calls AS m FROM e WHERE rn = 1
+          UNION ALL
+          SELECT user_id, seq, day, calls, rn, ok, d + CASE WHEN ok THEN calls ELSE 0 END, m + CASE WHEN ok THEN calls ELSE 0 END FROM (
+              SELECT e.*, CASE WHEN f.day = e.day THEN f.d ELSE 0 END AS d, CASE WHEN strftime(f.day, '%Y-%m') = strftime(e.day, '%Y-%m') THEN f.m ELSE 0 END AS m,
+                     (CASE WHEN f.day = e.day THEN f.d ELSE 0 END) + e.calls <= 8 AND (CASE WHEN strftime(f.day, '%Y-%m') = strftime(e.day, '%Y-%m') THEN f.m ELSE 0 END) + e.calls <= 60 AS ok
+              FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1))
+    SELECT user_id, seq, day, calls, charged FROM f
+""")
 def usage_meter(spark, sf_dir):
     usage = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.to_date("ts").alias("day"), (F.pmod("event_id", F.lit(5)) + 1).cast("long").alias("calls"))
     return live.metered(usage, 8, 60)
@@ -538,9 +569,11 @@ def last_events(spark, sf_dir):
     return live.keep_recent(read(spark, sf_dir, "events"), "user_id", "event_id", 3).select("event_id", "user_id")
 
 
-@register("SELECT user_id, arg_max(event_type, event_id) AS event_type, count(*) AS n FROM events WHERE event_id <= 5000 GROUP BY 1")
+@register("SELECT user_id, arg_max(event_type, event_id) AS event_type, count(*) AS n FROM events WHERE event_id <= (SELECT max(event_id) FROM events) GROUP BY 1")
 def replay_state(spark, sf_dir):
-    return live.state_at(read(spark, sf_dir, "events"), "user_id", "event_id", "event_type", 5000)
+    """Each user's state as of the last event of the log."""
+    e = read(spark, sf_dir, "events")
+    return live.state_at(e, "user_id", "event_id", "event_type", e.agg(F.max("event_id")).scalar())
 
 
 @register("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type")
@@ -554,12 +587,13 @@ def usage_by_month(spark, sf_dir):
 
 
 @register("""
-    SELECT s_suppkey, least(100, CASE WHEN s_suppkey % 50 / 10.0 >= 4.5 THEN 30 WHEN s_suppkey % 50 / 10.0 >= 4.0 THEN 22 WHEN s_suppkey % 50 / 10.0 >= 3.0 THEN 10 ELSE 0 END
-           + CASE WHEN s_suppkey * 3 >= 200 THEN 25 WHEN s_suppkey * 3 >= 50 THEN 18 WHEN s_suppkey * 3 >= 10 THEN 8 ELSE 0 END + CASE WHEN s_suppkey % 2 = 0 THEN 20 ELSE 0 END + 15 + CASE WHEN s_acctbal > 0 THEN 10 ELSE 0 END) AS score FROM supplier
+    SELECT s_suppkey, least(100, CASE WHEN s_suppkey % 2 = 0 THEN 25 ELSE 0 END + CASE WHEN s_suppkey % 50 / 10.0 >= 4.0 THEN 20 ELSE 0 END + CASE WHEN s_suppkey * 3 >= 50 THEN 15 ELSE 0 END
+           + CASE WHEN s_acctbal > 0 THEN 10 ELSE 0 END + CASE WHEN s_suppkey % 3 <> 0 THEN 30 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 4 = 0 THEN 20 ELSE 0 END + CASE WHEN s_suppkey % 5 = 0 THEN 5 ELSE 0 END) AS score FROM supplier
 """)
 def lead_score(spark, sf_dir):
-    phone = F.when(F.col("s_suppkey") % 2 == 0, F.lit("1"))
-    score = places.lead_score((F.col("s_suppkey") % 50) / 10.0, F.col("s_suppkey") * 3, phone, F.col("s_name"), F.col("s_acctbal") > 0)
+    k = F.col("s_suppkey")
+    mark = lambda n: F.when(k % n == 0, F.lit("1"))
+    score = places.lead_score((k % 50) / 10.0, k * 3, mark(2), F.when(F.col("s_acctbal") > 0, "Operational").otherwise("Closed"), k % 3 == 0, True, k % 4 == 0, mark(5))
     return read(spark, sf_dir, "supplier").select("s_suppkey", score.alias("score"))
 
 
