@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import ROW, ascii_lower, components, discard, let, materialize, numbered, only, release, text_of, without, words_of
+from brindle.llm.common import ROW, ascii_lower, components, discard, let, materialize, only, release, text_of, without, words_of
 
 
 def shingle_hashes(text: Column, size: int) -> Column:
@@ -197,8 +197,8 @@ def _prefixes(texts: DataFrame, size: int, similarity: float) -> DataFrame:
     return texts.select("row", "text").mapInArrow(cut, "row long, n int, pos int, h long")
 
 
-def _sketched(texts: DataFrame, size: int) -> DataFrame:
-    """(row, h, sketch): sets, and the parities of the counts of hashes that fall on each of SKETCH bits. Two sketches differ in no more bits than the sets do in hashes."""
+def _sketches(texts: DataFrame, size: int) -> DataFrame:
+    """(row, n, sketch): a set's size, and the parities of the counts of hashes that fall on each of SKETCH bits. Two sketches differ in no more bits than the sets do in hashes."""
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, stop, offsets, values in shingle_sets(batch.column(1), size):
@@ -207,35 +207,53 @@ def _sketched(texts: DataFrame, size: int) -> DataFrame:
                 odd = (np.bincount(rows * SKETCH + bit, minlength=(stop - first) * SKETCH) & 1).astype(np.uint8)
                 longs = np.packbits(odd.reshape(-1, SKETCH), axis=1).view(np.int64).ravel()
                 sketch = pa.ListArray.from_arrays(np.arange(0, len(longs) + 1, SKETCH // 64, dtype=np.int32), pa.array(longs))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), pa.array(np.diff(offsets), pa.int32()), sketch], names=["row", "n", "sketch"])
+
+    return texts.select("row", "text").mapInArrow(draw, "row long, n int, sketch array<long>")
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """(row, h): the distinct hashes of its word shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, stop, offsets, values in shingle_sets(batch.column(1), size):
                 sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), sets, sketch], names=["row", "h", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), sets], names=["row", "h"])
 
-    return texts.select("row", "text").mapInArrow(draw, "row long, h array<long>, sketch array<long>")
+    return texts.select("row", "text").mapInArrow(run, "row long, h array<long>")
 
 
 def _verified(texts: DataFrame, offers: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of the offered pairs (a, b) those whose sets are similar enough: first by sketches, which reject no such pair, then by the sets."""
-    pairs = materialize(offers)
-    release(texts.sparkSession)
-    ids = materialize(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct())
-    sets = materialize(_sketched(only(texts, ids, ["row"]), shingle))
-    release(texts.sparkSession)
+    """Of the offered pairs (a, b) those whose sets are similar enough: first by sketches, which reject no such pair, then by the sets of those that are left."""
+    def of(df: DataFrame, pairs: DataFrame, make) -> DataFrame:
+        ids = materialize(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct())
+        made = materialize(make(only(df, ids, ["row"]), shingle).dropDuplicates(["row"]))
+        discard(ids)
+        return made
 
-    def side(x: str, *names: str) -> DataFrame:
-        return sets.select(F.col("row").alias(x), *[(F.size("h") if c == "n" else F.col(c)).alias(f"{c}{x}") for c in names])
+    def both(pairs: DataFrame, facts: DataFrame, *names: str) -> DataFrame:
+        side = lambda x: facts.select(F.col("row").alias(x), *[F.col(c).alias(f"{c}{x}") for c in names])
+        return pairs.join(side("a"), "a").join(side("b"), "b")
 
+    pairs = materialize(offers)
+    release(texts.sparkSession)
+    drawn = of(texts, pairs, _sketches)
     apart = F.aggregate(F.zip_with("sketcha", "sketchb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").filter(apart <= (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
-    near = materialize(near.select("a", "b").distinct())
-    both = F.size(F.array_intersect("ha", "hb"))
-    links = materialize(near.join(side("a", "h"), "a").join(side("b", "h"), "b").filter(both >= F.lit(similarity) * (F.size("ha") + F.size("hb") - both)).select("a", "b"))
-    for done in (pairs, ids, sets, near):
-        discard(done)
+    near = both(pairs, drawn, "n", "sketch").filter(apart <= (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
+    near = materialize(near.select("a", "b"))
+    discard(pairs)
+    discard(drawn)
+    release(texts.sparkSession)
+    sets = of(texts, near, _sets)
+    shared = F.size(F.array_intersect("ha", "hb"))
+    links = materialize(both(near, sets, "h").filter(shared >= F.lit(similarity) * (F.size("ha") + F.size("hb") - shared)).select("a", "b"))
+    discard(near)
+    discard(sets)
     release(texts.sparkSession)
     return links
 
 
-def near_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, repeated: bool = False) -> DataFrame:
     """Verified links (a, b), a > b, between rows of ``texts`` (row, text) that connect exactly what all pairs of at least ``similarity`` (Jaccard of word shingles) connect.
 
     Two such sets share a hash in their prefixes (see ``_prefixes``), and at
@@ -243,20 +261,23 @@ def near_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     each prefix hash are offered to the smallest of them, so a group of
     near-copies costs one offer a row. In a second one, each two rows of a hash
     that are not linked yet are offered, whatever their number: those outside
-    the hash's largest linked group to all others.
+    the hash's largest linked group to all others. ``repeated`` says that equal
+    rows occur.
     """
     spark = texts.sparkSession
-    index = materialize(_prefixes(texts, shingle, similarity))
-    of_hash = index.groupBy("h").agg(F.min(F.struct("row", "n", "pos")).alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("h", "least")
-    shared = materialize(index.join(materialize(of_hash).hint("merge"), "h"))
+    index = materialize(_prefixes(texts, shingle, similarity).dropDuplicates(["h", "row"]) if repeated else _prefixes(texts, shingle, similarity))
+    least = materialize(index.groupBy("h").agg(F.min("row").alias("least"), F.max("row").alias("most")).filter("least < most").select("h", "least"))
+    release(spark)
+    shared = materialize(index.join(least.hint("merge"), "h"))
     discard(index)
+    discard(least)
     release(spark)
 
     def fits(n1: str, pos1: str, n2: str, pos2: str) -> Column:
         return F.least(F.col(n1) - F.col(pos1), F.col(n2) - F.col(pos2)) >= (F.col(n1) + F.col(n2)) * F.lit(similarity / (1 + similarity)) - 1e-6
 
-    stars = shared.filter("row <> least.row").filter(fits("n", "pos", "least.n", "least.pos"))
-    first = _verified(texts, stars.select(F.col("row").alias("a"), F.col("least.row").alias("b")).distinct(), shingle, similarity)
+    stars = shared.filter("row <> least")
+    first = _verified(texts, stars.select(F.col("row").alias("a"), F.col("least").alias("b")).distinct(), shingle, similarity)
     roots = components(first).withColumnRenamed("node", "row")
     rooted = materialize(shared.join(roots, "row", "left").select("h", "row", "n", "pos", F.coalesce("root", "row").alias("root")))
     discard(shared)
@@ -271,18 +292,34 @@ def near_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     return first.union(second)
 
 
+def _with_nodes(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with ROW, the node of each row, and whether nodes repeat.
+
+    A node is a document: its doc_id, or, where rows of one doc_id have
+    different texts, a hash of both. Rows without a doc_id have none.
+    """
+    digest = F.xxhash64(text_of())
+    ids = docs.select("doc_id", digest.alias("t")).groupBy("doc_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n"))
+    ids = materialize(ids.filter("n > 1 and doc_id is not null"))
+    unlike = materialize(ids.filter("lo <> hi").select("doc_id"))
+    if unlike.isEmpty():
+        return docs.withColumn(ROW, F.col("doc_id")), not ids.isEmpty()
+    alike = without(docs, unlike, ["doc_id"]).withColumn(ROW, F.col("doc_id"))
+    return alike.unionByName(only(docs, unlike, ["doc_id"]).withColumn(ROW, F.xxhash64("doc_id", digest))), True
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without near-copies: of each group that links reach, one row with the smallest doc_id stays.
+    """``docs`` without near-copies: of each group that links reach, the document with the smallest doc_id stays.
 
-    Groups are of rows, so rows that repeat a doc_id with other texts are
-    judged each by its own text, and of equal rows one stays. Rows without a
+    Rows that repeat a doc_id with other texts are documents of their own; equal
+    rows of one doc_id are one document and stay or go together. Rows without a
     doc_id and wordless texts are in no group and stay.
     """
-    rows = numbered(docs)
+    rows, repeated = _with_nodes(docs)
     texts = rows.filter("doc_id is not null").select(F.col(ROW).alias("row"), text_of().alias("text"))
-    links = materialize(near_pairs(texts, shingle, similarity))
+    links = materialize(near_pairs(texts, shingle, similarity, repeated))
     group = materialize(components(links))
-    ids = only(rows.select(F.col(ROW).alias("node"), "doc_id"), group, ["node"])
+    ids = only(rows.select(F.col(ROW).alias("node"), "doc_id"), group, ["node"]).distinct()
     stays = group.join(ids, "node").groupBy("root").agg(F.min(F.struct("doc_id", "node"))["node"].alias("stays"))
     gone = materialize(group.join(stays, "root").filter("node <> stays").select(F.col("node").alias(ROW)))
     return without(rows, gone, [ROW]).drop(ROW)
