@@ -1,11 +1,12 @@
 """LM scoring with a log-frequency Bloom filter.
 
 Counts of all words and word pairs of the training documents are summed on
-Spark. N-grams enter a Bloom filter of fixed size once for each level of their
-logarithmically quantised count; the filter is broadcast, and a count is read
-back by probing level after level until one is missing. N-grams are taken from
-the most frequent down to the count at which the filter is half full, so its
-size is bounded whatever the corpus; rarer ones are smoothed as unseen.
+Spark. Every n-gram enters a Bloom filter once for each level of its
+logarithmically quantised count; a count is read back by probing level after
+level until one is missing. The filter is made in segments, as many as all
+n-grams need to leave it half empty. Up to a bound it is broadcast to the
+workers; beyond it the hashes that each text asks for are sent to the segments
+and the levels come back, so no n-gram is left out at any size.
 """
 
 from __future__ import annotations
@@ -13,23 +14,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, release, text_of
+from brindle.llm.common import discard, materialize, release, text_of
 
-#: Bits of the filter, in segments that one task fills; probes of one level.
-FILTER_BITS, SEGMENT_BITS, PROBES = 1 << 27, 1 << 19, 5
+#: Bits of a segment that one task fills, probes of one level, and the largest filter that is broadcast.
+SEGMENT_BITS, PROBES, BROADCAST_BITS = 1 << 21, 5, 1 << 29
+#: Bits of the part of a larger filter that one task holds while texts ask for levels, and tasks among which the texts of a part are spread.
+PART_SEGMENTS, SPREAD = 32, 8
 #: Most words whose exact counts are broadcast for the base score; rarer ones are joined.
 FREQUENT = 250_000
 #: Weight of the pair's relative frequency against the single word's.
 PAIR_WEIGHT = 0.6
 #: Text bytes that a worker tokenizes at once.
-SLICE = 3 << 20
+SLICE = 1 << 20
 #: The end of a document, counted as a token. No word is empty.
 END = ""
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -119,10 +121,14 @@ def fill_segment(h: np.ndarray, levels: np.ndarray, segment_bits: int) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def read_levels(table: np.ndarray, h: np.ndarray, segment_bits: int) -> np.ndarray:
-    """The quantised count of each hash: probes go on while every bit of a level is set."""
-    segments = np.uint64(len(table) * 8 // segment_bits)
-    start = (_mix(h ^ _MULT) % segments) * np.uint64(segment_bits)
+def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+    return (_mix(h ^ _MULT) % np.uint64(segments)).astype(np.int64)
+
+
+def read_levels(table: np.ndarray, h: np.ndarray, segment_bits: int, segments: int | None = None, first: int = 0) -> np.ndarray:
+    """The quantised count of each hash: probes go on while every bit of a level is set. ``table`` holds the filter of ``segments`` from segment ``first`` on."""
+    segments = len(table) * 8 // segment_bits if segments is None else segments
+    start = ((segment_of(h, segments) - first) * segment_bits).astype(np.uint64)
     out, live, level = np.zeros(len(h), np.int64), np.arange(len(h)), 1
     while len(live) and level <= 64:
         hit = np.ones(len(live), bool)
@@ -149,46 +155,101 @@ def value_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (1.5 * np.exp2(levels - 1.0)) - 0.5, 0.0)
 
 
-def bloom(words: DataFrame, pairs: DataFrame, bits: int = FILTER_BITS, segment_bits: int = SEGMENT_BITS) -> np.ndarray:
-    """The filter as bytes. Segments are filled by tasks; only they, ``bits`` in all, reach the driver."""
-    grams = _hashed(words).union(pairs.select("h", "c"))
-    level = F.floor(F.log2(F.col("c").cast("double")) + F.lit(1e-9)).cast("int") + 1
-    leveled = grams.select("h", level.alias("q"))
-    tally = {r["q"]: r["n"] for r in leveled.groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each power of two
-    room, least = 0.69 * bits, 65
-    for q in sorted(tally, reverse=True):
-        room -= tally[q] * q * PROBES
-        if room < 0:
-            break
-        least = q
-    segments = bits // segment_bits
+def filter_segments(words: DataFrame, pairs: DataFrame, segment_bits: int) -> tuple[DataFrame, int]:
+    """(s, bits) of every segment that holds an n-gram of ``words`` and ``pairs`` (h, c), and the number of segments.
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"s": [pdf["s"].iloc[0]], "bits": [fill_segment(pdf["h"].to_numpy().view(np.uint64), pdf["q"].to_numpy(), segment_bits)]})
+    Segments are as many as leave half of all bits unset when every n-gram has
+    entered all of its levels.
+    """
+    level = F.floor(F.log2(F.col("c").cast("double")) + F.lit(1e-9)).cast("int") + 1
+    leveled = words.select("h", "c").union(pairs.select("h", "c")).select("h", level.alias("q"))
+    entries = leveled.agg(F.coalesce(F.sum("q"), F.lit(0))).first()[0]
+    segments = max(1, -(-int(entries * PROBES / 0.69) // segment_bits))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(0).to_numpy()
-            s = (_mix(h.view(np.uint64) ^ _MULT) % np.uint64(segments)).astype(np.int32)
+            s = segment_of(batch.column(0).to_numpy().view(np.uint64), segments).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(s), batch.column(0), batch.column(1)], names=["s", "h", "q"])
 
-    parts = leveled.filter(F.col("q") >= least).mapInArrow(placed, "s int, h long, q int").groupBy("s").applyInPandas(fill, "s int, bits binary")
-    table = np.zeros(bits // 8, np.uint8)
-    width = segment_bits // 8
+    def fill(group: pa.Table) -> pa.Table:
+        bits = fill_segment(group.column("h").to_numpy().view(np.uint64), group.column("q").to_numpy(), segment_bits)
+        return pa.table({"s": pa.array([group.column("s")[0].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
+
+    return leveled.mapInArrow(placed, "s int, h long, q int").groupBy("s").applyInArrow(fill, "s int, bits binary"), segments
+
+
+def whole_filter(parts: DataFrame, segments: int, segment_bits: int) -> np.ndarray:
+    """The filter as bytes on the driver, for a broadcast of checked size."""
+    table, width = np.zeros(segments * segment_bits // 8, np.uint8), segment_bits // 8
     for r in parts.toLocalIterator():
         table[r["s"] * width : (r["s"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
     return table
 
 
+def asked_levels(texts: DataFrame, parts: DataFrame, segments: int, segment_bits: int) -> DataFrame:
+    """(row, answers) for texts (row, text): the levels of each text's n-grams, part by part of the filter, in the order of ``_asked``.
+
+    A part's bits and the requests for it meet in SPREAD tasks: both are dealt
+    by (part, spread) and sorted, the bits first, so a task streams the
+    requests past one part of the filter.
+    """
+    n_parts = -(-segments // PART_SEGMENTS)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                need, part = _asked(pa.array([text.as_py()], pa.string()), segments)
+                cuts = np.searchsorted(part, np.arange(n_parts + 1))
+                there = np.flatnonzero(np.diff(cuts))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(cuts[there], cuts[-1]), pa.int32()), pa.array(need.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(np.full(len(there), row), pa.int64()), lists], names=["part", "row", "h"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table = None, np.zeros(0, np.uint8)
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for part, row, s, bits, h in zip(*[batch.column(k) for k in range(5)], strict=True):
+                if part.as_py() != now:
+                    now, table = part.as_py(), np.zeros(PART_SEGMENTS * segment_bits // 8, np.uint8)
+                if s.is_valid:
+                    at = (s.as_py() - now * PART_SEGMENTS) * (segment_bits // 8)
+                    table[at : at + segment_bits // 8] = np.frombuffer(bits.as_py(), np.uint8)
+                    continue
+                levels = read_levels(table, h.values.to_numpy().view(np.uint64), segment_bits, segments, now * PART_SEGMENTS)
+                for column, value in zip(out, (row.as_py(), now, levels.astype(np.uint8).tobytes()), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["row", "part", "levels"])
+
+    asked = texts.select("row", "text").mapInArrow(ask, "part int, row long, h array<long>")
+    asked = asked.select("part", F.pmod(F.xxhash64("row"), F.lit(SPREAD)).cast("int").alias("x"), "row", F.lit(None).cast("int").alias("s"), F.lit(None).cast("binary").alias("bits"), "h")
+    held = parts.select(F.floor(F.col("s") / PART_SEGMENTS).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("x"), F.lit(None).cast("long").alias("row"), "s", "bits", F.lit(None).cast("array<bigint>").alias("h"))
+    met = materialize(held.union(asked)).repartition("part", "x").sortWithinPartitions("part", "x", F.col("row").asc_nulls_first())
+    answers = materialize(met.select("part", "row", "s", "bits", "h").mapInArrow(answer, "row long, part int, levels binary"))
+    return answers.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "levels"))), lambda a: a["levels"]).alias("answers"))
+
+
+def _asked(text: pa.Array, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, parts): a text's distinct n-grams in the order of the filter's parts, then of the hashes."""
+    kinds, stream, _ = _streams(text)
+    h = _hash(kinds)
+    before = np.concatenate([[0], stream[:-1]])
+    need = np.unique(np.concatenate([h, _pair(h[before], h[stream])]))
+    part = segment_of(need, segments) // PART_SEGMENTS
+    order = np.argsort(part, kind="stable")
+    return need[order], part[order]
+
+
 # ---------------------------------------------------------------- the operator
-def score(docs: DataFrame, train: Column | None = None, bits: int = FILTER_BITS, segment_bits: int = SEGMENT_BITS, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, train: Column | None = None, segment_bits: int = SEGMENT_BITS, frequent: int = FREQUENT, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` marks the rows that counts are learned from. The base score uses
     exact counts: those of the most frequent words (at most ``frequent``) are
     broadcast, other words join the counts. ``score`` is log10 of the product
     of PAIR_WEIGHT * c(before, now) / c(before) + (1 - PAIR_WEIGHT) * p(now),
-    with counts read from the filter; words after an unseen one use p alone.
+    with counts read from the filter, which is broadcast up to ``broadcast_bits``
+    and asked by exchange beyond, with equal results; words after an unseen one
+    use p alone.
     Null text is empty and has the end token alone, a null doc_id is hashed as
     the empty text, repeated rows count and are scored as often as they occur,
     an empty table gives an empty result, and other columns are not read.
@@ -201,8 +262,12 @@ def score(docs: DataFrame, train: Column | None = None, bits: int = FILTER_BITS,
     total, floor = int(totals["n"]), 0.5 * (int(totals["v"]) + 1)
     pairs = materialize(pair_counts(texts.filter("train")))
     release(spark)
-    table = spark.sparkContext.broadcast(bloom(words, pairs, bits, segment_bits))
+    parts, segments = filter_segments(materialize(_hashed(words)), pairs, segment_bits)
+    parts = materialize(parts)
+    discard(pairs)
     release(spark)
+    sent = segments * segment_bits <= broadcast_bits
+    table = spark.sparkContext.broadcast(whole_filter(parts, segments, segment_bits) if sent else None)
 
     tally = {r["q"]: r["n"] for r in words.groupBy(F.floor(F.log2(F.col("c").cast("double")) * 8).alias("q")).agg(F.count(F.lit(1)).alias("n")).collect()}
     room, cut = frequent, 10_000
@@ -216,44 +281,63 @@ def score(docs: DataFrame, train: Column | None = None, bits: int = FILTER_BITS,
     order = np.argsort(keys)
     common = spark.sparkContext.broadcast((keys[order], counts[order]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(batch: pa.RecordBatch, level_of) -> pa.RecordBatch:
+        """Scores of a batch (doc_id, text, train) with counts read by ``level_of`` (hashes -> levels)."""
         keys, counts = common.value
-        bits_ = table.value
-        for batch in (part for whole in batches for part in _slices(whole, 1)):
-            kinds, stream, offsets = _streams(batch.column(1))
-            h = _hash(kinds)
-            at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-            found = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            exact = np.where(found, counts[at] if len(keys) else 0, -1)
-            base = np.where(found, np.log10((np.maximum(exact, 0) + 0.5) / (total + floor)), 0.0)
-            seen = value_of(read_levels(bits_, h, segment_bits))
-            single = (seen + 0.5) / (total + floor)
-            before = np.empty_like(stream)
-            before[1:], before[:1] = stream[:-1], 0
-            both, back = np.unique(before * np.int64(len(kinds)) + stream, return_inverse=True)
-            b, a = both // len(kinds), both % len(kinds)
-            joint = value_of(read_levels(bits_, _pair(h[b], h[a]), segment_bits))
-            share = np.minimum(1.0, joint / np.maximum(seen[b], 1.0))
-            p = np.where(seen[b] > 0, PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * single[a], single[a])
-            logs = np.log10(p)[back]
-            starts = offsets[:-1]
-            unknown = np.flatnonzero(~found[stream])
-            row = np.searchsorted(offsets, unknown, side="right") - 1
-            once, n = np.unique(row * np.int64(len(kinds)) + stream[unknown], return_counts=True)
-            tokens = pa.array(kinds).take(pa.array(once % len(kinds)))
-            bounds = np.searchsorted(once // len(kinds), np.arange(len(offsets)))
-            rare = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([tokens, pa.array(n)], names=["token", "n"]))
-            columns = [
-                batch.column(0), batch.column(2), pa.array(np.diff(offsets)),
-                pa.array(np.add.reduceat(found[stream].astype(np.int64) * (exact[stream] > 0), starts) if len(starts) else np.zeros(0, np.int64)),
-                pa.array(np.add.reduceat(base[stream], starts) if len(starts) else np.zeros(0)),
-                pa.array(np.add.reduceat(logs, starts) if len(starts) else np.zeros(0)),
-                rare,
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "train", "n_tokens", "known", "base", "score", "rare"])
+        kinds, stream, offsets = _streams(batch.column(1))
+        h = _hash(kinds)
+        at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+        found = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+        exact = np.where(found, counts[at] if len(keys) else 0, -1)
+        base = np.where(found, np.log10((np.maximum(exact, 0) + 0.5) / (total + floor)), 0.0)
+        seen = value_of(level_of(h))
+        single = (seen + 0.5) / (total + floor)
+        before = np.empty_like(stream)
+        before[1:], before[:1] = stream[:-1], 0
+        both, back = np.unique(before * np.int64(len(kinds)) + stream, return_inverse=True)
+        b, a = both // len(kinds), both % len(kinds)
+        joint = value_of(level_of(_pair(h[b], h[a])))
+        share = np.minimum(1.0, joint / np.maximum(seen[b], 1.0))
+        p = np.where(seen[b] > 0, PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * single[a], single[a])
+        logs = np.log10(p)[back]
+        starts = offsets[:-1]
+        unknown = np.flatnonzero(~found[stream])
+        row = np.searchsorted(offsets, unknown, side="right") - 1
+        once, n = np.unique(row * np.int64(len(kinds)) + stream[unknown], return_counts=True)
+        tokens = pa.array(kinds).take(pa.array(once % len(kinds)))
+        bounds = np.searchsorted(once // len(kinds), np.arange(len(offsets)))
+        rare = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([tokens, pa.array(n)], names=["token", "n"]))
+        columns = [
+            batch.column(0), batch.column(2), pa.array(np.diff(offsets)),
+            pa.array(np.add.reduceat(found[stream].astype(np.int64) * (exact[stream] > 0), starts) if len(starts) else np.zeros(0, np.int64)),
+            pa.array(np.add.reduceat(base[stream], starts) if len(starts) else np.zeros(0)),
+            pa.array(np.add.reduceat(logs, starts) if len(starts) else np.zeros(0)),
+            rare,
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "train", "n_tokens", "known", "base", "score", "rare"])
+
+    def by_broadcast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
+        for part in (p for batch in batches for p in _slices(batch, 1)):
+            yield scores(part, lambda x: read_levels(bits, x, segment_bits))
+
+    def by_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                one = batch.slice(k, 1)
+                need, _ = _asked(one.column(1), segments)
+                levels = np.frombuffer(b"".join(one.column(3)[0].as_py() or []), np.uint8)
+                order = np.argsort(need)
+                yield scores(one, lambda x, need=need[order], levels=levels[order].astype(np.int64): levels[np.searchsorted(need, x)])
 
     ddl = "doc_id long, train boolean, n_tokens long, known long, base double, score double, rare array<struct<token:string,n:long>>"
-    scored = materialize(texts.select("doc_id", "text", "train").mapInArrow(run, ddl).withColumn("row", F.monotonically_increasing_id()))
+    if sent:
+        made = texts.select("doc_id", "text", "train").mapInArrow(by_broadcast, ddl)
+    else:
+        rows = materialize(texts.withColumn("row", F.monotonically_increasing_id()))
+        answers = materialize(asked_levels(rows, parts, segments, segment_bits))
+        made = rows.join(answers, "row").select("doc_id", "text", "train", "answers").mapInArrow(by_answers, ddl)
+    scored = materialize(made.withColumn("row", F.monotonically_increasing_id()))
     tokens = scored.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.n")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(total + floor))
     rest = tokens.join(words, "token", "left").groupBy("row").agg(

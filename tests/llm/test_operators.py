@@ -347,12 +347,39 @@ def test_lm(docs, rows):
     n, v = sum(c.values()), len(c)
     want = sorted(((d is None, d or 0), held(d), len(ws), sum(c[w] > 0 for w in ws), sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) for d, ws in tokens)
     for frequent in (5, 100_000):
-        got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["held_out"], r["n_tokens"], r["n_known"], r["base_score"], r["train_tokens"], r["score"]) for r in lm.score(docs, frequent=frequent, bits=1 << 20, segment_bits=1 << 16).collect())
+        got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["held_out"], r["n_tokens"], r["n_known"], r["base_score"], r["train_tokens"], r["score"]) for r in lm.score(docs, frequent=frequent, segment_bits=1 << 14).collect())
         assert len(got) == len(want)
         for a, b in zip(want, got, strict=True):
             assert a[:4] == b[:4] and a[4] == pytest.approx(b[4]) and b[5] == n and b[6] <= 0
 
 
+def test_lm_by_exchange(docs):
+    """A filter that is too large to broadcast is asked by exchange, with equal scores."""
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"], round(r["base_score"], 9), round(r["score"], 9))
+    sent = bag(map(key, lm.score(docs, segment_bits=1 << 10).collect()))
+    assert sent == bag(map(key, lm.score(docs, segment_bits=1 << 10, broadcast_bits=0).collect()))
+
+
+def test_lm_score(spark):
+    """The smoothed probability, with counts quantised by powers of two, against plain counting."""
+    data = [(d, "a b a b a c" if d % 3 else "b c d") for d in range(40)]
+    c, pairs = Counter(), Counter()
+    for d, t in data:
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            w = ["", *t.split(), ""]
+            c.update(w[1:])
+            pairs.update(zip(w, w[1:], strict=False))
+    n, v = sum(c.values()), len(c)
+    value = lambda k: 1.5 * 2 ** math.floor(math.log2(k)) - 0.5 if k else 0.0
+    for r in lm.score(spark.createDataFrame(data, "doc_id long, text string")).collect():
+        w = ["", *data[r["doc_id"]][1].split(), ""]
+        want = 0.0
+        for b, a in zip(w, w[1:], strict=False):
+            single = (value(c[a]) + 0.5) / (n + 0.5 * (v + 1))
+            want += math.log10(0.6 * min(1.0, value(pairs[b, a]) / value(c[b])) + 0.4 * single if c[b] else single)
+        assert r["score"] == pytest.approx(want)
+
+
 def test_filter_holds_levels():
     rng = np.random.default_rng(7)
     h = rng.integers(0, 2**63, 3000).astype(np.uint64)
@@ -364,7 +391,7 @@ def test_filter_holds_levels():
 
 
 def test_lm_empty(empty):
-    assert lm.score(empty, bits=1 << 20, segment_bits=1 << 16).count() == 0
+    assert lm.score(empty, segment_bits=1 << 14).count() == 0
 
 
 # ---------------------------------------------------------------- extraction
