@@ -7,8 +7,6 @@ rejected when its smoothed share of blocked labels is above one half.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +20,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Levels of the tree; deeper segments share one open wildcard.
-DEPTH = 4
 #: Children of one node above which its segments count as variable.
 CHILDREN = 32
+#: Labels that a child of a wide node needs to be told from its siblings.
+LEAST_LABELS = 8
 #: Weight of a parent's purity, in labelled urls.
 SMOOTHING = 4.0
 #: Two-sided 5 % point of the normal distribution (fixed value).
@@ -53,69 +51,83 @@ def _segment(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"(?i)[0-9a-f]{8}[0-9a-f-]{8,}", "{h}"), r"[0-9]+", "{n}")
 
 
-def template_tree(urls: DataFrame, depth: int = DEPTH, children: int = CHILDREN) -> DataFrame:
-    """Adds t1..t<depth>: each level's template prefix within the row's host.
+def template_tree(urls: DataFrame, children: int = CHILDREN) -> tuple[DataFrame, int]:
+    """(``urls`` with ts, the array of its template's prefixes down to the whole template; the number of levels).
 
     Level by level, the distinct children of each (host, prefix) are counted
-    from pre-aggregated rows, and the children of a wide node become ``*``.
+    from distinct paths; the children of a wide node become ``*``, but for
+    those whose labels differ from their siblings' (z test). Levels go on until
+    no path has a segment left. The tree is built over distinct templates with
+    their label counts, one row each, and joined back to the urls.
     """
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = urls.withColumn("seg", segments)
-    head = [_segment(F.get("seg", F.lit(i))) for i in range(depth)]
-    rows = rows.select(*urls.columns, *[h.alias(f"s{i + 1}") for i, h in enumerate(head)], (F.size("seg") > depth).alias("deep"), F.endswith("path", F.lit("/")).alias("dir"))
-    out = rows.withColumn("t0", F.lit(""))
-    for i in range(1, depth + 1):
-        wide = (
-            out.filter(F.col(f"s{i}").isNotNull()).groupBy("host", f"t{i - 1}", f"s{i}").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("host", f"t{i - 1}").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > children)
-            .select("host", f"t{i - 1}", F.lit(True).alias("wide"))
-        )
-        last = F.when(F.col("deep"), F.lit("/**")).otherwise(F.lit("")) if i == depth else F.lit("")
-        step = F.when(F.col(f"s{i}").isNull(), F.col(f"t{i - 1}")).otherwise(
-            F.concat(F.col(f"t{i - 1}"), F.lit("/"), F.when(F.col("wide"), F.lit("*")).otherwise(F.col(f"s{i}")), last)
-        )
-        out = materialize(salted_join(out, wide, ["host", f"t{i - 1}"], F.col("page_id")).withColumn(f"t{i}", step).drop("wide", f"s{i}"))
-    return out
+    shape = F.concat_ws("/", F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), _segment))
+    rows = materialize(urls.withColumn("shape", shape))
+    tree = rows.groupBy("host", "shape").agg(F.sum(F.coalesce("label", F.lit(0))).alias("k"), F.count("label").alias("n"))
+    tree = materialize(tree.withColumn("s", F.when(F.col("shape") == "", F.array().cast("array<string>")).otherwise(F.split("shape", "/"))).withColumn("ts", F.array(F.lit(""))))
+    depth = tree.agg(F.coalesce(F.max(F.size("s")), F.lit(0))).first()[0]
+    for i in range(depth):
+        here = tree.filter(F.size("s") > i).select("host", F.element_at("ts", -1).alias("up"), F.get("s", F.lit(i)).alias("child"), "k", "n")
+        own = here.groupBy("host", "up", "child").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+        all_ = own.groupBy("host", "up").agg(F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("ak"), F.sum("n").alias("an")).filter(F.col("kinds") > children)
+        wide = materialize(all_)
+        rest_k, rest_n = F.col("ak") - F.col("k"), F.col("an") - F.col("n")
+        apart = (F.col("n") >= LEAST_LABELS) & (rest_n > 0) & ~_alike(F.col("k"), F.col("n"), rest_k, rest_n)
+        kept = own.join(wide, ["host", "up"]).filter(apart).select("host", "up", "child", F.lit(True).alias("_own"))
+        keyed = tree.withColumn("up", F.element_at("ts", -1)).withColumn("child", F.get("s", F.lit(i)))
+        marked = keyed.join(wide.select("host", "up", F.lit(True).alias("_wide")), ["host", "up"], "left").join(kept, ["host", "up", "child"], "left")
+        name = F.when(F.col("_wide") & F.col("_own").isNull(), F.lit("*")).otherwise(F.col("child"))
+        tree = materialize(marked.withColumn("ts", F.when(F.size("s") > i, F.concat("ts", F.array(F.concat("up", F.lit("/"), name)))).otherwise(F.col("ts"))).select("host", "shape", "k", "n", "s", "ts"))
+    return salted_join(rows, tree.select("host", "shape", "ts"), ["host", "shape"], F.col("page_id")), depth
+
+
+def _alike(k: Column, n: Column, rest_k: Column, rest_n: Column) -> Column:
+    """Whether a branch's share of blocked labels is no different from the rest's (two-sided z test)."""
+    pooled = (k + rest_k) / F.greatest(n + rest_n, F.lit(1))
+    gap = F.abs(k / F.greatest(n, F.lit(1)) - rest_k / F.greatest(rest_n, F.lit(1)))
+    return gap <= Z * F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(n, F.lit(1)) + 1 / F.greatest(rest_n, F.lit(1))))
 
 
 def _smoothed(k: Column, n: Column, prior: Column) -> Column:
     return (F.coalesce(k, F.lit(0)) + SMOOTHING * prior) / (F.coalesce(n, F.lit(0)) + SMOOTHING)
 
 
-def template_purity(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(host, leaf, purity) from rows with a label (1 blocked, 0 allowed, null unlabelled).
+def template_purity(rows: DataFrame, depth: int) -> DataFrame:
+    """(host, leaf, purity) from rows (host, ts, label: 1 blocked, 0 allowed, null unlabelled).
 
-    A template's prior is its parent's purity, down from the host; a host's is
-    that of all hosts. A leaf is first smoothed with the same template on all
-    hosts, so a host without labels borrows from equal templates elsewhere.
+    A node's prior is its parent's purity, down from the host; a host's is that
+    of all hosts. At every level, branches of one parent whose shares do not
+    differ are merged and share one purity; what differs keeps its own. A leaf
+    is first smoothed with the same template on all hosts, so a host without
+    labels borrows from equal templates elsewhere.
     """
-    leaf = f"t{depth}"
-    parent = f"t{depth - 1}"
     k, n = F.sum(F.coalesce("label", F.lit(0))), F.count("label")
-    counts = materialize(rows.groupBy("host", *[f"t{i}" for i in range(1, depth + 1)]).agg(k.alias("k"), n.alias("n")))
-    host, sibling = Window.partitionBy("host"), Window.partitionBy("host", "up")
-    same = counts.groupBy(leaf).agg(F.sum("k").alias("same_k"), F.sum("n").alias("same_n"))
-    # One row per template from here on. Siblings hang under the last level where the path still grew.
-    up = reduce(lambda a, i: F.when((F.col(f"t{i}") != F.col(leaf)), F.col(f"t{i}")).otherwise(a), range(1, depth), F.lit(""))
-    total = counts.agg(F.sum("k").alias("k"), F.sum("n").alias("n")).first()
+    leaves = materialize(rows.groupBy("host", "ts").agg(k.alias("k"), n.alias("n")))
+    total = leaves.agg(F.sum("k").alias("k"), F.sum("n").alias("n")).first()
     p_all = _smoothed(F.lit(total["k"] or 0), F.lit(total["n"] or 0), F.lit(0.5))
-    c = salted_join(counts, same, [leaf], F.col("host")).withColumn("up", up).withColumn("p_host", _smoothed(F.sum("k").over(host), F.sum("n").over(host), p_all))
-    c = c.withColumn("p_up", _smoothed(F.sum("k").over(sibling), F.sum("n").over(sibling), F.col("p_host")))
-    c = c.withColumn("same_k", F.col("same_k") - F.col("k")).withColumn("same_n", F.col("same_n") - F.col("n"))
-    # Merge: a branch whose share does not differ from its siblings' pools with all such branches.
-    c = c.withColumn("sib_k", F.sum("k").over(sibling)).withColumn("sib_n", F.sum("n").over(sibling))
-    pooled = F.col("sib_k") / F.greatest(F.col("sib_n"), F.lit(1))
-    rest_n = F.col("sib_n") - F.col("n")
-    gap = F.abs(F.col("k") / F.greatest(F.col("n"), F.lit(1)) - (F.col("sib_k") - F.col("k")) / F.greatest(rest_n, F.lit(1)))
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("n"), F.lit(1)) + 1 / F.greatest(rest_n, F.lit(1))))
-    c = c.withColumn("alike", (F.col("n") > 0) & (rest_n > 0) & (gap <= Z * spread))
-    merged = Window.partitionBy("host", "up", "alike")
-    c = c.withColumn("b_k", F.when(F.col("alike"), F.sum("k").over(merged)).otherwise(F.col("k"))).withColumn("b_n", F.when(F.col("alike"), F.sum("n").over(merged)).otherwise(F.col("n")))
-    prior = F.when(F.col("same_n") > 0, _smoothed(F.col("same_k"), F.col("same_n"), F.col("p_up"))).otherwise(F.col("p_up"))
-    return c.groupBy("host", leaf).agg(F.max_by(_smoothed(F.col("b_k"), F.col("b_n"), prior), F.struct("n", parent)).alias("purity"))
-
-
-def judge(urls: DataFrame, rules=RULES, labels: DataFrame | None = None, depth: int = DEPTH, children: int = CHILDREN) -> DataFrame:
+    level = leaves.groupBy("host").agg(F.sum("k").alias("k"), F.sum("n").alias("n")).select("host", F.lit("").alias("node"), _smoothed(F.col("k"), F.col("n"), p_all).alias("p"))
+    level = materialize(level)
+    found = [level]
+    for i in range(1, depth + 1):
+        node = leaves.filter(F.size("ts") > i).groupBy("host", F.get("ts", F.lit(i - 1)).alias("up"), F.get("ts", F.lit(i)).alias("node")).agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+        same = node.groupBy("node").agg(F.sum("k").alias("same_k"), F.sum("n").alias("same_n"))
+        up = level.select("host", F.col("node").alias("up"), F.col("p").alias("p_up"))
+        c = node.join(up, ["host", "up"]).join(same, "node").withColumn("same_k", F.col("same_k") - F.col("k")).withColumn("same_n", F.col("same_n") - F.col("n"))
+        siblings = Window.partitionBy("host", "up")
+        c = c.withColumn("rest_k", F.sum("k").over(siblings) - F.col("k")).withColumn("rest_n", F.sum("n").over(siblings) - F.col("n"))
+        c = c.withColumn("alike", (F.col("n") > 0) & (F.col("rest_n") > 0) & _alike(F.col("k"), F.col("n"), F.col("rest_k"), F.col("rest_n")))
+        merged = Window.partitionBy("host", "up", "alike")
+        own_k, own_n = (F.when(F.col("alike"), F.sum(x).over(merged)).otherwise(F.col(x)) for x in ("k", "n"))
+        prior = F.when(F.col("same_n") > 0, _smoothed(F.col("same_k"), F.col("same_n"), F.col("p_up"))).otherwise(F.col("p_up"))
+        level = materialize(c.select("host", "node", _smoothed(own_k, own_n, prior).alias("p")))
+        found.append(level)
+    every = found[0]
+    for df in found[1:]:
+        every = every.union(df)
+    leaf = leaves.select("host", F.element_at("ts", -1).alias("node")).distinct()
+    return leaf.join(every, ["host", "node"]).select("host", F.col("node").alias("leaf"), F.col("p").alias("purity"))
+
+
+def judge(urls: DataFrame, rules=RULES, labels: DataFrame | None = None, children: int = CHILDREN) -> DataFrame:
     """One row per row of ``urls`` (page_id, url): page_id, host, path, rule, verdict, template, purity.
 
     A rule decides where one fits, the longest first; elsewhere the url's
@@ -131,9 +143,9 @@ def judge(urls: DataFrame, rules=RULES, labels: DataFrame | None = None, depth:
     if labels is not None:
         own = labels.select(F.col("page_id").alias("_p"), F.col("label").alias("_l"))
         rows = rows.join(own, F.col("page_id") == F.col("_p"), "left").withColumn("label", F.coalesce("_l", "label")).drop("_p", "_l")
-    tree = template_tree(rows.select("page_id", "host", "path", F.col("match.rule").alias("rule"), F.col("match.verdict").alias("by_rule"), "label"), depth, children)
+    tree, depth = template_tree(rows.select("page_id", "host", "path", F.col("match.rule").alias("rule"), F.col("match.verdict").alias("by_rule"), "label"), children)
+    tree = materialize(tree.withColumn("leaf", F.element_at("ts", -1)))
     purity = materialize(template_purity(tree, depth))
-    leaf = f"t{depth}"
-    judged = salted_join(tree, purity, ["host", leaf], F.col("page_id"))
+    judged = salted_join(tree, purity, ["host", "leaf"], F.col("page_id"))
     learned = F.when(F.col("purity") > 0.5, F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", learned).alias("verdict"), F.col(leaf).alias("template"), "purity")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", learned).alias("verdict"), F.col("leaf").alias("template"), "purity")
