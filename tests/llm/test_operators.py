@@ -193,6 +193,25 @@ def test_templates_learn_from_labels(spark):
     assert all(got[i] == ("block" if i % 2 else "allow") for i in range(80))
 
 
+def test_deep_paths_differ_where_their_labels_do(spark):
+    """The tree goes as deep as the paths: verdicts learned at the thirtieth level, null, long and repeated urls, clashing columns."""
+    deep = "/".join(f"level{chr(97 + i)}" for i in range(26)) + "/w/x/y"
+    data = [(i, f"https://h.net/{deep}/{'bad' if i % 2 else 'good'}/{i}") for i in range(60)] + [(100, None), (101, "https://h.net/" + "long/" * 40 + "x" * 5000), (102, "https://h.net/"), (102, "https://h.net/")]
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in data], "page_id long, url string, host string, label string, ts string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "page_id long, label int")
+    got = urls.judge(df, labels=labels).collect()
+    assert bag((r["page_id"],) for r in got) == bag((p,) for p, _ in data)
+    verdicts = {r["page_id"]: r["verdict"] for r in got}
+    assert all(verdicts[i] == ("block" if i % 2 else "allow") for i in range(60))
+
+
+def test_wide_nodes_keep_children_that_differ(spark):
+    data = [(i, f"https://h.net/{'x' if i < 40 else f'd{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}'}/p") for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(200)], "page_id long, label int")
+    got = {r["page_id"]: (r["verdict"], r["template"]) for r in urls.judge(spark.createDataFrame(data, "page_id long, url string"), labels=labels).collect()}
+    assert got[0] == ("block", "/x/p") and got[239] == ("allow", "/*/p")
+
+
 def test_urls_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
@@ -407,6 +426,36 @@ def test_extract(spark):
     assert got[4]["text"] == got[5]["text"] == "" and got[6]["text"] == "alone"
 
 
+def test_neighbours_and_differencing(spark):
+    """Pairs and deletions as brute force finds them, whatever the partitions."""
+    rng = np.random.default_rng(3)
+    menu = ["Home page of the site", "All rights reserved here"]
+    data = []
+    for i in range(60):
+        path = "/".join(rng.choice(list("abc"), rng.integers(1, 4)))
+        story = [f"story {i} part {k} " + "word " * 30 for k in range(3)]
+        data.append((i, f"https://h{i % 2}.org/{path}/{i}", "".join(f"<p>{t}</p>" for t in [menu[0], *story, menu[1]])))
+    data += [(100, "https://h0.org/a/0", data[0][2]), (100, "https://h0.org/a/0", data[0][2]), (101, "https://alone.org/", "<p>alone</p>")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    want = bag((p, " ".join(re.sub("</?p>", "|", h).strip("|").replace("||", "|").split("|")[1:-1]).replace("  ", " ") if p < 101 else "alone") for p, _, h in data)
+    for parts in (1, 7):
+        got = bag((r["page_id"], re.sub(" +", " ", r["text"])) for r in extract.extract(df.repartition(parts)).collect())
+        assert got == bag((p, t.strip()) for p, t in want.elements())
+    rows = spark.createDataFrame([(i, "h", f"/{i // 10}/{i % 10}", i) for i in range(40)] + [(99, "g", "/0/0", 7)], "row long, host string, path string, t long")
+    near = defaultdict(set)
+    for r in extract.neighbours(rows.repartition(5)).collect():
+        near[r["row"]].add(r["other"])
+    assert 99 not in near and all(len(v) == 2 for v in near.values()) and all(abs(a - b) == 1 for a, v in near.items() if 0 < a % 10 < 9 for b in v)
+    assert near[0] == {1, 2} and near[9] == {7, 8}
+
+
+def test_awkward_pages(spark):
+    deep = "<div>" * 20_000 + "<p>in the deep</p>" + "</div>" * 20_000
+    data = [(1, "https://a.b/1", deep), (2, "https://a.b/2", "<article><div class='article-header'><h1>Head</h1></div><p id=search-algorithms>Text &amp; more<div class='comments'>no</div></article></article></div>"), (3, None, "</p></p><p>x<"), (2, "https://a.b/2", "<main>" + "word " * 200_000 + "</main>")]
+    got = sorted((r["page_id"], r["n_chars"], r["text"][:20]) for r in extract.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect())
+    assert got == [(1, 11, "in the deep"), (2, 16, "Head Text & more"), (2, 999_999, "word word word word "), (3, 2, "x<")]
+
+
 def test_common_lines():
     rng = np.random.default_rng(8)
     for _ in range(60):
