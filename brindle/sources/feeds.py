@@ -37,12 +37,17 @@ class Pages(InputPartition):
 
 
 class FeedReader(DataSourceReader):
-    """Reads pages ``first`` to ``last``; stops at an empty page, a repeated first record or a page that fails."""
+    """Reads pages ``first`` to ``last``; stops at an empty page or a repeated first record.
+
+    A page that can't be read is an error, so a result is never short without
+    a word; with the option ``lenient`` the rows read before it are kept.
+    """
 
     def __init__(self, options: dict, fetch: Callable[[str], str] = fetch_url):
         self.url, self.size = options["url"], int(options.get("pagesize", 100))
         self.offset = options.get("paging", "page") == "offset"
-        self.most, self.fetch = int(options.get("maxpages", 50)), fetch
+        self.most, self.fetch = int(options.get("maxpages", 1 << 20)), fetch
+        self.lenient = str(options.get("lenient", "false")).lower() == "true"
 
     def page(self, n: int) -> dict | list:
         return json.loads(self.fetch(self.url.format(page=n, offset=(n - 1) * self.size, size=self.size)))
@@ -58,7 +63,9 @@ class FeedReader(DataSourceReader):
             try:
                 records = largest_records(self.page(n))
             except (OSError, ValueError):
-                return
+                if self.lenient:
+                    return
+                raise
             first = json.dumps(records[0], sort_keys=True) if records else None
             if first is None or first == before:
                 return
