@@ -184,17 +184,17 @@ def run_plan(df: DataFrame, profile: dict[str, ColumnProfile], q: Query, columns
         F.count_if(F.col("_why").isNotNull()).alias("excluded"),
     )
     used = rows.filter(usable)
-    named = {"label": F.min_by("_label", "_row"), "rows": F.count(F.lit(1))}
+    label_, rows_ = {"label": F.min_by("_label", "_row")}, {"rows": F.count(F.lit(1))}
     merging = q.agg not in ("median", "distinct")
     if merging:
         first, again, value = _parts(q.agg, scale)
-        parts = used.groupBy("key").agg(*[c.alias(n) for n, c in (named | first).items()])
-        # Both sides of the overall value use every column of the parts, so their exchange is one and the same.
-        total = parts.agg(F.sum("rows").alias("rows"), F.max("label").alias("_any"), *[c.alias(n) for n, c in again.items()])
+        # In the order in which the result uses them, and all used by the overall value too: so both have one and the same exchange.
+        parts = used.groupBy("key").agg(*[c.alias(n) for n, c in (label_ | first | rows_).items()])
+        total = parts.agg(F.max("label").alias("_any"), *[c.alias(n) for n, c in again.items()], F.sum("rows").alias("rows"))
         overall = total.select(F.when(F.col("_any").isNotNull() | F.col("rows").isNotNull(), value)).scalar()
         groups = parts.withColumn("value", value).withColumn("overall", overall)
     else:
-        parts = used.groupBy("key").agg(*[c.alias(n) for n, c in named.items()])
+        parts = used.groupBy("key").agg(*[c.alias(n) for n, c in (label_ | rows_).items()])
         overall = _values(used, [], q.agg, scale).select("value").scalar()
         groups = parts.join(_values(used, ["key"], q.agg, scale), "key", "left").withColumn("overall", overall)
         if q.agg == "distinct":
@@ -209,14 +209,14 @@ def run_plan(df: DataFrame, profile: dict[str, ColumnProfile], q: Query, columns
     out = ["label", "key", "value", "rows", "overall"]
     if q.limit is None:
         return Result(groups.select(*out).orderBy(*orders, "key"), accounting)
-    top = groups.orderBy(*orders, "key").limit(q.limit).select(*out)
+    top = groups.select(*out).orderBy(*orders, "key", "rows").limit(q.limit)  # keys differ; rows are named so that every use of the parts has the same columns
     if not q.other or q.group_by is None:
         return Result(top, accounting)
     names = F.broadcast(top.select("key"))  # at most 50 rows
     others = parts.join(names, "key", "left_anti")
     count = [F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("_k")]
     if merging:
-        folded = others.agg(*count, *[c.alias(n) for n, c in again.items()]).filter("rows > 0").withColumn("value", value)
+        folded = others.agg(F.max("label").alias("_any"), *[c.alias(n) for n, c in again.items()], *count).filter("rows > 0 or _any is not null").withColumn("value", value)
     else:
         rest = _values(used.join(names, "key", "left_anti"), [], q.agg, scale).select("value").scalar()
         folded = others.agg(*count).filter("rows > 0").withColumn("value", rest)
