@@ -107,10 +107,10 @@ SENT_KEYS = 500_000
 
 
 def _listed(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
-    named = keys.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)], *[c for c in keys.columns if c not in on])
+    named = keys.select(*[F.col(c).alias(f"_brindle_k{i}") for i, c in enumerate(on)], *[c for c in keys.columns if c not in on])
     same = F.lit(True)
     for i, c in enumerate(on):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        same = same & F.col(c).eqNullSafe(F.col(f"_brindle_k{i}"))
     few = keys.limit(SENT_KEYS + 1).count() <= SENT_KEYS
     return rows.join(F.broadcast(named) if few else named.hint("merge"), same, how)
 
@@ -127,7 +127,7 @@ def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 def looked_up(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows in a materialized list of distinct keys, with the list's other columns (see ``only``)."""
-    return _listed(rows, keys, on, "inner").drop(*[f"_k{i}" for i in range(len(on))])
+    return _listed(rows, keys, on, "inner").drop(*[f"_brindle_k{i}" for i in range(len(on))])
 
 
 def salted_join(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, salts: int = 32, how: str = "left") -> DataFrame:
