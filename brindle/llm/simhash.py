@@ -102,7 +102,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
 # ---------------------------------------------------------------- by similarity
 #: Of so many documents one is counted to learn which shingles are common: those in LEAST_SEEN counted ones or more, the MOST_TOLD most common.
 SAMPLE, LEAST_SEEN, MOST_TOLD = 32, 3, 250_000
-#: Bits of a document's parity sketch, and words and documents that one numpy step takes.
+#: Least bits of a document's parity sketch, and words and documents that one numpy step takes.
 SKETCH, STEP_WORDS, STEP_DOCS = 1024, 300_000, 2_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -198,20 +198,36 @@ def _prefixes(texts: DataFrame, size: int, similarity: float) -> DataFrame:
 
 
 def _sketches(texts: DataFrame, size: int) -> DataFrame:
-    """(row, n, sketch): a set's size, and the parities of the counts of hashes that fall on each of SKETCH bits. Two sketches differ in no more bits than the sets do in hashes."""
+    """(row, n, sketch): a set's size, and the parities of the counts of hashes that fall on each bit of a sketch of about n bits, a power of two.
+
+    Two sketches of one length differ in no more bits than the sets do in
+    hashes, and a sketch folds to half its length by XOR of its halves.
+    """
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, stop, offsets, values in shingle_sets(batch.column(1), size):
-                rows = np.repeat(np.arange(stop - first), np.diff(offsets))
-                bit = ((values * _MULT) >> np.uint64(32)).astype(np.int64) % SKETCH
-                odd = (np.bincount(rows * SKETCH + bit, minlength=(stop - first) * SKETCH) & 1).astype(np.uint8)
-                longs = np.packbits(odd.reshape(-1, SKETCH), axis=1).view(np.int64).ravel()
-                sketch = pa.ListArray.from_arrays(np.arange(0, len(longs) + 1, SKETCH // 64, dtype=np.int32), pa.array(longs))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), pa.array(np.diff(offsets), pa.int32()), sketch], names=["row", "n", "sketch"])
+                sizes = np.diff(offsets)
+                bits = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+                starts = np.concatenate([[0], np.cumsum(bits)])
+                rows = np.repeat(np.arange(stop - first), sizes)
+                place = starts[rows] + ((((values * _MULT) >> np.uint64(32)).astype(np.int64)) & (bits[rows] - 1))
+                odd = (np.bincount(place, minlength=starts[-1]) & 1).astype(np.uint8)
+                longs = np.packbits(odd).view(np.int64)
+                sketch = pa.ListArray.from_arrays(pa.array(starts // 64, pa.int32()), pa.array(longs))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), pa.array(sizes, pa.int32()), sketch], names=["row", "n", "sketch"])
 
     return texts.select("row", "text").mapInArrow(draw, "row long, n int, sketch array<long>")
 
 
+def _apart(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ, the longer one folded to the other's length; null where one is over twice as long."""
+    def folded(x: Column, y: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
+
+
 def _sets(texts: DataFrame, size: int) -> DataFrame:
     """(row, h): the distinct hashes of its word shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,11 +239,12 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("row", "text").mapInArrow(run, "row long, h array<long>")
 
 
-def _verified(texts: DataFrame, offers: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(texts: DataFrame, offers: DataFrame, shingle: int, similarity: float, repeated: bool) -> DataFrame:
     """Of the offered pairs (a, b) those whose sets are similar enough: first by sketches, which reject no such pair, then by the sets of those that are left."""
     def of(df: DataFrame, pairs: DataFrame, make) -> DataFrame:
         ids = materialize(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct())
-        made = materialize(make(only(df, ids, ["row"]), shingle).dropDuplicates(["row"]))
+        made = make(only(df, ids, ["row"]), shingle)
+        made = materialize(made.dropDuplicates(["row"]) if repeated else made)
         discard(ids)
         return made
 
@@ -238,8 +255,9 @@ def _verified(texts: DataFrame, offers: DataFrame, shingle: int, similarity: flo
     pairs = materialize(offers)
     release(texts.sparkSession)
     drawn = of(texts, pairs, _sketches)
-    apart = F.aggregate(F.zip_with("sketcha", "sketchb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = both(pairs, drawn, "n", "sketch").filter(apart <= (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
+    most = (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+    fit = both(pairs, drawn, "n", "sketch").filter(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6)
+    near = fit.filter(F.coalesce(_apart(F.col("sketcha"), F.col("sketchb")), F.lit(0)) <= most)
     near = materialize(near.select("a", "b"))
     discard(pairs)
     discard(drawn)
@@ -276,8 +294,9 @@ def near_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, repe
     def fits(n1: str, pos1: str, n2: str, pos2: str) -> Column:
         return F.least(F.col(n1) - F.col(pos1), F.col(n2) - F.col(pos2)) >= (F.col(n1) + F.col(n2)) * F.lit(similarity / (1 + similarity)) - 1e-6
 
-    stars = shared.filter("row <> least")
-    first = _verified(texts, stars.select(F.col("row").alias("a"), F.col("least").alias("b")).distinct(), shingle, similarity)
+    heads = shared.filter("row = least").select("h", F.col("n").alias("n0"), F.col("pos").alias("pos0"))
+    stars = shared.filter("row <> least").join(heads, "h").filter(fits("n", "pos", "n0", "pos0"))
+    first = _verified(texts, stars.select(F.col("row").alias("a"), F.col("least").alias("b")).distinct(), shingle, similarity, repeated)
     roots = components(first).withColumnRenamed("node", "row")
     rooted = materialize(shared.join(roots, "row", "left").select("h", "row", "n", "pos", F.coalesce("root", "row").alias("root")))
     discard(shared)
@@ -287,7 +306,7 @@ def near_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, repe
     release(spark)
     left = split.filter("root <> main").select("h", *[F.col(c).alias(f"{c}1") for c in ("row", "n", "pos", "root")])
     met = left.join(split, "h").filter("root <> root1").filter(fits("n", "pos", "n1", "pos1"))
-    second = _verified(texts, met.select(F.greatest("row", "row1").alias("a"), F.least("row", "row1").alias("b")).distinct(), shingle, similarity)
+    second = _verified(texts, met.select(F.greatest("row", "row1").alias("a"), F.least("row", "row1").alias("b")).distinct(), shingle, similarity, repeated)
     discard(split)
     return first.union(second)
 
