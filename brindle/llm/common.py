@@ -130,6 +130,11 @@ def looked_up(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return _listed(rows, keys, on, "inner").drop(*[f"_brindle_k{i}" for i in range(len(on))])
 
 
+def looked_up_or_null(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """All rows, with the other columns of a materialized list of distinct keys, null for rows that it lacks (see ``only``)."""
+    return _listed(rows, keys, on, "left").drop(*[f"_brindle_k{i}" for i in range(len(on))])
+
+
 def salted_join(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, salts: int = 32, how: str = "left") -> DataFrame:
     """Joins per-key values to many rows where one key may hold most rows.
 

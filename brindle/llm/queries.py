@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import exact, extract, langid, lm, mixing, packing, quality, simhash, substring, urls
-from brindle.llm.common import documents, pages
+from brindle.llm import exact, extract, langid, lm, mixing, packing, quality, simhash, substring, trie, urls, warc, whitening
+from brindle.llm.common import documents, pages, scratch_folder
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +53,20 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(pages(spark, sf_dir), f"{scratch_folder(spark)}/warc-{uuid.uuid4().hex}").drop("uri")
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id").cast("long")
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return trie.nodes(trie.sequences(conversations, donor=conv - conv % 5, taken=F.crc32(conv.cast("string").cast("binary")) % 9))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_quality": op2_quality,
@@ -61,10 +78,17 @@ QUERIES = {
     "op8_extract": op8_extract,
     "op9_exact": op9_exact,
     "op10_pack": op10_pack,
+    "op11_whiten": op11_whiten,
+    "op12_warc": op12_warc,
+    "op13_trie": op13_trie,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Unsigned CRC-32 of the decimal form of a number ``c``, bit by bit.
+CRC32 = """xor(list_reduce([4294967295::BIGINT] || [ord(s)::BIGINT FOR s IN string_split(c::VARCHAR, '')],
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295)"""
+
 ORACLE_SQL = {
     "op6_substring": r"""
         WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -84,4 +108,22 @@ ORACLE_SQL = {
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(t.low) AS text_sha256
         FROM t JOIN g ON t.low = g.low
     """,
+    "op12_warc": """
+        WITH t AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        g AS (SELECT payload_digest, min(page_id) AS first_id FROM t WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first_id THEN first_id END AS refers_to
+        FROM t LEFT JOIN g USING (payload_digest)
+    """,
+    "op13_trie": f"""
+        WITH t AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, '')) AS q FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (SELECT c, q, {CRC32} % 9 AS h FROM t),
+        r AS (SELECT h.c, list_concat(coalesce(b.q[:h.h], []), h.q[h.h + 1:]) AS q FROM h LEFT JOIN t b ON b.c = h.c - h.c % 5),
+        n AS (SELECT q[:d] AS p, d, c, len(q) = d AS ends FROM (SELECT q, c, unnest(range(0, len(q) + 1)) AS d FROM r)),
+        g AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '') AS ids FROM n GROUP BY p, d),
+        k AS (SELECT p[:d - 1] AS p, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+        o AS (SELECT g.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(g.p[d].x) END AS own FROM g LEFT JOIN k ON g.p = k.p),
+        s AS (SELECT p[:e] AS p, sum(own) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM (SELECT p, own, n_children, unnest(range(0, d + 1)) AS e FROM o) GROUP BY 1)
+        SELECT o.conv_id, o.d AS depth, u.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(o.ids) AS ends_sha256
+        FROM o JOIN s ON o.p = s.p LEFT JOIN o u ON o.d > 0 AND u.p = o.p[:o.d - 1]
+    """,
 }
