@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brindle.functions.text import plain_name, row_hash
+from brindle.tables import written
 
 #: A first column of this shape names a date or a number, not an entity (fixed value).
 VALUE_LIKE = r"(?i)^[\d\s.,/:%₹$€£+-]+$|^\d{1,2}[\s-][a-z]{3,9}[\s-]\d{2,4}$"
@@ -45,33 +44,121 @@ def split_same_source(df: DataFrame, key: str, source: str, order: str, cells: l
     return marked.join(ranked, on, "left").withColumn("entity", entity).drop("_first", "_h", "_key", "_hash", "_k")
 
 
-def twins(df: DataFrame, block: str, source: str, order: str, cells: list[str], least: int = 2, share: float = 0.6) -> DataFrame:
-    """Adds twin_of: the first kept row of the block from another source that agrees on enough cells.
+#: Most columns that ``twins`` compares: a row stands under each set of its cells.
+MOST_CELLS = 10
 
-    Greedy and ordered, so each block is folded in its own group; blocks are
-    rows with one date or number in their first column.
+
+def twins(df: DataFrame, block: str, source: str, order: str, cells: list[str], least: int = 2, share: float = 0.6, long: int = 25, alike: bool = True) -> DataFrame:
+    """Adds twin_of: the order of the first kept row of the block, from another source, that is the same item.
+
+    Rows are taken in order (ties by their cells). Two are one item if, of the
+    cells that both have, at least ``least`` and at least ``share`` agree, and
+    none differs where both are longer than ``long`` characters. Cells agree
+    whose plain names are equal or, with ``alike``, similar (one inside the
+    other without spaces, or half of the words in common). A row with an earlier kept twin is not kept and is nobody's
+    twin. Rows without a block have none; a null source is a source of its own.
+
+    No pair of rows is formed. A row stands under each set of its cells and asks
+    under the same sets, similar values put in for its own; so a row that asks
+    where another stands is its twin, if the set is large enough for the cells
+    that both have; and of all rows under a set, only the earliest of two
+    sources for each pattern of filled cells can be anyone's first twin. Each
+    round keeps every row that no undecided earlier row can displace, so a
+    block's size doesn't matter; equal rows of one source are decided once.
+    Rounds end when the longest chain of rows that wait for each other has ended.
+    """
+    if len(cells) > MOST_CELLS:
+        raise ValueError(f"at most {MOST_CELLS} cells are compared, not {len(cells)}")
+    names = [plain_name(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cells]
+    bits = lambda test: sum((F.when(test(i), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(cells))), F.lit(0))
+    origin = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+    rows = df.withColumns({
+        "_cells": F.array(*names), "_origin": origin, "_filled": bits(lambda i: names[i] != ""),
+        "_long": bits(lambda i: F.coalesce(F.char_length(F.col(cells[i]).cast("string")) > long, F.lit(False)) & (names[i] != "")),
+    })
+    rows = rows.withColumn("_class", F.sha2(F.to_json(F.struct(F.col(block).cast("string"), "_origin", "_cells", "_long")), 256))
+    kinds = written(rows.filter(F.col(block).isNotNull()).groupBy("_class").agg(
+        F.min(F.struct(F.col(order).alias("at"), F.col("_class").alias("by"))).alias("at"), F.first(F.col(block).cast("string")).alias("block"), *[F.first(c).alias(c) for c in ("_cells", "_origin", "_filled", "_long")]
+    ))
+    stands = _under(kinds, len(cells), least)
+    asks = stands if not alike else stands.union(_under(_alternatives(kinds), len(cells), least)).distinct()
+    shared = stands.select("key", "_origin").union(asks.select("key", "_origin")).groupBy("key").agg(F.min("_origin").alias("a"), F.max("_origin").alias("b")).filter("a < b").select("key")
+    shared = written(shared)
+    stands, asks = written(stands.join(shared, "key", "left_semi")), written(asks.join(shared, "key", "left_semi"))
+    everyone = stands.select("_class", "at").union(asks.select("_class", "at")).distinct()
+    state = written(everyone.select("_class", "at", F.lit("open").alias("state"), F.lit(None).cast(kinds.schema["at"].dataType).alias("twin")))
+    while not state.filter("state in ('open', 'late')").isEmpty():
+        state = written(_decided(stands, asks, state, least, share))
+    dropped = state.filter("twin is not null").select("_class", F.col("twin.at").alias("twin_of"))
+    return rows.join(dropped, "_class", "left").select(*df.columns, "twin_of")
+
+
+def _under(kinds: DataFrame, n: int, least: int) -> DataFrame:
+    """Each kind of row under each set of at least ``least`` of its ``n`` cells; the key names block, set and the values in it."""
+    sets = [s for s in range(1, 1 << n) if s.bit_count() >= least]
+    spread = kinds.withColumn("set", F.explode(F.filter(F.array(*[F.lit(s) for s in sets]), lambda s: s.bitwiseAND(F.col("_filled")) == s)))
+    inside = F.transform("_cells", lambda c, i: F.when(F.getbit(F.col("set"), i) == 1, c))
+    return spread.select("_class", "at", "_origin", "_filled", "_long", "set", F.sha2(F.to_json(F.struct("block", "set", inside)), 256).alias("key"))
+
+
+def _alternatives(kinds: DataFrame) -> DataFrame:
+    """Each kind of row again with every choice of similar values for its cells."""
+    n = kinds.select(F.max(F.size("_cells"))).first()[0] or 0
+    cells = kinds.select("_class", "block", F.posexplode("_cells").alias("cell", "v"))
+    links = similar_values(cells, "block", "cell", "v")
+    more = cells.join(links, ["block", "cell", "v"]).groupBy("_class", "cell").agg(F.collect_list("other").alias("others"))
+    wide = more.groupBy("_class").agg(F.map_from_entries(F.collect_list(F.struct("cell", "others"))).alias("_others"))
+    out = kinds.join(wide, "_class").withColumn("_chosen", F.array().cast("array<string>"))
+    for i in range(n):
+        own = F.array(F.get("_cells", F.lit(i)))
+        out = out.withColumn("_pick", F.explode(F.concat(own, F.coalesce(F.try_element_at("_others", F.lit(i)), F.array().cast("array<string>"))))).withColumn("_chosen", F.array_append("_chosen", F.col("_pick")))
+    return out.drop("_cells").withColumnRenamed("_chosen", "_cells").select(*kinds.columns)
+
+
+def similar_values(df: DataFrame, block: str, cell: str, value: str) -> DataFrame:
+    """(block, cell, value, other): pairs, both ways, of different plain names in one cell of one block that are similar.
+
+    A value can only lie inside another that has its rarest run of three
+    characters (or itself, if shorter); half of the words can only be common
+    where the rarer half of each shares one. Pairs that meet so are compared.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("twin_of", df.schema[order].dataType)])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        kept: list = []
-        out = []
-        for row in pdf.itertuples(index=False):
-            values = [str(getattr(row, c) or "").strip().lower() for c in cells]
-            match = None
-            for other_order, other_source, other in kept:
-                both = [(a, b) for a, b in zip(values, other, strict=True) if a and b]
-                same = sum(a == b or a in b or b in a for a, b in both)
-                if other_source != getattr(row, source) and same >= least and same >= share * len(both):
-                    match = other_order
-                    break
-            out.append(match)
-            if match is None:
-                kept.append((getattr(row, order), getattr(row, source), values))
-        return pdf.assign(twin_of=pd.array(out, dtype="Int64"))
-
-    return df.groupBy(block).applyInPandas(fold, schema)
+    keys = [block, cell]
+    values = df.select(*keys, F.col(value).alias("v")).filter("v <> ''").distinct().withColumn("s", F.replace("v", F.lit(" "), F.lit("")))
+    n = F.char_length("s")
+    runs = F.flatten(F.transform(F.array(*[F.lit(k) for k in (1, 2, 3)]), lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("s"), i, k))).otherwise(F.array().cast("array<string>"))))
+    grams = values.withColumn("g", F.explode(F.array_distinct(runs)))
+    often = grams.groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("n"))
+    anchors = grams.filter(F.char_length("g") == F.least(n, F.lit(3))).join(often, [*keys, "g"]).groupBy(*keys, "v", "s").agg(F.min(F.struct("n", "g")).alias("rarest"))
+    inner = anchors.select(*keys, F.col("v").alias("a"), F.col("s").alias("inner"), F.col("rarest.g").alias("g"))
+    inside = grams.join(inner, [*keys, "g"]).filter((F.col("v") != F.col("a")) & F.contains("s", "inner")).select(*keys, "a", F.col("v").alias("b"))
+    words = values.select(*keys, "v", F.array_distinct(F.split("v", " ")).alias("all")).withColumn("w", F.explode("all"))
+    common = words.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "v").orderBy("n", "w"))
+    rare = words.join(common, [*keys, "w"]).withColumn("r", rank).filter(F.col("r") <= F.floor(F.size("all") / 2) + 1)
+    one, other = rare.select(*keys, "w", F.col("v").alias("a"), F.col("all").alias("x")), rare.select(*keys, "w", F.col("v").alias("b"), F.col("all").alias("y"))
+    overlap = one.join(other, [*keys, "w"]).filter((F.col("a") != F.col("b")) & (F.size(F.array_intersect("x", "y")) * 2 >= F.size(F.array_union("x", "y"))))
+    pairs = inside.union(inside.select(*keys, F.col("b"), F.col("a"))).union(overlap.select(*keys, "a", "b")).distinct()
+    return pairs.select(*keys, F.col("a").alias(value), F.col("b").alias("other"))
+
+
+def _decided(stands: DataFrame, asks: DataFrame, state: DataFrame, least: int, share: float) -> DataFrame:
+    """The state after one round: open rows become kept or dropped where the earlier ones that could be their twins are known; a dropped row is late while its first twin isn't."""
+    now = state.select("_class", "state")
+    first = stands.join(now, "_class").filter("state in ('open', 'kept')").groupBy("key", "set", "_filled", "_long", "state", "_origin").agg(F.min("at").alias("at"))
+    rank = F.row_number().over(Window.partitionBy("key", "set", "_filled", "_long", "state").orderBy("at"))
+    heads = first.withColumn("_n", rank).filter("_n <= 2").select("key", F.col("at").alias("other"), F.col("state").alias("how"), F.col("_origin").alias("from"), F.col("_filled").alias("theirs"), F.col("_long").alias("long_theirs"))
+    both = F.bit_count(F.col("_filled").bitwiseAND(F.col("theirs")))
+    enough = F.bit_count("set") >= F.greatest(F.lit(least), F.ceil(both * F.lit(share) - F.lit(1e-9)))
+    no_veto = F.col("_long").bitwiseAND(F.col("long_theirs")).bitwiseAND(F.bitwise_not(F.col("set"))) == 0
+    met = asks.join(now, "_class").filter("state in ('open', 'late')").join(heads, "key").filter((F.col("_origin") != F.col("from")) & (F.col("other") < F.col("at")) & enough & no_veto)
+    seen = met.groupBy("_class").agg(F.min(F.when(F.col("how") == "kept", F.col("other"))).alias("kept"), F.min(F.when(F.col("how") == "open", F.col("other"))).alias("open"))
+    waits = F.col("state").isin("open", "late")
+    known = F.col("kept").isNotNull() & (F.col("open").isNull() | (F.col("kept") < F.col("open")))
+    return state.join(seen, "_class", "left").select(
+        "_class", "at",
+        F.when(~waits, F.col("state")).when(known, F.lit("dropped")).when(F.col("kept").isNotNull(), F.lit("late")).when(F.col("open").isNotNull(), F.lit("open")).otherwise(F.lit("kept")).alias("state"),
+        F.when(~waits, F.col("twin")).when(known, F.col("kept")).alias("twin"),
+    )
 
 
 def back_fill(table: DataFrame, reference: DataFrame, key: str, columns: list[str]) -> DataFrame:

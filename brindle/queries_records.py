@@ -12,7 +12,8 @@ from brindle.operators import charts, merge, places, quantiles, records, reports
 from brindle.plans.query import Filter, Query, run_plan
 from brindle.queries import _ORDER_COLUMNS, _ORDER_PROFILE, _orders, _typed_orders, read, register
 from brindle.sources import pages, readers, sinks
-from brindle.streaming import live
+from brindle.streaming import keyed, live
+from brindle.tables import new_path
 
 
 def _text(c) -> F.Column:
@@ -379,16 +380,7 @@ def xml_rows(spark, sf_dir):
 
 
 def _round_trip(spark, df: DataFrame, write, load) -> DataFrame:
-    import atexit
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-")
-    path = f"{base.rstrip('/')}/trip-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    atexit.register(lambda: spark.sparkContext._jsc is not None and fs.delete(hadoop, True))
-    write(df, path)
+    write(df, path := new_path(spark, "trip"))
     return load(path, df.schema)
 
 
@@ -956,3 +948,39 @@ def stored_plan(spark, sf_dir):
     kept, gone = live.stored_answer({"agg": "count"}, signature, _ORDER_COLUMNS), live.stored_answer({"agg": "count"}, signature, _ORDER_COLUMNS[1:])
     r = run_plan(_typed_orders(spark, sf_dir), _ORDER_PROFILE, Query(**kept), _ORDER_COLUMNS).rows
     return r.select(F.col("value").cast("long").alias("n"), F.lit(0 if gone is None else 1).cast("long").alias("dropped"))
+
+
+# ---------------------------------------------------------------- twins
+@register("""
+WITH RECURSIVE c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '1995-01-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS block, o_custkey % 3 AS src,
+    CASE WHEN o_custkey % 7 <> 0 THEN o_orderpriority ELSE '' END AS a, o_orderstatus AS b, right(o_custkey::VARCHAR, 1) AS c, (floor(o_totalprice / 20000)::BIGINT % 10)::VARCHAR AS d FROM orders),
+o AS (SELECT block, row_number() OVER (PARTITION BY block ORDER BY id) AS n, {'id': id, 'src': src, 'a': a, 'b': b, 'c': c, 'd': d} AS r FROM c),
+g AS (SELECT block, n, [r] AS kept, r.id AS id, NULL::BIGINT AS twin_of FROM o WHERE n = 1
+    UNION ALL
+    SELECT block, n, CASE WHEN m IS NULL THEN list_append(kept, r) ELSE kept END, r.id, m FROM (
+        SELECT g.block, o.n, o.r, g.kept, list_filter(g.kept, lambda k: k.src <> o.r.src
+            AND (k.a = o.r.a AND k.a <> '')::INT + (k.b = o.r.b)::INT + (k.c = o.r.c)::INT + (k.d = o.r.d)::INT >= CASE WHEN k.a <> '' AND o.r.a <> '' THEN 3 ELSE 2 END)[1].id AS m
+        FROM g JOIN o ON o.block = g.block AND o.n = g.n + 1))
+SELECT id, twin_of FROM g
+""")
+def twins_by_date(spark, sf_dir):
+    """Orders of one day that are the same item from two sources; a third of all orders stand under one day."""
+    o = read(spark, sf_dir, "orders")
+    rows = o.select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("1995-01-01")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("block"), (F.col("o_custkey") % 3).alias("src"),
+        F.when(F.col("o_custkey") % 7 != 0, F.col("o_orderpriority")).alias("a"), F.col("o_orderstatus").alias("b"), (F.col("o_custkey") % 10).cast("string").alias("c"),
+        (F.floor(F.col("o_totalprice") / 20000) % 10).cast("string").alias("d"),
+    )
+    return merge.twins(rows, "block", "src", "id", ["a", "b", "c", "d"]).select("id", "twin_of")
+
+
+# ---------------------------------------------------------------- tables kept current
+@register("""SELECT user_id, event_id, ts, event_type FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 4 DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
+def kept_current(spark, sf_dir):
+    """The last event of each user after four batches, merged on read."""
+    events = read(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    table = keyed.KeyedTable(spark, new_path(spark, "kept"), "user_id", "event_id", events.schema, buckets=8, most=2)
+    for n in range(4):
+        table.apply(events.filter(F.col("event_id") % 4 == n), n)
+    return table.read()

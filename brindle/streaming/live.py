@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.operators.core import keep_first
-from brindle.operators.merge import upsert
 
 
 def fold_in_order(df: DataFrame, keys: list[str], order: list[str], result: str, start: Callable[[], object], step: Callable[[object, tuple], tuple[object, bool]], reads: list[str]) -> DataFrame:
@@ -178,31 +177,3 @@ def final_status(events: DataFrame, key: str, order: str, status: str, terminal:
     """Latest status of each key; a terminal one is never reopened by a later event."""
     done = F.min_by(status, F.when(F.col(status).isin(*terminal), F.col(order)))
     return events.groupBy(key).agg(F.coalesce(done, F.max_by(status, order)).alias(status))
-
-
-def live_upsert(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, on_new: Callable[[DataFrame], None] | None = None, interval: str = "0 seconds", keep: int = 3):
-    """Keeps the table at ``path``/<batch> current: each micro-batch is upserted into the last version.
-
-    A version is written under its batch id, so a batch that is run again
-    overwrites its own output and reads the version before it; the last
-    ``keep`` versions stay. A missing version is an error, not an empty table.
-    """
-    spark = stream.sparkSession
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-
-    def version(n: int) -> str:
-        return f"{path}/v={n}"
-
-    def run(batch: DataFrame, number: int) -> None:
-        fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if number and not fs.exists(fs_path(f"{version(number - 1)}/_SUCCESS")):
-            raise RuntimeError(f"version {number - 1} of {path} is missing: the table can't be kept current from here")
-        old = spark.read.parquet(version(number - 1)) if number else spark.createDataFrame([], batch.schema)
-        merged = upsert(old.select(*batch.columns), batch, key, order)
-        merged.select(*batch.columns).write.mode("overwrite").parquet(version(number))
-        if on_new:
-            fresh = batch.join(old.select(key), key, "left_anti")
-            on_new(keep_first(fresh, [key], [F.desc(order)]))
-        fs.delete(fs_path(version(number - keep)), True)
-
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()

@@ -1,9 +1,12 @@
 import datetime as dt
+import glob
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.operators import places
-from brindle.streaming import live
+from brindle.streaming import keyed, live
 
 
 def at(s):
@@ -34,16 +37,74 @@ def test_meter(spark):
     assert got == {1: True, 2: False, 3: True, 4: False, 5: True}
 
 
-def test_upsert_stream(spark, tmp_path):
-    schema, new = "k string, o long, v string", []
-    for n, rows in enumerate([[("a", 1, "x"), ("b", 1, "y")], [("b", 2, "z"), ("c", 2, "w")]]):
+def changed(spark, path, before):
+    """Files of the table that were not there before."""
+    return {f for f in glob.glob(f"{path}/data/**/*.parquet", recursive=True)} - before
+
+
+def test_keyed_table_from_a_stream(spark, tmp_path):
+    schema, new, path = "k string, o long, v string", [], str(tmp_path / "table")
+    batches = [[("a", 1, "x"), ("b", 1, "y"), (None, 1, "n")], [("b", 2, "z"), ("c", 2, "w"), ("b", 1, "late")], [("b", 0, "newer batch")]]
+    for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        q = live.live_upsert(stream, str(tmp_path / "out"), "k", "o", str(tmp_path / "cp"), lambda df: new.append(sorted(r["k"] for r in df.collect())))
+        q = keyed.keep_current(stream, path, "k", "o", str(tmp_path / "cp"), lambda df: new.append(sorted(map(str, (r["k"] for r in df.collect())))), "0 seconds", buckets=4)
         q.processAllAvailable()
         q.stop()
-    assert sorted(r[:] for r in spark.read.parquet(str(tmp_path / "out" / "v=1")).collect()) == [("a", 1, "x"), ("b", 2, "z"), ("c", 2, "w")]
-    assert new == [["a", "b"], ["c"]]
+    table = keyed.KeyedTable(spark, path, "k", "o")
+    assert sorted((r[:] for r in table.read().collect()), key=str) == [("a", 1, "x"), ("b", 0, "newer batch"), ("c", 2, "w"), (None, 1, "n")]
+    assert new == [["None", "a", "b"], ["c"], []] and table.version == 3
+    assert sorted(r["v"] for r in table.read(2).collect()) == ["n", "w", "x", "z"]
+
+
+def test_keyed_table_touches_only_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    schema = T._parse_datatype_string("k long, o long, v long")
+    table = keyed.KeyedTable(spark, path, "k", "o", schema, buckets=8, most=3, keep=2)
+    want = {}
+    for n in range(9):
+        rows = [(k, n, n * 1000 + k) for k in (range(200) if n == 0 else [5, 1000 + n])]
+        before = set(glob.glob(f"{path}/data/**/*.parquet", recursive=True))
+        assert table.apply(spark.createDataFrame(rows, schema), n)
+        want |= {k: v for k, _, v in rows}
+        if n:
+            files = table._state()["files"]
+            hit = {str(r[0]) for r in spark.createDataFrame([(5,), (1000 + n,)], "k long").select(table._bucket(8)).collect()}
+            assert {f.split("_bucket=")[1].split("/")[0] for f in changed(spark, path, before)} <= hit
+            assert max(map(len, files.values())) <= 3
+    assert {r["k"]: r["v"] for r in table.read().collect()} == want and table.read().count() == len(want)
+    base = [f for f in table._state()["files"].values() if len(f) == 1 and "step=000000000001-" in f[0]]
+    assert base  # buckets that no later batch touched still stand on the first batch's files
+
+
+def test_keyed_table_takes_a_batch_once(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), T._parse_datatype_string("k long, o long")
+    table = keyed.KeyedTable(spark, path, "k", "o", schema, buckets=2)
+    assert table.read().count() == 0
+    assert table.apply(spark.createDataFrame([(1, 1)], schema), 0) and table.apply(spark.createDataFrame([(1, 2)], schema), 1)
+    files = sorted(glob.glob(f"{path}/**/*", recursive=True))
+    assert not table.apply(spark.createDataFrame([(1, 1), (2, 9)], schema), 0) and not table.apply(spark.createDataFrame([(1, 2)], schema), 1)
+    assert sorted(glob.glob(f"{path}/**/*", recursive=True)) == files and [r[:] for r in table.read().collect()] == [(1, 2)]
+    assert table.apply(spark.createDataFrame([], schema), 2) and table.read().count() == 1
+    with pytest.raises(ValueError, match="kept by"):
+        keyed.KeyedTable(spark, path, "o", "k")
+    with pytest.raises(ValueError, match="no table"):
+        keyed.KeyedTable(spark, str(tmp_path / "none"), "k", "o")
+
+
+def test_keyed_table_after_a_write_that_failed(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), T._parse_datatype_string("k long, o long")
+    table = keyed.KeyedTable(spark, path, "k", "o", schema, buckets=2)
+    table.apply(spark.createDataFrame([(1, 1)], schema), 0)
+
+    def lost(df):
+        raise RuntimeError("lost before the commit")
+
+    with pytest.raises(RuntimeError):
+        table.apply(spark.createDataFrame([(1, 5), (2, 5)], schema), 1, lost)
+    assert [r[:] for r in table.read().collect()] == [(1, 1)]
+    assert table.apply(spark.createDataFrame([(1, 5), (2, 5)], schema), 1)
+    assert sorted(r[:] for r in table.read().collect()) == [(1, 5), (2, 5)] and len(glob.glob(f"{path}/data/*")) == 2
 
 
 def test_replay(spark):
