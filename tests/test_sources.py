@@ -1,5 +1,9 @@
+import http.server
 import io
 import json
+import pickle
+import threading
+import urllib.parse
 import zipfile
 
 import pytest
@@ -73,31 +77,107 @@ def test_sinks(spark, tmp_path):
     assert json.loads(sinks.json_array(d))[0]["c"] == "12345678901234567890"
 
 
-def test_feed():
-    pages = {n: json.dumps({"meta": {"totalElements": 5}, "records": [{"i": k, "t": {"title": f"x{k}"}} for k in range((n - 1) * 2, min(n * 2, 5))] or []}) for n in (1, 2, 3)}
-    reader = feeds.FeedReader({"url": "{page}", "pagesize": "2"}, lambda u: pages[int(u)])
-    parts = reader.partitions()
-    assert [(p.first, p.last) for p in parts] == [(1, 3)]
-    rows = [r for p in parts for r in reader.read(p)]
-    assert [r[0] for r in rows[:4]] == [0, 1, 2, 3] and rows[0][1] == {"i": "0", "t": "x0"}
-
-
-VOCABULARY = Vocabulary(
-    {"brand": ColumnProfile("brand", "category", 9, 0, 3, 0, None, None, False), "price_inr": ColumnProfile("price_inr", "money", 9, 0, 9, 0, "INR", None, False), "year": ColumnProfile("year", "period", 9, 0, 3, 0, None, None, False, "year")},
-    {"brand": ("Tata", "MG")},
-)
-
-
-@pytest.mark.parametrize(("question", "plan"), [
-    ("How many rows are there?", Query("count")),
-    ("average price by brand", Query("avg", "price_inr", "brand")),
-    ("total price per year", Query("sum", "price_inr", "year")),
-    ("What is the median price for Tata", Query("median", "price_inr", filters=(Filter("in", "brand", ("Tata",)),))),
-    ("average price of unicorns by brand", None),
-    ("average weight by brand", None),
-])
-def test_questions(question, plan):
-    assert fast_plan(question, VOCABULARY) == plan
+class Server:
+    """A feed on this machine: what it holds, how it behaves past its end, and the pages it was asked for."""
+
+    def __init__(self, rows, size=100, total=True, past="empty", cap=None, broken=()):
+        self.rows, self.total, self.past, self.cap, self.broken, self.asked = rows, total, past, cap, broken, []
+        outer = self
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_GET(self):
+                q = {k: int(v[0]) for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query).items()}
+                outer.asked.append(q["page"])
+                body = outer.body(q["page"], q["size"])
+                self.send_response(500 if body is None else 200)
+                self.end_headers()
+                self.wfile.write((body or "").encode())
+
+            def log_message(self, *args):
+                pass
+
+        self.http = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.http.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.http.server_address[1]}/?page={{page}}&size={{size}}"
+
+    def body(self, page, size):
+        if page in self.broken:
+            return None
+        size = min(size, self.cap or size)
+        last = max(1, -(-len(self.rows) // size))
+        if page > last:
+            page = {"empty": page, "last": last, "first": 1}[self.past]
+        out = {"meta": {"source": [{"a": 1}]}, "data": {"items": self.rows[(page - 1) * size : page * size]}}
+        return json.dumps(out | ({"total": len(self.rows)} if self.total is True else {"total": self.total} if self.total else {}))
+
+
+def records_of(n, start=0):
+    return [{"id": i, "name": f"n{i}", "tags": [{"label": "x"}, {"label": f"t{i}"}]} for i in range(start, start + n)]
+
+
+def read_feed(server, **options):
+    feed = feeds.FeedReader({"url": server.url, "pagesize": "10", **options})
+    return [row for part in feed.partitions() for row in pickle.loads(pickle.dumps(feed)).read(part)]
+
+
+@pytest.mark.parametrize("total", [True, None, 5000, 3])
+@pytest.mark.parametrize("past", ["empty", "last", "first"])
+@pytest.mark.parametrize("n", [0, 1, 10, 11, 401])
+def test_feed_reads_every_record_once(total, past, n):
+    server = Server(records_of(n), total=total, past=past)
+    got = read_feed(server)
+    assert sorted((i, c["id"]) for i, c in got) == [(i, str(i)) for i in range(n)]
+    assert not got or got[0][1]["tags"] == "x, t0"
+    if total is None:
+        assert len(server.asked) < 20 + n / 10 * 1.6  # the last page is found by doubling, not by walking
+
+
+def test_feed_falls_back_to_a_size_that_the_server_keeps():
+    for total in (True, None):
+        capped = Server(records_of(95), cap=20, total=total)
+        assert len(read_feed(capped, pagesize="1000,20")) == 95
+        own = Server(records_of(95), cap=7, total=total)
+        assert sorted(int(c["id"]) for _, c in read_feed(own, pagesize="1000,100")) == list(range(95))
+
+
+def test_feed_with_a_page_that_cant_be_read():
+    server = Server(records_of(100), broken=(4,))
+    with pytest.raises(OSError):
+        read_feed(server)
+    assert [int(c["id"]) for _, c in read_feed(server, lenient="true")] == list(range(30))
+
+
+def test_feed_stream_agrees_with_the_batch_and_reads_no_page_twice(spark, tmp_path):
+    feeds.register_feed(spark)
+    server = Server(records_of(95), total=None)
+
+    def step(name):
+        stream = spark.readStream.format("json_feed").option("url", server.url).option("pagesize", "10").load()
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return sorted((r["_row"], r["cells"]["id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert step("one") == [(i, str(i)) for i in range(95)]
+    server.rows += records_of(57, 95)
+    server.asked.clear()
+    assert step("two") == [(i, str(i)) for i in range(152)]
+    assert len([p for p in server.asked if 2 <= p <= 8]) <= 6  # only to find the end: the full pages are not read again
+    batch = spark.read.format("json_feed").option("url", server.url).option("pagesize", "10").load()
+    assert sorted((r["_row"], r["cells"]["id"]) for r in batch.collect()) == step("three")
+
+
+def test_feed_stream_that_has_shifted_is_an_error():
+    server = Server(records_of(25))
+    stream = feeds.FeedStream({"url": server.url, "pagesize": "10"})
+    start = stream.latestOffset()
+    assert stream.partitions(stream.initialOffset(), start)[-1].upto == 5 and stream.partitions(start, start) == []
+    server.rows = records_of(5, 900) + server.rows
+    with pytest.raises(ValueError, match="no longer begins"):
+        stream.partitions(start, stream.latestOffset())
+    server.rows = server.rows[:3]
+    with pytest.raises(ValueError, match="had 3 pages"):
+        stream.partitions(start, feeds.FeedStream({"url": server.url, "pagesize": "10"}).latestOffset())
 
 
 def test_describe_and_suggest():
