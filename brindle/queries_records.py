@@ -11,7 +11,7 @@ from brindle.functions import links, numbers, periods, text
 from brindle.operators import charts, merge, places, quantiles, records, reports, rows, typing
 from brindle.plans.query import Filter, Query, run_plan
 from brindle.queries import _ORDER_COLUMNS, _ORDER_PROFILE, _orders, _typed_orders, read, register
-from brindle.sources import pages, readers, sinks
+from brindle.sources import delimited, pages, readers, sinks
 from brindle.streaming import keyed, live
 from brindle.tables import new_path
 
@@ -984,3 +984,12 @@ def kept_current(spark, sf_dir):
     for n in range(4):
         table.apply(events.filter(F.col("event_id") % 4 == n), n)
     return table.read()
+
+
+# ---------------------------------------------------------------- delimited files
+@register("SELECT doc_id::VARCHAR AS doc_id, md5('[' || coalesce(text, '') || ']') AS text_md5 FROM documents")
+def delimited_documents(spark, sf_dir):
+    """Whole texts, line breaks and all, through quoted CSV and back, read split by split."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("["), F.coalesce("text", F.lit("")), F.lit("]")).alias("text"))
+    docs.write.csv(path := new_path(spark, "csv"), header=True, quoteAll=True, escape='"')
+    return delimited.read_delimited(spark, path, ["doc_id", "text"], ",").select("doc_id", F.md5("text").alias("text_md5"))

@@ -2,17 +2,19 @@ import http.server
 import io
 import json
 import pickle
+import random
 import threading
 import urllib.parse
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.functions import udf
 from brindle.operators.typing import ColumnProfile
 from brindle.plans.ask import Vocabulary, describe, fast_plan, suggest
 from brindle.plans.query import Filter, Query
-from brindle.sources import feeds, readers, sinks
+from brindle.sources import delimited, feeds, readers, sinks
 
 
 def test_delimited():
@@ -199,3 +201,52 @@ def test_user_function(spark):
 def test_escapes_are_refused(source):
     with pytest.raises(udf.Refused):
         udf.check(source)
+
+
+# ---------------------------------------------------------------- delimited files in parallel
+def messy_csv(rng, rows, sep=",", end="\n"):
+    words = ["a", "", " b ", 'say ""hi""', f"x{sep}y", "line\nbreak", "\n\n", "é", '"" "', "é\r\nü", f'{sep}""{sep}\n""', "5 inch", "long " * 40]
+    out = []
+    for _ in range(rows):
+        if rng.random() < 0.1:
+            out.append(rng.choice(["", sep * 2, "alone", '"\n"']))
+        out.append(sep.join(f'"{w}"' if rng.random() < 0.6 else w.replace("\n", " ").replace("\r", "").replace('"', "").replace(sep, " ") for w in (rng.choice(words) for _ in range(rng.choice([2, 3, 3, 4])))))
+    return end.join(["just a title", "", *out])
+
+
+@pytest.mark.parametrize("size", ["150", "1g"])
+def test_delimited_in_parallel_equals_the_plain_parser(spark, tmp_path, size):
+    rng = random.Random(7)
+    files = {f"f{i}.csv": messy_csv(rng, 25, sep, end).encode(enc) for i, (sep, end, enc) in enumerate([(",", "\n", "utf-8"), (";", "\r\n", "cp1252"), ("\t", "\n", "utf-8-sig"), ("|", "\n", "latin-1"), (",", "\n", "utf-8")])}
+    files |= {"empty.csv": b"", "title.csv": b"only a title\n\n", "open.csv": b'a,b\n1,"never closed\nreally\n', "latin.csv": b"a,b\n\x81,\xe9\n", "end.csv": b'h1,h1,\n1,"x\ny"', "inside.csv": b'a,b\n1,"' + b"q\n" * 250 + b'"\n2,z\n', "mid.csv": b'a,b\n5" pipe,x\n"q"uote "x,2\n"a""",3\n'}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = {}
+        for r in delimited.read_delimited(spark, str(tmp_path)).collect():
+            got.setdefault(r["path"].rsplit("/", 1)[1], {})[r["_row"]] = r["cells"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for name, content in files.items():
+        header, rows = readers.parse_delimited(readers.decode(content))
+        assert got.get(name, {}) == {i: dict(zip(header, r, strict=True)) for i, r in enumerate(rows)}, name
+
+
+def test_a_large_quoted_file_is_read_by_many_tasks(spark, tmp_path):
+    with open(tmp_path / "big.csv", "w") as f:
+        f.write("id,text\n")
+        for i in range(60_000):
+            f.write(f'{i},"first line of {i}\nsecond, ""quoted"" line\n{"x" * (i % 300 + 1)}"\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        df = delimited.read_delimited(spark, str(tmp_path / "big.csv"), ["id", "text"])
+        assert df.count() == 60_000
+        lines = spark.read.option("lineSep", "\n").text(str(tmp_path / "big.csv"))
+        assert lines.rdd.getNumPartitions() > 10
+        bad = df.filter((F.col("id").cast("long") != F.col("_row")) | (F.col("text") != F.concat(F.lit("first line of "), F.col("id"), F.lit('\nsecond, "quoted" line\n'), F.repeat(F.lit("x"), (F.col("_row") % 300 + 1).cast("int")))))
+        assert bad.isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
