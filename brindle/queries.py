@@ -11,7 +11,7 @@ from brindle.functions import numbers, periods, text
 from brindle.operators import charts, core, merge, places, rows, typing
 from brindle.plans.query import Filter, Query, run_plan
 from brindle.sources import readers
-from brindle.streaming import live
+from brindle.streaming import limits, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -546,7 +546,7 @@ def email_list(spark, sf_dir):
     SELECT event_id, user_id, allowed FROM f
 """)
 def rate_limit(spark, sf_dir):
-    return live.sliding_limit(read(spark, sf_dir, "events"), "user_id", "ts", 3, 86_400).select("event_id", "user_id", "allowed")
+    return limits.sliding_limit(read(spark, sf_dir, "events"), "user_id", "ts", 3, 86_400).select("event_id", "user_id", "allowed")
 
 
 @register("""
@@ -561,7 +561,7 @@ def rate_limit(spark, sf_dir):
 """)
 def usage_meter(spark, sf_dir):
     usage = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.to_date("ts").alias("day"), (F.pmod("event_id", F.lit(5)) + 1).cast("long").alias("calls"))
-    return live.metered(usage, 8, 60)
+    return limits.metered(usage, 8, 60)
 
 
 @register("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 3")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from brindle.functions import links, numbers, periods, text
 from brindle.operators import charts, merge, places, quantiles, records, reports, rows, typing
 from brindle.plans.query import Filter, Query, run_plan
-from brindle.queries import _ORDER_COLUMNS, _ORDER_PROFILE, _orders, _typed_orders, read, register
+from brindle.queries import ORACLE_SQL, _ORDER_COLUMNS, _ORDER_PROFILE, _orders, _typed_orders, read, register
 from brindle.sources import delimited, pages, readers, sinks
-from brindle.streaming import keyed, live
+from brindle.streaming import keyed, limits, live
 from brindle.tables import new_path
 
 
@@ -993,3 +993,25 @@ def delimited_documents(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("["), F.coalesce("text", F.lit("")), F.lit("]")).alias("text"))
     docs.write.csv(path := new_path(spark, "csv"), header=True, quoteAll=True, escape='"')
     return delimited.read_delimited(spark, path, ["doc_id", "text"], ",").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def _streamed(spark, sf_dir, table: str, change, columns: list[str]) -> DataFrame:
+    """What ``change`` makes of a table that is read as a stream, once through."""
+    source = spark.readStream.schema(read(spark, sf_dir, table).schema).parquet(f"{sf_dir}/{table}.parquet*")
+    query = change(source).select(*columns).writeStream.format("parquet").option("path", path := new_path(spark, "stream")).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(path)
+
+
+@register(ORACLE_SQL["rate_limit"])
+def rate_limit_stream(spark, sf_dir):
+    return _streamed(spark, sf_dir, "events", lambda e: limits.limit_stream(e.select("event_id", "user_id", "ts"), "user_id", "ts", 3, 86_400), ["event_id", "user_id", "allowed"])
+
+
+@register(ORACLE_SQL["usage_meter"])
+def usage_meter_stream(spark, sf_dir):
+    def metered(events):
+        usage = events.select("user_id", F.col("event_id").alias("seq"), "ts", F.to_date("ts").alias("day"), (F.pmod("event_id", F.lit(5)) + 1).cast("long").alias("calls"))
+        return limits.meter_stream(usage, 8, 60)
+
+    return _streamed(spark, sf_dir, "events", metered, ["user_id", "seq", "day", "calls", "charged"])

@@ -6,10 +6,8 @@ function on every micro-batch.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,60 +43,14 @@ def fold_in_order(df: DataFrame, keys: list[str], order: list[str], result: str,
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def sliding_limit(events: DataFrame, key: str, at: str, most: int, seconds: int) -> DataFrame:
-    """Adds allowed: at most ``most`` accepted calls of a key in any ``seconds`` seconds; refused calls don't count. State is the accepted times of the interval, ``most`` at most."""
-    def step(recent: deque, row: tuple) -> tuple[deque, bool]:
-        t = row[0]
-        while recent and recent[0] <= t - seconds * 1_000_000:
-            recent.popleft()
-        fits = len(recent) < most
-        if fits:
-            recent.append(t)
-        return recent, fits
-
-    timed = events.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
-    return fold_in_order(timed, [key], ["_t", "event_id"], "allowed", deque, step, ["_t"]).drop("_t")
-
-
-def throttled(events: DataFrame, key: str, at: str, seconds: float) -> DataFrame:
+def throttled(events: DataFrame, key: str, at: str, seconds: float, tie: str = "event_id") -> DataFrame:
     """Adds told: whether a status message is passed on, at most one of a key in ``seconds``."""
     def step(last: int, row: tuple) -> tuple[int, bool]:
         told = row[0] - last >= seconds * 1_000_000
         return (row[0] if told else last), told
 
     timed = events.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
-    return fold_in_order(timed, [key], ["_t", "event_id"], "told", lambda: -(1 << 62), step, ["_t"]).drop("_t")
-
-
-def limit_stream(events: DataFrame, key: str, at: str, most: int, seconds: int) -> DataFrame:
-    """The same rule on a stream: state per key is the times of its accepted calls in the interval."""
-    def fold(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            allowed = []
-            for t in pdf.sort_values([at, "event_id"])[at].astype("int64") // 1000:
-                recent = [x for x in recent if x > t - seconds * 1_000_000]
-                allowed.append(len(recent) < most)
-                if allowed[-1]:
-                    recent.append(t)
-            yield pdf.sort_values([at, "event_id"])[["event_id", key]].assign(allowed=allowed)
-        state.update((recent,))
-
-    schema = f"event_id long, {key} long, allowed boolean"
-    return events.groupBy(key).applyInPandasWithState(fold, schema, "recent array<long>", "append", "NoTimeout")
-
-
-def metered(usage: DataFrame, cap_day: int, cap_month: int) -> DataFrame:
-    """(user_id, seq, day, calls) in order of seq with charged: a charge that would pass a cap is refused and costs nothing."""
-    def step(state: tuple, row: tuple) -> tuple[tuple, bool]:
-        day, used_day, used_month = state
-        now, calls = row
-        used_day = used_day if day == now else 0
-        used_month = used_month if day is not None and (day.year, day.month) == (now.year, now.month) else 0
-        fits = used_day + calls <= cap_day and used_month + calls <= cap_month
-        return (now, used_day + calls * fits, used_month + calls * fits), fits
-
-    return fold_in_order(usage, ["user_id"], ["seq"], "charged", lambda: (None, 0, 0), step, ["day", "calls"])
+    return fold_in_order(timed, [key], ["_t", tie], "told", lambda: -(1 << 62), step, ["_t"]).drop("_t")
 
 
 def accepted_reads(reads: DataFrame, key: str, order: str) -> DataFrame:

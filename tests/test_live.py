@@ -1,12 +1,14 @@
 import datetime as dt
 import glob
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.operators import places
-from brindle.streaming import keyed, live
+from brindle.streaming import keyed, limits, live
 
 
 def at(s):
@@ -18,22 +20,59 @@ EVENTS = [(1, 7, at(0)), (2, 7, at(1)), (3, 7, at(2)), (4, 7, at(11)), (5, 8, at
 
 def test_rate_limit(spark):
     df = spark.createDataFrame(EVENTS, "event_id long, user_id long, ts timestamp")
-    got = {r["event_id"]: r["allowed"] for r in live.sliding_limit(df, "user_id", "ts", 2, 10).collect()}
+    got = {r["event_id"]: r["allowed"] for r in limits.sliding_limit(df, "user_id", "ts", 2, 10).collect()}
     assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True}
 
 
 def test_rate_limit_stream(spark, tmp_path):
     spark.createDataFrame(EVENTS, "event_id long, user_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("event_id long, user_id long, ts timestamp").parquet(str(tmp_path / "in"))
-    q = live.limit_stream(stream, "user_id", "ts", 2, 10).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    q = limits.limit_stream(stream, "user_id", "ts", 2, 10).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
     q.processAllAvailable()
     q.stop()
     assert {r["event_id"]: r["allowed"] for r in spark.table("limited").collect()} == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True}
 
 
+def in_batches(spark, tmp_path, batches, schema, change):
+    """Rows out, and the number of keys with state after each micro-batch."""
+    path, states, out = str(tmp_path / "in"), [], str(tmp_path / "out")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        q = change(spark.readStream.schema(schema).parquet(path)).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        states.append(sum(o["numRowsTotal"] for o in json.loads(q.lastProgress.json)["stateOperators"]))
+        q.stop()
+    return spark.read.parquet(out), states
+
+
+def test_limits_on_a_stream_equal_those_on_a_table_and_forget(spark, tmp_path):
+    rng, t, rows = random.Random(6), 0, []
+    for i in range(300):
+        t += rng.choice([0, 1, 3])
+        rows.append((i, rng.randrange(5), at(t), "x"))
+    rows += [(1000, 99, at(t + 10_000), "x")]
+    schema = "event_id long, user_id long, ts timestamp, other string"
+    got, states = in_batches(spark, tmp_path, [rows[:100], rows[100:220], rows[220:300], rows[300:]], schema, lambda s: limits.limit_stream(s, "user_id", "ts", 2, 10))
+    want = limits.sliding_limit(spark.createDataFrame(rows, schema), "user_id", "ts", 2, 10)
+    assert sorted(r[:] for r in got.select(*want.columns).collect()) == sorted(r[:] for r in want.collect())
+    assert {r["allowed"] for r in got.collect()} == {True, False}
+    assert states[2] > states[3]  # five keys have fallen silent
+
+
+def test_meter_on_a_stream_equals_the_one_on_a_table_and_forgets(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.randrange(4), i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * i), rng.randrange(1, 5)) for i in range(200)]
+    rows += [(99, 1000, dt.datetime(2025, 1, 1), 1)]
+    schema = "user_id long, seq long, ts timestamp, calls long"
+    got, states = in_batches(spark, tmp_path, [rows[:90], rows[90:200], rows[200:]], schema, lambda s: limits.meter_stream(s, 7, 60))
+    want = limits.metered(spark.createDataFrame(rows, schema).withColumn("day", F.to_date("ts")), 7, 60).drop("day")
+    assert sorted(r[:] for r in got.select(*want.columns).collect()) == sorted(r[:] for r in want.collect())
+    assert {r["charged"] for r in got.collect()} == {True, False} and states[1] > states[2]
+
+
 def test_meter(spark):
     rows = [(1, 1, dt.date(2024, 1, 1), 3), (1, 2, dt.date(2024, 1, 1), 3), (1, 3, dt.date(2024, 1, 1), 2), (1, 4, dt.date(2024, 1, 2), 4), (1, 5, dt.date(2024, 2, 1), 5)]
-    got = {r["seq"]: r["charged"] for r in live.metered(spark.createDataFrame(rows, "user_id long, seq long, day date, calls long"), 5, 8).collect()}
+    got = {r["seq"]: r["charged"] for r in limits.metered(spark.createDataFrame(rows, "user_id long, seq long, day date, calls long"), 5, 8).collect()}
     assert got == {1: True, 2: False, 3: True, 4: False, 5: True}
 
 
