@@ -104,6 +104,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
 SAMPLE, LEAST_SEEN, MOST_TOLD = 32, 3, 250_000
 #: Least bits of a document's parity sketch, and words and documents that one numpy step takes.
 SKETCH, STEP_WORDS, STEP_DOCS = 1024, 300_000, 2_000
+#: A hash with more linked groups than this is crowded: its rows are offered to HEADS more of its rows, one after the other, before all pairs are.
+CROWD, HEADS = 4, 2
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -277,9 +279,12 @@ def near_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, repe
     Two such sets share a hash in their prefixes (see ``_prefixes``), and at
     the first one enough hashes are left in both. In a first round the rows of
     each prefix hash are offered to the smallest of them, so a group of
-    near-copies costs one offer a row. In a second one, each two rows of a hash
-    that are not linked yet are offered, whatever their number: those outside
-    the hash's largest linked group to all others. ``repeated`` says that equal
+    near-copies costs one offer a row. In crowded hashes, rows that are not
+    linked with it yet are then offered to a row drawn by hash, another one for
+    each hash: copies that differ from the smallest find each other so. In a
+    last round, each two rows of a hash that are not linked yet are offered,
+    whatever their number: those outside the hash's largest linked group to all
+    others. ``repeated`` says that equal
     rows occur.
     """
     spark = texts.sparkSession
@@ -296,9 +301,28 @@ def near_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, repe
 
     heads = shared.filter("row = least").select("h", F.col("n").alias("n0"), F.col("pos").alias("pos0"))
     stars = shared.filter("row <> least").join(heads, "h").filter(fits("n", "pos", "n0", "pos0"))
-    first = _verified(texts, stars.select(F.col("row").alias("a"), F.col("least").alias("b")).distinct(), shingle, similarity, repeated)
-    roots = components(first).withColumnRenamed("node", "row")
-    rooted = materialize(shared.join(roots, "row", "left").select("h", "row", "n", "pos", F.coalesce("root", "row").alias("root")))
+    links = _fewer(_verified(texts, stars.select(F.col("row").alias("a"), F.col("least").alias("b")).distinct(), shingle, similarity, repeated))
+
+    def rooted_by(links: DataFrame) -> DataFrame:
+        roots = components(links).withColumnRenamed("node", "row")
+        return materialize(shared.join(roots, "row", "left").select("h", "row", "n", "pos", F.coalesce("root", "row").alias("root")))
+
+    rooted = rooted_by(links)
+    for turn in range(HEADS):
+        crowded = rooted.groupBy("h", "root").agg(F.min(F.struct(F.xxhash64("h", "row", F.lit(turn)).alias("draw"), "row", "n", "pos")).alias("head"))
+        crowded = materialize(crowded.groupBy("h").agg(F.min(F.struct("head", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter(F.col("roots") > CROWD).select(
+            "h", F.col("top.head.row").alias("row0"), F.col("top.head.n").alias("n0"), F.col("top.head.pos").alias("pos0"), F.col("top.root").alias("root0")
+        ))
+        if crowded.isEmpty():
+            break
+        drawn = rooted.join(crowded, "h").filter("root <> root0").filter(fits("n", "pos", "n0", "pos0"))
+        more = _verified(texts, drawn.select(F.greatest("row", "row0").alias("a"), F.least("row", "row0").alias("b")).distinct(), shingle, similarity, repeated)
+        discard(crowded)
+        if more.isEmpty():
+            break
+        links = _fewer(links.union(more))
+        discard(rooted)
+        rooted = rooted_by(links)
     discard(shared)
     groups = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("rows")).groupBy("h").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"))
     split = materialize(rooted.join(groups.filter("roots > 1").select("h", "main"), "h"))
@@ -308,7 +332,14 @@ def near_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, repe
     met = left.join(split, "h").filter("root <> root1").filter(fits("n", "pos", "n1", "pos1"))
     second = _verified(texts, met.select(F.greatest("row", "row1").alias("a"), F.least("row", "row1").alias("b")).distinct(), shingle, similarity, repeated)
     discard(split)
-    return first.union(second)
+    return links.union(_fewer(second))
+
+
+def _fewer(links: DataFrame) -> DataFrame:
+    """Links (a, b), a > b, that connect the same rows: each row keeps its smallest partner, and its other partners are linked to that one."""
+    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    others = links.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return materialize(least.select("a", F.col("m").alias("b")).union(others).distinct())
 
 
 def _with_nodes(docs: DataFrame) -> tuple[DataFrame, bool]:
