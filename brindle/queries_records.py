@@ -1015,3 +1015,20 @@ def usage_meter_stream(spark, sf_dir):
         return limits.meter_stream(usage, 8, 60)
 
     return _streamed(spark, sf_dir, "events", metered, ["user_id", "seq", "day", "calls", "charged"])
+
+
+# ---------------------------------------------------------------- values named in questions
+@register("""SELECT CAST(round_even(CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS DECIMAL(38, 6)) / count(*), 4) AS DOUBLE) AS value
+    FROM customer WHERE c_name = (SELECT min(c_name) FROM customer)""")
+def ask_value_of_many(spark, sf_dir):
+    """A question that names, with a typing error, one of as many customers as there are."""
+    from brindle.plans import values
+    from brindle.plans.ask import read_question
+
+    columns = ["name", "balance"]
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_row"), F.col("c_name").alias("name"), F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias("balance"))
+    profile = typing.collect_profile(c, columns)
+    typed = typing.add_typed(c, profile, columns)
+    first = c.agg(F.min("name")).first()[0]
+    question, vocabulary = values.understood(spark, values.value_index(typed, profile), profile, f"Average balance of {first[:3]}{first[4:]}?")
+    return run_plan(typed, profile, read_question(question, vocabulary).plan, columns).rows.select(F.col("value").cast("double").alias("value"))
