@@ -120,7 +120,7 @@ def without_indic(c: Column) -> Column:
 
 def tagged(c: Column, words: list[str], most: int = 12) -> Column:
     """The words of a gazetteer that occur in the text as whole words, first ones first, at most ``most``."""
-    hits = F.array(*[F.when(F.lower(c).rlike(r"\b" + w + r"\b"), F.lit(w)) for w in words])
+    hits = F.array(*[F.when(F.lower(c).rlike(rf"(?<![\p{{L}}\p{{N}}_]){w}(?![\p{{L}}\p{{N}}_])"), F.lit(w)) for w in words])
     return F.slice(F.array_distinct(F.array_compact(hits)), 1, most)
 
 

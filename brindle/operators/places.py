@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KM_PER_DEGREE = 111.32
@@ -10,7 +10,7 @@ RINGS_KM = (2, 5, 10, 20, 50)
 
 
 def tiles(areas: DataFrame, size_km: float) -> DataFrame:
-    """Cuts rectangles (area, low_lat, low_lng, high_lat, high_lng) into tiles of about ``size_km``, nearest the centre first."""
+    """Cuts rectangles (area, low_lat, low_lng, high_lat, high_lng) into tiles of about ``size_km``; position counts an area's tiles, nearest the centre first."""
     mid = (F.col("low_lat") + F.col("high_lat")) / 2
     high = (F.col("high_lat") - F.col("low_lat")) * KM_PER_DEGREE
     wide = (F.col("high_lng") - F.col("low_lng")) * KM_PER_DEGREE * F.cos(F.radians(mid))
@@ -24,7 +24,7 @@ def tiles(areas: DataFrame, size_km: float) -> DataFrame:
         (F.col("low_lat") + (r + 1) * dlat).alias("lat1"), (F.col("low_lng") + (c + 1) * dlng).alias("lng1"),
         (F.pow(r + 0.5 - F.col("rows") / 2, 2) + F.pow(c + 0.5 - F.col("cols") / 2, 2)).alias("dist2"),
     )
-    return out.orderBy("area", "dist2", "idx")
+    return out.withColumn("position", F.row_number().over(Window.partitionBy("area").orderBy("dist2", "idx"))).orderBy("area", "position")
 
 
 def search_order(areas: DataFrame, terms: DataFrame) -> DataFrame:

@@ -193,6 +193,27 @@ def deferred(df: DataFrame, term: str, order: str, cap: int) -> DataFrame:
     return df.withColumn("deferred", F.coalesce(before, F.lit(0)) >= cap)
 
 
+def capped_turns(tasks: DataFrame, queue: str, term: str, order: str, brought: str, target: int) -> DataFrame:
+    """Adds deferred, position and ran: searches of a queue in the order in which they are made until ``target`` new rows are there.
+
+    A category that has brought one and a half times its even share of the
+    target waits; when nothing else is left to search, what waits follows in
+    its own order and the cap no longer holds. With one category nothing waits.
+    What was brought before a category reached its share is the sum of all its
+    earlier searches, so a running sum decides who waits; a second one, in the
+    order of the searches, says which are still made.
+    """
+    own = Window.partitionBy(queue, term).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    terms = tasks.groupBy(F.col(queue).alias("_queue")).agg(F.count_distinct(term).alias("_terms"))
+    all_ = tasks.join(terms, F.col(queue).eqNullSafe(F.col("_queue")))
+    cap = F.ceil(F.lit(target * 1.5) / F.greatest(F.lit(1), F.col("_terms")))
+    waits = (F.col("_terms") > 1) & (F.coalesce(F.sum(brought).over(own), F.lit(0)) >= cap)
+    turns = all_.withColumn("deferred", waits)
+    made = Window.partitionBy(queue).orderBy("deferred", order)
+    before = F.coalesce(F.sum(brought).over(made.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return turns.withColumns({"position": F.row_number().over(made), "ran": before < target}).drop("_queue", "_terms")
+
+
 def reranked(df: DataFrame, group: str, url: str, rank: str) -> DataFrame:
     """Ranked sites of a group, the first of each url kept, numbered 1 to n again."""
     plain = df.withColumn("_url", F.regexp_replace(url, "/+$", ""))

@@ -397,17 +397,27 @@ def sheet_types(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- links
-@register("SELECT page_id, 'https://' || lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) || regexp_replace(url, '^[a-z]+://[^/?#]*', '') AS url FROM pages WHERE url LIKE 'http%'")
+#: Pages' addresses, some of them null, blank or without a scheme.
+_SOME_URLS = "(SELECT page_id, html, CASE page_id % 10 WHEN 0 THEN NULL WHEN 1 THEN regexp_replace(url, '^[a-z]+://', '') WHEN 2 THEN ' ' ELSE url END AS url FROM pages)"
+
+
+def _some_urls(spark, sf_dir) -> DataFrame:
+    k, url = F.col("page_id") % 10, F.col("url")
+    return read(spark, sf_dir, "pages").select("page_id", "html", F.when(k == 0, None).when(k == 1, F.regexp_replace(url, "^[a-z]+://", "")).when(k == 2, " ").otherwise(url).alias("url"))
+
+
+@register(f"SELECT page_id, CASE WHEN trim(url) = '' THEN '' ELSE 'https://' || lower(regexp_extract(url, '^(?:[a-z]+://)?([^/?#]*)', 1)) || regexp_replace(url, '^(?:[a-z]+://)?[^/?#]*', '') END AS url FROM {_SOME_URLS}")
 def secure_url(spark, sf_dir):
-    return read(spark, sf_dir, "pages").filter("url like 'http%'").select("page_id", links.secure(F.col("url")).alias("url"))
+    return _some_urls(spark, sf_dir).select("page_id", links.secure(F.col("url")).alias("url"))
 
 
-@register("""
-    WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS s FROM pages WHERE url LIKE 'http%')
+@register(f"""
+    WITH listed AS {_SOME_URLS},
+    p AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS s FROM listed WHERE url LIKE 'http%')
     SELECT page_id, root || '/' || array_to_string(s[1:n], '/') AS parent FROM (SELECT *, unnest(range(greatest(0, len(s) - 3), len(s))) AS n FROM p)
 """)
 def parent_pages(spark, sf_dir):
-    return read(spark, sf_dir, "pages").filter("url like 'http%'").select("page_id", F.explode(links.parent_pages(F.col("url"))).alias("parent"))
+    return _some_urls(spark, sf_dir).select("page_id", F.explode(links.parent_pages(F.col("url"))).alias("parent"))
 
 
 @register("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"(/[^\"#]*)\"', 1)) AS h FROM pages WHERE url LIKE 'http%') GROUP BY 1")
@@ -509,10 +519,20 @@ def tree_lines(spark, sf_dir):
     return t.select("page_id", "text", pages.item_estimate(F.col("text")).alias("items"))
 
 
-@register("SELECT page_id, CAST(0 AS BIGINT) AS tables, CAST(0 AS BIGINT) AS json_blocks, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<noscript\\b.*?</noscript\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[\\s\\x{85}\\p{Z}]+', ' ', 'g'))) AS chars FROM pages WHERE NOT contains(html, '<table') AND NOT contains(html, 'ld+json')")
+_DIGEST_HTML = """coalesce(html, '') || repeat('<table>' || repeat('<tr><td>cell</td><td>' || page_id || '</td></tr>', page_id % 4 + 1) || '</table>', page_id % 9) || repeat('<script type="application/ld+json">{"a": 1}</script>', page_id % 6)"""
+
+
+@register(rf"""
+    WITH h AS (SELECT page_id, {_DIGEST_HTML} AS html FROM pages)
+    SELECT page_id, CASE WHEN page_id % 4 >= 2 THEN least(6, page_id % 9) ELSE 0 END AS tables, CASE WHEN page_id % 4 >= 2 AND page_id % 9 > 0 THEN array_to_string(list_transform(range(0, page_id % 4 + 1), lambda i: 'cell | ' || page_id), chr(10)) END AS first_table,
+           least(4, page_id % 6) AS json_blocks,
+           length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<noscript\\b.*?</noscript\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[\\s\\x{{85}}\\p{{Z}}]+', ' ', 'g'))) AS chars
+    FROM h
+""".replace("\\\\", "\\"))
 def page_digest(spark, sf_dir):
-    d = pages.page_digests(read(spark, sf_dir, "pages").filter("not contains(html, '<table') and not contains(html, 'ld+json')"))
-    return d.select("page_id", F.size("tables").cast("long").alias("tables"), F.size("json_ld").cast("long").alias("json_blocks"), F.char_length("text").cast("long").alias("chars"))
+    """Every page with tables and JSON-LD blocks of known number and size added."""
+    d = pages.page_digests(read(spark, sf_dir, "pages").select("page_id", F.expr(_DIGEST_HTML.replace("page_id %", "cast(page_id AS int) %")).alias("html")))
+    return d.select("page_id", F.size("tables").cast("long").alias("tables"), F.get("tables", F.lit(0))["text"].alias("first_table"), F.size("json_ld").cast("long").alias("json_blocks"), F.char_length("text").cast("long").alias("chars"))
 
 
 @register("SELECT CAST(n_nationkey AS BIGINT) AS page_id, CAST(0 AS INTEGER) AS table_no, CAST(s.rn AS INTEGER) AS row_no, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'S' || s_suppkey ELSE 'row-0-' || s.rn END AS ident FROM nation JOIN (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier) s ON s_nationkey = n_nationkey")
@@ -674,15 +694,20 @@ def merge_keys(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", text.plain_name(F.col("c_name")).alias("name"), merge.merge_key(first, F.col("c_mktsegment")).alias("key"))
 
 
-@register("SELECT a.o_orderkey, a.o_orderpriority = b.o_orderpriority OR a.o_orderstatus = 'O' AS similar FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 AND a.o_orderstatus IN ('O', 'F') WHERE a.o_orderpriority = b.o_orderpriority OR a.o_orderstatus = 'O'")
+@register("""
+    WITH p AS (SELECT a.o_orderkey, a.o_orderpriority || ' level' AS x, CASE WHEN a.o_orderkey % 11 = 0 THEN NULL WHEN a.o_orderstatus = 'O' THEN 'the ' || a.o_orderpriority || ' level' WHEN a.o_orderstatus = 'F' THEN b.o_orderpriority || ' level' ELSE 'Level, ' || b.o_orderpriority END AS y
+        FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1),
+    q AS (SELECT o_orderkey, regexp_replace(lower(x), '[^a-z0-9 ]', '', 'g') AS x, regexp_replace(lower(y), '[^a-z0-9 ]', '', 'g') AS y FROM p),
+    t AS (SELECT *, replace(x, ' ', '') AS p, replace(y, ' ', '') AS q, string_split(x, ' ') AS u, string_split(y, ' ') AS v FROM q)
+    SELECT o_orderkey, coalesce(contains(p, q) OR contains(q, p) OR len(list_intersect(u, v)) * 2 >= len(list_distinct(list_concat(u, v))), FALSE) AS similar FROM t
+""")
 def similar_cells(spark, sf_dir):
+    """Every order's priority against a cell made of its own or of the next one's: equal, contained, sharing words, unlike, or missing."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     after = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_orderpriority").alias("after"))
-    pair = o.filter("o_orderstatus in ('O', 'F')").join(after, "o_orderkey")
-    other = F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("the "), "o_orderpriority")).otherwise(F.col("after"))
-    similar = text.similar_cells(F.col("o_orderpriority"), other)
-    plain = (F.col("o_orderstatus") == "O") | (F.col("o_orderpriority") == F.col("after"))
-    return pair.select("o_orderkey", similar.alias("similar"), plain.alias("plain")).filter("plain").drop("plain")
+    own = F.concat("o_orderpriority", F.lit(" level"))
+    other = F.when(F.col("o_orderkey") % 11 == 0, None).when(F.col("o_orderstatus") == "O", F.concat(F.lit("the "), own)).when(F.col("o_orderstatus") == "F", F.concat("after", F.lit(" level"))).otherwise(F.concat(F.lit("Level, "), "after"))
+    return o.join(after, "o_orderkey").select("o_orderkey", text.similar_cells(own, other).alias("similar"))
 
 
 @register("SELECT c_custkey, 'x.org|' || CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE substr(md5('x.org|' || c_custkey || '|' || c_mktsegment), 1, 16) END AS id FROM customer")
@@ -691,9 +716,9 @@ def record_ids(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", text.record_id(F.lit("x.org"), [F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")), F.lit(" ")], [k, F.col("c_mktsegment")]).alias("id"))
 
 
-@register("SELECT page_id, url LIKE 'http%' OR url LIKE 'www.%' AS is_url FROM pages WHERE url IS NOT NULL")
+@register(f"SELECT page_id, coalesce(url LIKE 'http%', FALSE) AS is_url FROM {_SOME_URLS}")
 def url_test(spark, sf_dir):
-    return read(spark, sf_dir, "pages").filter("url is not null").select("page_id", text.is_url(F.col("url")).alias("is_url"))
+    return _some_urls(spark, sf_dir).select("page_id", text.is_url(F.col("url")).alias("is_url"))
 
 
 @register("SELECT p_partkey, p_brand AS price_column, p_partkey % 2 = 0 AS walled FROM part")
@@ -734,10 +759,17 @@ def trust_scores(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select("s_suppkey", F.round(places.trust_score(host, (k % 10) / 10.0), 6).alias("score"))
 
 
-@register("SELECT n_regionkey AS area, count(*) AS n FROM (SELECT n_regionkey, unnest(range(0, 4)) FROM (SELECT DISTINCT n_regionkey FROM nation)) GROUP BY 1")
+@register("""
+    WITH a AS (SELECT DISTINCT n_regionkey AS area, 0.2 * (1 + n_regionkey) AS side FROM nation),
+    g AS (SELECT *, greatest(1, ceil(side * 111.32 / 12))::BIGINT AS m, greatest(1, ceil(side * 111.32 * cos(radians(side / 2)) / 12))::BIGINT AS n FROM a),
+    t AS (SELECT *, unnest(range(0, m * n)) AS idx FROM g)
+    SELECT area, idx, row_number() OVER (PARTITION BY area ORDER BY pow(idx // n + 0.5 - m / 2, 2) + pow(idx % n + 0.5 - n / 2, 2), idx) AS position FROM t
+""")
 def area_tiles(spark, sf_dir):
-    a = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("area")).distinct().select("area", F.lit(0.0).alias("low_lat"), F.lit(0.0).alias("low_lng"), F.lit(0.2).alias("high_lat"), F.lit(0.2).alias("high_lng"))
-    return places.tiles(a, 12).groupBy("area").agg(F.count(F.lit(1)).alias("n"))
+    """Squares of growing size in tiles, each with its place from the centre."""
+    side = 0.2 * (1 + F.col("area"))
+    a = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("area")).distinct().select("area", F.lit(0.0).alias("low_lat"), F.lit(0.0).alias("low_lng"), side.alias("high_lat"), side.alias("high_lng"))
+    return places.tiles(a, 12).select("area", F.col("idx").cast("long").alias("idx"), F.col("position").cast("long").alias("position"))
 
 
 @register("SELECT DISTINCT c_nationkey, lower(c_mktsegment) AS tag, round(1.0 / count(DISTINCT lower(c_mktsegment)) OVER (PARTITION BY c_nationkey), 4) AS weight FROM customer")
@@ -746,15 +778,15 @@ def tag_weights(spark, sf_dir):
     return g.select("c_nationkey", F.explode(places.equal_weights(F.col("tags"))).alias("w")).select("c_nationkey", "w.tag", "w.weight")
 
 
-@register("SELECT p_partkey, 'Brand ' AS plain FROM part")
+@register("SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '', 'g') || '|' || p_type AS plain FROM part")
 def without_indic(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", text.without_indic(F.lit("Brand हिन्दी")).alias("plain"))
+    """Part names whose vowels are written in Indic scripts, with them dropped."""
+    return read(spark, sf_dir, "part").select("p_partkey", text.without_indic(F.concat(F.translate("p_name", "aeiou", "अइउऎஎ"), F.lit("|"), F.col("p_type"))).alias("plain"))
 
 
-@register("SELECT doc_id, list_filter(['license', 'token', 'the'], lambda w: regexp_matches(lower(text), '\\b' || w || '\\b')) AS tags FROM documents WHERE text IS NOT NULL AND text = strip_accents(text)")
+@register("SELECT doc_id, list_filter(['license', 'token', 'the', 'der', 'est'], lambda w: regexp_matches(lower(coalesce(text, '')), '(^|[^\\p{L}\\p{N}_])' || w || '($|[^\\p{L}\\p{N}_])')) AS tags FROM documents".replace("\\\\", "\\"))
 def gazetteer(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").filter(F.col("text").isNotNull() & F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return d.select("doc_id", text.tagged(F.col("text"), ["license", "token", "the"]).alias("tags"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.tagged(F.col("text"), ["license", "token", "the", "der", "est"]).alias("tags"))
 
 
 @register("SELECT min_by(n, y) AS first, max_by(n, y) AS last, arg_max(y, struct_pack(a := n, b := y)) AS peak, CAST(round_even(CAST(max_by(n, y) - min_by(n, y) AS DECIMAL(24,4)) * 100 / min_by(n, y), 2) AS DOUBLE) AS change FROM (SELECT strftime(o_orderdate, '%Y') AS y, count(*) AS n FROM orders GROUP BY 1)")
@@ -1032,3 +1064,21 @@ def ask_value_of_many(spark, sf_dir):
     first = c.agg(F.min("name")).first()[0]
     question, vocabulary = values.understood(spark, values.value_index(typed, profile), profile, f"Average balance of {first[:3]}{first[4:]}?")
     return run_plan(typed, profile, read_question(question, vocabulary).plan, columns).rows.select(F.col("value").cast("double").alias("value"))
+
+
+# ---------------------------------------------------------------- searches in turn
+@register("""
+    WITH RECURSIVE t AS (SELECT user_id AS queue, event_type AS term, event_id AS seq, event_id % 4 AS brought FROM events),
+    c AS (SELECT queue, ceil(40.0 * 3 / 2 / count(DISTINCT term)) AS cap, count(DISTINCT term) > 1 AS capped FROM t GROUP BY queue),
+    d AS (SELECT t.*, cap, capped, row_number() OVER (PARTITION BY t.queue, term ORDER BY seq) AS k FROM t JOIN c ON t.queue = c.queue),
+    f AS (SELECT *, FALSE AS deferred, brought AS got FROM d WHERE k = 1
+        UNION ALL SELECT d.*, d.capped AND f.got >= d.cap, f.got + CASE WHEN d.capped AND f.got >= d.cap THEN 0 ELSE d.brought END FROM f JOIN d ON d.queue = f.queue AND d.term = f.term AND d.k = f.k + 1),
+    o AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY deferred, seq) AS position FROM f),
+    r AS (SELECT queue, seq, term, deferred, position, TRUE AS ran, brought AS total FROM o WHERE position = 1
+        UNION ALL SELECT o.queue, o.seq, o.term, o.deferred, o.position, r.total < 40, r.total + CASE WHEN r.total < 40 THEN o.brought ELSE 0 END FROM r JOIN o ON o.queue = r.queue AND o.position = r.position + 1)
+    SELECT queue, seq, term, deferred, position, ran FROM r
+""")
+def capped_turns(spark, sf_dir):
+    """Searches of several categories until the target is reached: a category that had its share waits until no other does."""
+    tasks = read(spark, sf_dir, "events").select(F.col("user_id").alias("queue"), F.col("event_type").alias("term"), F.col("event_id").alias("seq"), (F.col("event_id") % 4).alias("brought"))
+    return reports.capped_turns(tasks, "queue", "term", "seq", "brought", 40).select("queue", "seq", "term", "deferred", F.col("position").cast("long").alias("position"), "ran")

@@ -51,3 +51,34 @@ def test_two_values_equally_near_are_no_answer(spark):
     profile = typing.collect_profile(rows, ["item"])
     index = values.value_index(typing.add_typed(rows, profile, ["item"]), profile)
     assert values.named_values(spark, index, "kettle c") == [] and [v[3] for v in values.named_values(spark, index, "kettle b")] == ["kettle b"]
+
+
+def test_a_category_that_had_its_share_waits_until_no_other_does(spark):
+    import random
+    from collections import deque
+    from math import ceil
+
+    from brindle.operators import reports
+
+    rng = random.Random(3)
+    rows = [(q, rng.choice("abc") if q else "a", i, rng.choice([0, 1, 3])) for i, q in enumerate([0] * 30 + [1] * 60 + [2] * 60)]
+    want = {}
+    for q in range(3):
+        target, mine = 40, [r for r in rows if r[0] == q]
+        terms = {r[1] for r in mine}
+        cap, on, total, had = ceil(target * 1.5 / len(terms)), len(terms) > 1, 0, dict.fromkeys(terms, 0)
+        tasks, later, n = deque(mine), [], 0
+        while tasks or later:
+            if not tasks:
+                tasks, later, on = deque(later), [], False
+            task = tasks.popleft()
+            if on and had[task[1]] >= cap:
+                later.append(task)
+                continue
+            n += 1
+            want[task[2]] = (not on and len(terms) > 1, n, total < target)
+            had[task[1]] += task[3]
+            total += task[3]
+    got = reports.capped_turns(spark.createDataFrame(rows, "q int, term string, at int, n int"), "q", "term", "at", "n", 40)
+    assert {r["at"]: (r["deferred"], r["position"], r["ran"]) for r in got.collect()} == want
+    assert any(w[0] for w in want.values()) and not all(w[2] for w in want.values())
