@@ -1082,3 +1082,38 @@ def capped_turns(spark, sf_dir):
     """Searches of several categories until the target is reached: a category that had its share waits until no other does."""
     tasks = read(spark, sf_dir, "events").select(F.col("user_id").alias("queue"), F.col("event_type").alias("term"), F.col("event_id").alias("seq"), (F.col("event_id") % 4).alias("brought"))
     return reports.capped_turns(tasks, "queue", "term", "seq", "brought", 40).select("queue", "seq", "term", "deferred", F.col("position").cast("long").alias("position"), "ran")
+
+
+# ---------------------------------------------------------------- timelines and gates
+@register("""
+    WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS t, row_number() OVER w AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id)),
+    f AS (SELECT event_id, user_id, rn, t, 0::BIGINT AS clock, 0::BIGINT AS last, TRUE AS shown FROM e WHERE rn = 1
+          UNION ALL SELECT e.event_id, e.user_id, e.rn, e.t, f.clock + least(40000, e.t - f.t), CASE WHEN f.clock + least(40000, e.t - f.t) - f.last >= 50000 THEN f.clock + least(40000, e.t - f.t) ELSE f.last END,
+                 f.clock + least(40000, e.t - f.t) - f.last >= 50000 OR e.rn = e.n FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)
+    SELECT event_id, user_id, shown FROM f
+""")
+def thinned_timeline(spark, sf_dir):
+    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("double")
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", seconds.alias("at"))
+    return live.thinned_rows(events, "user_id", "at", "event_id", 50_000, 40_000).select("event_id", "user_id", "shown")
+
+
+@register("""
+    WITH RECURSIVE k AS (SELECT event_id, user_id, CASE event_id % 7 WHEN 0 THEN 'begin' WHEN 1 THEN 'finish' WHEN 2 THEN CASE event_id % 5 WHEN 0 THEN 'reset' WHEN 1 THEN 'drop' ELSE 'finish' END ELSE 'frame' END AS kind, CAST(event_id % 3 > 0 AS BIGINT) AS view FROM events),
+    c AS (SELECT *, count(*) FILTER (kind IN ('begin', 'reset')) OVER (PARTITION BY user_id ORDER BY event_id) - CAST(event_id % 4 = 0 AS BIGINT) AS gen, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM k),
+    f AS (SELECT event_id, user_id, kind, rn, CAST(kind IN ('begin', 'reset') AS BIGINT) AS now, CASE WHEN kind = 'begin' THEN view END AS shown, 0::BIGINT AS buffer, CASE WHEN kind = 'finish' THEN FALSE END AS accepted,
+                 kind IN ('drop', 'reset') OR (kind = 'finish' AND gen = 0) AS ends FROM c WHERE rn = 1
+          UNION ALL
+          SELECT c.event_id, c.user_id, c.kind, c.rn, f.now + CAST(c.kind IN ('begin', 'reset') AS BIGINT), CASE WHEN c.kind = 'begin' THEN c.view ELSE f.shown END, f.buffer + CAST(f.ends AS BIGINT),
+                 CASE WHEN c.kind = 'finish' THEN coalesce(c.gen = f.now AND c.view = f.shown, FALSE) END, c.kind IN ('drop', 'reset') OR (c.kind = 'finish' AND c.gen = f.now)
+          FROM f JOIN c ON c.user_id = f.user_id AND c.rn = f.rn + 1)
+    SELECT a.user_id, a.event_id, b.event_id AS published_by FROM f a JOIN f b ON a.kind = 'frame' AND b.accepted AND a.user_id = b.user_id AND a.buffer = b.buffer
+""")
+def gated_frames(spark, sf_dir):
+    """Frames that snapshots replay: each user's events read as begins, finishes (some stale), drops, resets and frames."""
+    e, k = F.col("event_id"), F.col("event_id") % 7
+    kind = F.when(k == 0, "begin").when(k == 1, "finish").when(k == 2, F.when(e % 5 == 0, "reset").when(e % 5 == 1, "drop").otherwise("finish")).otherwise("frame")
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", kind.alias("kind"), (e % 3 > 0).cast("long").alias("view"))
+    begun = F.count_if(F.col("kind").isin("begin", "reset")).over(Window.partitionBy("user_id").orderBy("event_id"))
+    events = events.withColumn("gen", begun - (e % 4 == 0).cast("long"))
+    return live.published(live.gated(events, "user_id", "event_id", "kind", "gen", "view"), "user_id", "event_id", "kind")

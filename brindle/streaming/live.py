@@ -125,6 +125,54 @@ def thinned(times, least: float, cap: float = 4.0, scale: float = 1.0):
     return F.aggregate(times, start, step, lambda a: a["out"])
 
 
+def thinned_rows(events: DataFrame, key: str, at: str, tie: str, least: float, cap: float = 4.0, scale: float = 1.0) -> DataFrame:
+    """Adds shown to the rows of each key's timeline (``at`` in seconds): a row is shown when the clock has run ``least`` seconds since the last shown one.
+
+    The clock runs by the gaps between rows, scaled and capped. The first and
+    the last row always show. A task holds one key's clock, however long its
+    timeline is.
+    """
+    def step(state: tuple, row: tuple) -> tuple[tuple, bool]:
+        before, clock, shown = state
+        now, last = row
+        clock += min(cap, (now - before) * scale) if before is not None else 0.0
+        shows = shown is None or clock - shown >= least
+        return (now, clock, clock if shows else shown), shows or last
+
+    ends = F.lead(tie).over(Window.partitionBy(key).orderBy(at, tie)).isNull()
+    return fold_in_order(events.withColumn("_last", ends), [key], [at, tie], "shown", lambda: (None, 0.0, None), step, [at, "_last"]).drop("_last")
+
+
+def gated(events: DataFrame, key: str, order: str, kind: str, generation: str, view: str) -> DataFrame:
+    """Orders snapshots against live frames: adds now (the generation), accepted and buffer to each key's events in order.
+
+    ``kind`` is begin (of a snapshot of ``view``), frame, finish (of the
+    snapshot that began as ``generation``, while ``view`` is shown), drop or
+    reset. A begin or a reset starts a new generation, which makes snapshots on
+    their way stale. A finish is accepted if its generation is the newest and
+    its view the one that was begun; it takes the frames of its buffer along.
+    A finish of the newest generation, a drop and a reset end the buffer. So
+    the state is two counts and the last view: running sums, whatever the
+    number of frames between.
+    """
+    so_far = Window.partitionBy(key).orderBy(order)
+    is_ = lambda *k: F.col(kind).isin(*k)
+    now = F.count_if(is_("begin", "reset")).over(so_far)
+    begun = F.last(F.when(is_("begin"), F.col(view)), ignorenulls=True).over(so_far)
+    newest = is_("finish") & (F.col(generation) == F.col("now"))
+    out = events.withColumn("now", now).withColumn("_begun", begun)
+    out = out.withColumn("accepted", F.when(is_("finish"), F.coalesce(newest & (F.col(view) == F.col("_begun")), F.lit(False))))
+    ended = F.count_if(is_("drop", "reset") | F.coalesce(newest, F.lit(False))).over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+    return out.withColumn("buffer", F.coalesce(ended, F.lit(0))).drop("_begun")
+
+
+def published(gate: DataFrame, key: str, order: str, kind: str) -> DataFrame:
+    """(key, order of the frame, published_by): the frames that accepted snapshots replay, from ``gated`` events."""
+    done = gate.filter("accepted").select(F.col(key).alias("_key"), F.col("buffer").alias("_buffer"), F.col(order).alias("published_by"))
+    frames = gate.filter(F.col(kind) == "frame")
+    return frames.join(done, (F.col(key) == F.col("_key")) & (F.col("buffer") == F.col("_buffer"))).select(key, order, "published_by")
+
+
 def final_status(events: DataFrame, key: str, order: str, status: str, terminal: list[str]) -> DataFrame:
     """Latest status of each key; a terminal one is never reopened by a later event."""
     done = F.min_by(status, F.when(F.col(status).isin(*terminal), F.col(order)))

@@ -159,3 +159,17 @@ def test_places(spark):
     assert places.tiles(area, 12).count() == 4
     r = spark.range(1).select(places.trust_score(F.lit("x.gov.in"), F.lit(0.5)).alias("a"), places.trust_score(F.lit("blog.x.com"), F.lit(0.5)).alias("b"), places.equal_weights(F.array(F.lit("A"), F.lit("a"), F.lit("b"))).alias("w")).first()
     assert (round(r["a"], 2), round(r["b"], 2)) == (0.65, 0.2) and [(x["tag"], x["weight"]) for x in r["w"]] == [("a", 0.5), ("b", 0.5)]
+
+
+def test_thinned_rows_and_the_gate(spark):
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate([0.0, 1.0, 2.0, 3.5, 20.0, 20.5])] + [(2, 9, 5.0)], "k int, i int, t double")
+    got = {(r["k"], r["i"]) for r in live.thinned_rows(df, "k", "t", "i", 2.0).filter("shown").collect()}
+    assert got == {(1, 0), (1, 2), (1, 4), (1, 5), (2, 9)}
+    rows = [
+        (1, "begin", None, "a"), (2, "frame", None, None), (3, "begin", None, "b"), (4, "finish", 1, "a"), (5, "frame", None, None), (6, "finish", 2, "b"),  # the first snapshot was overtaken; the second takes both frames
+        (7, "frame", None, None), (8, "begin", None, "a"), (9, "finish", 3, "b"), (10, "frame", None, None),  # the view has changed: what was buffered is forgotten
+        (11, "begin", None, "b"), (12, "reset", None, None), (13, "finish", 4, "b"), (14, "frame", None, None), (15, "begin", None, "c"), (16, "frame", None, None), (17, "finish", 6, "c"), (18, "frame", None, None),
+    ]
+    gate = live.gated(spark.createDataFrame([("u", *r) for r in rows], "who string, n int, kind string, gen int, view string"), "who", "n", "kind", "gen", "view")
+    assert {r["n"]: r["accepted"] for r in gate.filter("kind = 'finish'").collect()} == {4: False, 6: True, 9: False, 13: False, 17: True}
+    assert sorted((r["n"], r["published_by"]) for r in live.published(gate, "who", "n", "kind").collect()) == [(2, 6), (5, 6), (14, 17), (16, 17)]
