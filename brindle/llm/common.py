@@ -6,7 +6,11 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +95,17 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, file.rsplit("/", 1)[0])
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows of at most ``most`` bytes in column ``text``, or one longer row: bounds what a worker makes of a batch at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    row = 0
+    while row < batch.num_rows:
+        before = int(ends[row - 1]) if row else 0
+        stop = max(row + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(row, stop - row)
+        row = stop
+
+
 # ---------------------------------------------------------------- rows
 #: The column that ``numbered`` adds.
 ROW = "_brindle_row"

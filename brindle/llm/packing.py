@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, text_of
+from brindle.llm.common import materialize, slices, text_of
 
 CAPACITY = 2048
 #: Pieces that one task packs together: bounds its memory and the half-filled last sequences.
@@ -23,7 +23,7 @@ GROUP_PIECES = 20_000
 CHUNK_WORDS = 400_000
 
 #: Words whose ids a worker keeps between batches: bounds its memory; other words are encoded again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 _loaded: dict[str, object] = {}
 _known: dict[str, dict[str, np.ndarray]] = {}
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids_of = batch.column(0)
             texts = batch.column(1)
             out: list[list] = [[], [], [], [], []]
