@@ -79,6 +79,15 @@ def test_sinks(spark, tmp_path):
     assert json.loads(sinks.json_array(d))[0]["c"] == "12345678901234567890"
 
 
+def test_feed():
+    pages = {n: json.dumps({"meta": {"totalElements": 5}, "records": [{"i": k, "t": {"title": f"x{k}"}} for k in range((n - 1) * 2, min(n * 2, 5))] or []}) for n in (1, 2, 3)}
+    reader = feeds.FeedReader({"url": "{page}", "pagesize": "2"}, lambda u: pages.get(int(u), "{}"))
+    parts = reader.partitions()
+    assert [(p.first, p.last) for p in parts] == [(1, 3)]
+    rows = [r for p in parts for r in reader.read(p)]
+    assert [r[0] for r in rows[:4]] == [0, 1, 2, 3] and rows[0][1] == {"i": "0", "t": "x0"}
+
+
 class Server:
     """A feed on this machine: what it holds, how it behaves past its end, and the pages it was asked for."""
 
@@ -182,6 +191,24 @@ def test_feed_stream_that_has_shifted_is_an_error():
         stream.partitions(start, feeds.FeedStream({"url": server.url, "pagesize": "10"}).latestOffset())
 
 
+VOCABULARY = Vocabulary(
+    {"brand": ColumnProfile("brand", "category", 9, 0, 3, 0, None, None, False), "price_inr": ColumnProfile("price_inr", "money", 9, 0, 9, 0, "INR", None, False), "year": ColumnProfile("year", "period", 9, 0, 3, 0, None, None, False, "year")},
+    {"brand": ("Tata", "MG")},
+)
+
+
+@pytest.mark.parametrize(("question", "plan"), [
+    ("How many rows are there?", Query("count")),
+    ("average price by brand", Query("avg", "price_inr", "brand")),
+    ("total price per year", Query("sum", "price_inr", "year")),
+    ("What is the median price for Tata", Query("median", "price_inr", filters=(Filter("in", "brand", ("Tata",)),))),
+    ("average price of unicorns by brand", None),
+    ("average weight by brand", None),
+])
+def test_questions(question, plan):
+    assert fast_plan(question, VOCABULARY) == plan
+
+
 def test_describe_and_suggest():
     assert describe(Query("avg", "price", "brand", limit=3)) == "Average price, by brand, first 3"
     assert Query("avg", "price_inr", "year") in suggest(VOCABULARY.profile)
