@@ -716,7 +716,7 @@ def record_ids(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", text.record_id(F.lit("x.org"), [F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")), F.lit(" ")], [k, F.col("c_mktsegment")]).alias("id"))
 
 
-@register(f"SELECT page_id, coalesce(url LIKE 'http%', FALSE) AS is_url FROM {_SOME_URLS}")
+@register(f"SELECT page_id, coalesce(url LIKE 'http%' OR url LIKE 'www.%', FALSE) AS is_url FROM {_SOME_URLS}")
 def url_test(spark, sf_dir):
     return _some_urls(spark, sf_dir).select("page_id", text.is_url(F.col("url")).alias("is_url"))
 
