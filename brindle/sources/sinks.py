@@ -43,13 +43,20 @@ def sheet_types(df: DataFrame, numeric: list[str]) -> dict[str, str]:
     return out
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
-    """CSV or TSV; text cells that a spreadsheet would run get a quote mark, tabs and breaks in TSV become spaces."""
+def write_delimited(df: DataFrame, path: str, sep: str = ",", units: dict[str, str] | None = None, spreadsheet: bool = False) -> None:
+    """CSV or TSV, a file for each partition; text cells that a spreadsheet would run get a quote mark, tabs and breaks in TSV become spaces.
+
+    ``units`` stand in the header behind their columns. For a ``spreadsheet``
+    each file begins with a byte order mark and lines end with CR LF.
+    """
     strings = [c for c, t in df.dtypes if t == "string"]
     clean = {c: guarded(F.col(f"`{c}`")) for c in strings}
     if sep == "\t":
         clean = {c: F.regexp_replace(v, r"[\t\r\n]+", " ") for c, v in clean.items()}
-    df.withColumns(clean).write.csv(path, sep=sep, header=True, escape='"')
+    names = [f"{c} ({units[c]})" if units and c in units else c for c in df.columns]
+    if spreadsheet:
+        names[0] = "\ufeff" + names[0]
+    df.withColumns(clean).toDF(*names).write.csv(path, sep=sep, header=True, escape='"', lineSep="\r\n" if spreadsheet else "\n")
 
 
 def json_array(df: DataFrame) -> str:
@@ -125,8 +132,10 @@ def create_table(df: DataFrame, table: str, types: dict[str, str] | None = None,
 
 
 def write_xml(df: DataFrame, path: str) -> None:
-    """Spark's XML sink; element names are made valid first."""
-    df.toDF(*unique_slugs(df.columns)).write.format("xml").options(rootTag="rows", rowTag="row", nullValue="").save(path)
+    """Spark's XML sink; element names are made valid first, and a null cell is an empty element with xsi:nil."""
+    cell = lambda c: F.struct(F.col(f"`{c}`").cast("string").alias("_VALUE"), F.when(F.col(f"`{c}`").isNull(), F.lit("true")).alias("_xsi:nil"))
+    rows = df.select(*[cell(c).alias(s) for c, s in zip(df.columns, unique_slugs(df.columns), strict=True)])
+    rows.write.format("xml").options(rootTag='rows xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"', rowTag="row", validateName="false").save(path)  # the names are valid; the check takes the prefix of xsi:nil for none
 
 
 def xlsx_bytes(df: DataFrame, most: int = 50_000, about: dict[str, str] | None = None) -> bytes:

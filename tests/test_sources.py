@@ -6,6 +6,7 @@ import random
 import threading
 import urllib.parse
 import zipfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -277,3 +278,15 @@ def test_a_large_quoted_file_is_read_by_many_tasks(spark, tmp_path):
         assert bad.isEmpty()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_for_spreadsheets_and_nulls_in_xml(spark, tmp_path):
+    df = spark.createDataFrame([(1, "=1+1", 2.5), (2, None, None)], "id long, `some name` string, price double").coalesce(1)
+    sinks.write_delimited(df, str(tmp_path / "c"), units={"price": "INR"}, spreadsheet=True)
+    (name,) = (tmp_path / "c").glob("part-*.csv")
+    assert name.read_bytes() == "\ufeffid,some name,price (INR)\r\n1,'=1+1,2.5\r\n2,,\r\n".encode()
+    sinks.write_xml(df, str(tmp_path / "x"))
+    (name,) = (p for p in (tmp_path / "x").glob("part-*"))
+    rows = list(ElementTree.fromstring(name.read_text()))
+    nil = "{http://www.w3.org/2001/XMLSchema-instance}nil"
+    assert [[(c.tag, c.text, c.get(nil)) for c in r] for r in rows] == [[("id", "1", None), ("some_name", "=1+1", None), ("price", "2.5", None)], [("id", "2", None), ("some_name", None, "true"), ("price", None, "true")]]
