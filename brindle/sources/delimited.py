@@ -96,20 +96,23 @@ def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
+STARTS = pa.schema([("path", pa.string()), ("block", pa.int64()), ("inside", pa.bool_()), ("sep", pa.string()), ("encoding", pa.string())])
+
+
 def _starts(delimiter: str | None):
-    """Folds one file's splits in order: (path, block, inside, delimiter, encoding)."""
+    """Folds the splits of each file in order: whether a split begins inside quotes, the file's delimiter and encoding."""
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, inside, sep = None, False, ","
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
+                name = "utf-8" if r["utf8_all"] else "cp1252" if r["cp1252_all"] else "latin-1"
                 if r["path"] != path:
                     path, inside = r["path"], False
-                    name = "utf-8" if r["utf8_all"] else "cp1252" if r["cp1252_all"] else "latin-1"
                     sep = delimiter or sniff((r["head"] or b"").removeprefix(BOM).decode(name, "replace"))
-                rows.append((path, r["block"], inside, sep, name))
+                rows.append({"path": path, "block": r["block"], "inside": inside, "sep": sep, "encoding": name})
                 inside = r["ends"][2 * DELIMITERS.index(sep) + inside]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string()), strict=True)], names=["path", "block", "inside", "sep", "encoding"]) if rows else batch.slice(0, 0).select([]).from_pylist([], pa.schema([("path", pa.string()), ("block", pa.int64()), ("inside", pa.bool_()), ("sep", pa.string()), ("encoding", pa.string())]))
+            yield pa.RecordBatch.from_pylist(rows, STARTS)
 
     return fold
 
