@@ -22,11 +22,14 @@ GROUP_PIECES = 20_000
 #: Words whose ids are laid out at once.
 CHUNK_WORDS = 400_000
 
-#: Words whose ids a worker keeps between batches: bounds its memory; other words are encoded again.
-CACHE_WORDS = 150_000
+#: Words whose ids a worker keeps between batches, in flat arrays: bounds its memory; other words are encoded again.
+CACHE_WORDS = 1_000_000
+#: Words that are encoded as one text, and what stands between them: a word of its own with one id.
+JOINED, SEPARATOR = 64, "\x01"
 
 _loaded: dict[str, object] = {}
-_known: dict[str, dict[str, np.ndarray]] = {}
+#: By tokenizer and type of text: the words, where their ids start (and the last ones end), and all their ids.
+_known: dict[tuple, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
 
 
 def tokenizer_path() -> str:
@@ -44,31 +47,55 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
+def _encoded(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids of each word, all ids). Words are encoded JOINED at once and cut at the separators; one by one where a word holds the separator's id itself."""
+    tokenizer = _tokenizer(path)
+    mark = tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+    sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    step = 320 * JOINED
+    for i in range(0, len(words), step):
+        parts = [words[k : k + JOINED] for k in range(i, min(i + step, len(words)), JOINED)]
+        for part, e in zip(parts, tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(part) for part in parts], add_special_tokens=False), strict=True):
+            found = np.array(e.ids, np.uint32)
+            real = found != mark[0] if len(mark) == 1 else np.ones(len(found), bool)
+            ends = np.flatnonzero(~real)
+            if len(ends) == len(part) - 1:
+                sizes.append(np.diff(np.concatenate([[-1], ends, [len(found)]])) - 1)
+                ids.append(found[real])
+            else:
+                alone = [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                sizes.append(np.array([len(x) for x in alone], np.int64))
+                ids += alone
+    return np.concatenate(sizes), np.concatenate(ids)
+
+
 def token_ids(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray]]:
     """(row, uint32 ids) of each text, equal to encoding the whole text.
 
     The tokenizer never joins characters across white space, so every distinct
-    space-separated word of a batch is encoded once and texts are put together
-    from the words' ids.
+    space-separated word of a batch that no earlier batch had is encoded once
+    and texts are put together from the words' ids.
     """
     split = pc.ascii_split_whitespace(texts)
     offsets = split.offsets.to_numpy()
     coded = split.flatten().dictionary_encode()
-    index, kinds = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-    del split
-    known, step = _known.setdefault(path, {}), 20_000
-    lists = [known.get(w) for w in kinds]
-    new = [k for k, x in enumerate(lists) if x is None]
-    often = np.bincount(index, minlength=len(kinds)) > 1
-    for i in range(0, len(new), step):
-        part = new[i : i + step]
-        for k, e in zip(part, _tokenizer(path).encode_batch_fast([kinds[k] for k in part], add_special_tokens=False), strict=True):
-            lists[k] = np.array(e.ids, np.uint32)
-            if often[k] and len(known) < CACHE_WORDS:
-                known[kinds[k]] = lists[k]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    flat = np.concatenate(lists) if lists else np.empty(0, np.uint32)
-    starts = np.cumsum(sizes) - sizes
+    index, kinds = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    del split, coded
+    key = (path, str(kinds.type))
+    words, bounds, flat = _known.get(key, (kinds.slice(0, 0), np.zeros(1, np.int64), np.zeros(0, np.uint32)))
+    at = pc.index_in(kinds, value_set=words)
+    new = kinds.filter(pc.is_null(at))
+    at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    if len(new):
+        at[at < 0] = len(words) + np.arange(len(new))
+        more, ids = _encoded(new.to_pylist(), path)
+        flat, bounds = np.concatenate([flat, ids]), np.concatenate([bounds, bounds[-1] + np.cumsum(more)])
+        room = min(len(new), CACHE_WORDS - len(words))
+        if room > 0:
+            kept = len(words) + room
+            _known[key] = (pa.concat_arrays([words, new.slice(0, room)]), bounds[: kept + 1].copy(), flat[: bounds[kept]].copy())
+    starts, sizes = bounds[at], bounds[at + 1] - bounds[at]
+    del words, bounds, at, kinds
     base = offsets[0]
     row, rows = 0, len(offsets) - 1
     while row < rows:

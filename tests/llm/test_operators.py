@@ -539,5 +539,32 @@ def test_words_encode_as_whole_texts():
         assert ids.tolist() == tok.encode(texts[i], add_special_tokens=False).ids
 
 
+def test_words_are_encoded_once(monkeypatch):
+    """A word that an earlier batch had, if only once, isn't encoded again; words of more than one step and words with the separator come out whole."""
+    path = packing.tokenizer_path()
+    tok = packing._tokenizer(path)
+    told = []
+
+    class Counted:
+        def encode(self, *a, **k):
+            return tok.encode(*a, **k)
+
+        def encode_batch_fast(self, texts, **k):
+            told.append(sum(len(t.split()) for t in texts))
+            return tok.encode_batch_fast(texts, **k)
+
+    monkeypatch.setitem(packing._loaded, path, Counted())
+    monkeypatch.setattr(packing, "_known", {})
+    words = [f"w{i:x}'s" for i in range(45_000)] + ["a\x01b", "\x01", "\x01\x01"]
+    text = " ".join(words)
+    want = tok.encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        assert [ids.tolist() for _, ids in packing.token_ids(pa.array([text, ""]), path)] == [want, []]
+    assert sum(told) < 2.1 * len(words)
+    before = sum(told)
+    assert [ids.tolist() for _, ids in packing.token_ids(pa.array([words[7]]), path)] == [tok.encode(words[7], add_special_tokens=False).ids]
+    assert sum(told) == before
+
+
 def test_packing_empty(empty):
     assert packing.pack(empty).count() == 0
