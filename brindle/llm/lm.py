@@ -5,7 +5,7 @@ Spark. Every n-gram enters a Bloom filter once for each level of its
 logarithmically quantised count; a count is read back by probing level after
 level until one is missing. The filter is made in segments, as many as all
 n-grams need to leave it half empty. Up to a bound it is broadcast to the
-workers; beyond it the hashes that each text asks for are sent to the segments
+workers; beyond it the hashes that runs of texts ask for are sent to the segments
 and the levels come back, so no n-gram is left out at any size.
 """
 
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ PART_SEGMENTS, SPREAD = 32, 8
 FREQUENT = 250_000
 #: Weight of the pair's relative frequency against the single word's.
 PAIR_WEIGHT = 0.6
-#: Text bytes that a worker tokenizes at once.
-SLICE = 1 << 20
+#: Text bytes that a worker tokenizes at once, and text bytes that ask a larger filter together, in lists of so many hashes.
+SLICE, ASKED, LISTED = 1 << 20, 4 << 20, 1024
 #: The end of a document, counted as a token. No word is empty.
 END = ""
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -67,41 +68,36 @@ def _streams(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return [END, *coded.dictionary.to_pylist()], stream, offsets + np.arange(len(offsets))
 
 
-def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of at most SLICE text bytes, or one longer row: bounds what a worker holds at once."""
+def _slices(batch: pa.RecordBatch, text: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most ``most`` text bytes, or one longer row: bounds what a worker holds at once."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     row = 0
     ends = np.cumsum(sizes)
     while row < len(sizes):
-        stop = max(row + 1, int(np.searchsorted(ends, ends[row] - sizes[row] + SLICE, side="right")))
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] - sizes[row] + most, side="right")))
         yield batch.slice(row, stop - row)
         row = stop
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(token, c), ends included. Each batch is summed before the shuffle."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in _slices(whole, 0)):
-            kinds, stream, _ = _streams(batch.column(0))
-            n = np.bincount(stream, minlength=len(kinds))
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], names=["token", "n"]).filter(pa.array(n > 0))
-
-    return docs.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
-
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """(token, h, c): counts of words, ends included, with their hashes, and of hashed pairs of neighbouring tokens, whose token is null.
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """(h, c): hashed pairs of neighbouring tokens; a document's first token follows an end."""
+    A document's first token follows an end. Each slice is summed before the shuffle.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in _slices(batch, 0)):
             kinds, stream, _ = _streams(part.column(0))
-            h = _hash(kinds)[stream]
+            of, n = _hash(kinds), np.bincount(stream, minlength=len(kinds))
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(of.view(np.int64)), pa.array(n)], names=["token", "h", "n"]).filter(pa.array(n > 0))
+            h = of[stream]
             before = np.empty_like(h)
             before[1:], before[:1] = h[:-1], _hash([END])
             kind, n = np.unique(_pair(before, h), return_counts=True)
             for i in range(0, len(kind), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(kind[i : i + 200_000].view(np.int64)), pa.array(n[i : i + 200_000])], names=["h", "n"])
+                some = kind[i : i + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.string()), pa.array(some.view(np.int64)), pa.array(n[i : i + 200_000])], names=["token", "h", "n"])
 
-    return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
+    return docs.select("text").mapInArrow(count, "token string, h long, n long").groupBy("token", "h").agg(F.sum("n").alias("c"))
 
 
 # ---------------------------------------------------------------- the filter
@@ -141,28 +137,19 @@ def read_levels(table: np.ndarray, h: np.ndarray, segment_bits: int, segments: i
     return out
 
 
-def _hashed(words: DataFrame) -> DataFrame:
-    """(h, c) of (token, c)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_hash(batch.column(0).to_pylist()).view(np.int64)), batch.column(1)], names=["h", "c"])
-
-    return words.select("token", "c").mapInArrow(run, "h long, c long")
-
-
 def value_of(levels: np.ndarray) -> np.ndarray:
     """The middle of the counts that share a level: 2^(q-1) to 2^q - 1; 0 for none."""
     return np.where(levels > 0, (1.5 * np.exp2(levels - 1.0)) - 0.5, 0.0)
 
 
-def filter_segments(words: DataFrame, pairs: DataFrame, segment_bits: int) -> tuple[DataFrame, int]:
-    """(s, bits) of every segment that holds an n-gram of ``words`` and ``pairs`` (h, c), and the number of segments.
+def filter_segments(grams: DataFrame, segment_bits: int) -> tuple[DataFrame, int]:
+    """(s, bits) of every segment that holds an n-gram of ``grams`` (h, c), and the number of segments.
 
     Segments are as many as leave half of all bits unset when every n-gram has
     entered all of its levels.
     """
     level = F.floor(F.log2(F.col("c").cast("double")) + F.lit(1e-9)).cast("int") + 1
-    leveled = words.select("h", "c").union(pairs.select("h", "c")).select("h", level.alias("q"))
+    leveled = grams.select("h", level.alias("q"))
     entries = leveled.agg(F.coalesce(F.sum("q"), F.lit(0))).first()[0]
     segments = max(1, -(-int(entries * PROBES / 0.69) // segment_bits))
 
@@ -186,54 +173,94 @@ def whole_filter(parts: DataFrame, segments: int, segment_bits: int) -> np.ndarr
     return table
 
 
-def asked_levels(texts: DataFrame, parts: DataFrame, segments: int, segment_bits: int) -> DataFrame:
-    """(row, answers) for texts (row, text): the levels of each text's n-grams, part by part of the filter, in the order of ``_asked``.
+def in_slices(texts: DataFrame) -> DataFrame:
+    """(slice, k, doc_id, text, train): rows in runs of at most ASKED text bytes, numbered inside each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for part in (p for batch in batches for p in _slices(batch, 1, ASKED)):
+            columns = [pa.array(np.full(len(part), number)), pa.array(np.arange(len(part), dtype=np.int32)), *part.columns]
+            yield pa.RecordBatch.from_arrays(columns, names=["slice", "k", "doc_id", "text", "train"])
+            number += 1
+
+    return texts.select("doc_id", "text", "train").mapInArrow(run, "slice long, k int, doc_id long, text string, train boolean")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows (slice, ..) that follow each other as runs of one slice."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        numbers = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(numbers)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(numbers)], strict=True):
+            if held and b > a and held[0].column(0)[0].as_py() != numbers[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def asked_levels(rows: DataFrame, parts: DataFrame, segments: int, segment_bits: int) -> DataFrame:
+    """(slice, k, part, list, levels) for rows (slice, k, .., text): the levels of the distinct n-grams of each run of a slice that was read together, k its first row, in the order of ``_asked``.
 
     A part's bits and the requests for it meet in SPREAD tasks: both are dealt
     by (part, spread) and sorted, the bits first, so a task streams the
-    requests past one part of the filter.
+    requests past one part of the filter. An n-gram is asked for once for a
+    run of texts, and all requests of a batch are read at once.
     """
     n_parts = -(-segments // PART_SEGMENTS)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                need, part = _asked(pa.array([text.as_py()], pa.string()), segments)
-                cuts = np.searchsorted(part, np.arange(n_parts + 1))
-                there = np.flatnonzero(np.diff(cuts))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(cuts[there], cuts[-1]), pa.int32()), pa.array(need.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(np.full(len(there), row), pa.int64()), lists], names=["part", "row", "h"])
+        for run in _runs(batches):
+            need, part = _asked(run.column(2).combine_chunks(), segments)
+            cuts = np.searchsorted(part, np.arange(n_parts + 1))
+            lists = -(-np.diff(cuts) // LISTED)
+            at = np.repeat(np.arange(n_parts), lists)
+            number = np.arange(len(at)) - np.repeat(np.cumsum(lists) - lists, lists)
+            starts = cuts[at] + number * LISTED
+            hashes = pa.ListArray.from_arrays(pa.array(np.append(starts, len(need)), pa.int32()), pa.array(need.view(np.int64)))
+            same = lambda c, n=len(at): pa.array(np.full(n, run.column(c)[0].as_py()), run.schema.field(c).type)  # noqa: E731,B023
+            yield pa.RecordBatch.from_arrays([same(0), same(1), pa.array(at, pa.int32()), pa.array(number, pa.int32()), hashes], names=["slice", "k", "part", "list", "h"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, table = None, np.zeros(0, np.uint8)
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for part, row, s, bits, h in zip(*[batch.column(k) for k in range(5)], strict=True):
-                if part.as_py() != now:
-                    now, table = part.as_py(), np.zeros(PART_SEGMENTS * segment_bits // 8, np.uint8)
-                if s.is_valid:
-                    at = (s.as_py() - now * PART_SEGMENTS) * (segment_bits // 8)
-                    table[at : at + segment_bits // 8] = np.frombuffer(bits.as_py(), np.uint8)
+            numbers = batch.column(2).to_numpy()
+            cuts = np.flatnonzero(np.diff(numbers)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(numbers)], strict=True):
+                if a == b:
                     continue
-                levels = read_levels(table, h.values.to_numpy().view(np.uint64), segment_bits, segments, now * PART_SEGMENTS)
-                for column, value in zip(out, (row.as_py(), now, levels.astype(np.uint8).tobytes()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["row", "part", "levels"])
-
-    asked = texts.select("row", "text").mapInArrow(ask, "part int, row long, h array<long>")
-    asked = asked.select("part", F.pmod(F.xxhash64("row"), F.lit(SPREAD)).cast("int").alias("x"), "row", F.lit(None).cast("int").alias("s"), F.lit(None).cast("binary").alias("bits"), "h")
-    held = parts.select(F.floor(F.col("s") / PART_SEGMENTS).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("x"), F.lit(None).cast("long").alias("row"), "s", "bits", F.lit(None).cast("array<bigint>").alias("h"))
-    met = materialize(held.union(asked)).repartition("part", "x").sortWithinPartitions("part", "x", F.col("row").asc_nulls_first())
-    answers = materialize(met.select("part", "row", "s", "bits", "h").mapInArrow(answer, "row long, part int, levels binary"))
-    return answers.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "levels"))), lambda a: a["levels"]).alias("answers"))
-
-
-def _asked(text: pa.Array, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, parts): a text's distinct n-grams in the order of the filter's parts, then of the hashes."""
-    kinds, stream, _ = _streams(text)
+                if numbers[a] != now:
+                    now, table = int(numbers[a]), np.zeros(PART_SEGMENTS * segment_bits // 8, np.uint8)
+                some = batch.slice(a, b - a)
+                there = some.filter(pc.is_valid(some.column(4)))
+                for s, bits in zip(there.column(4).to_pylist(), there.column(5), strict=True):
+                    at = (s - now * PART_SEGMENTS) * (segment_bits // 8)
+                    table[at : at + segment_bits // 8] = np.frombuffer(bits.as_py(), np.uint8)
+                some = some.filter(pc.is_null(some.column(4)))
+                levels = read_levels(table, some.column(6).flatten().to_numpy().view(np.uint64), segment_bits, segments, now * PART_SEGMENTS)
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(some.column(6)).to_numpy())]).astype(np.int32)
+                found = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(levels.astype(np.uint8))])
+                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in range(4)], found], names=["slice", "k", "part", "list", "levels"])
+
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = rows.select("slice", "k", "text").mapInArrow(ask, "slice long, k int, part int, list int, h array<long>")
+    asked = asked.select("slice", "k", "part", "list", none("int").alias("s"), none("binary").alias("bits"), "h", F.pmod(F.xxhash64("slice", "k"), F.lit(SPREAD)).cast("int").alias("x"))
+    held = parts.select(
+        none("long").alias("slice"), none("int").alias("k"), F.floor(F.col("s") / PART_SEGMENTS).cast("int").alias("part"), none("int").alias("list"), "s", "bits", none("array<bigint>").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("x")
+    )
+    met = held.union(asked).repartition("part", "x").sortWithinPartitions("part", "x", F.col("s").asc_nulls_last())
+    return met.drop("x").mapInArrow(answer, "slice long, k int, part int, list int, levels binary")
+
+
+def _asked(texts: pa.Array, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, parts): the distinct n-grams of texts in the order of the filter's parts, then of the hashes."""
+    kinds, stream, _ = _streams(texts)
     h = _hash(kinds)
     before = np.concatenate([[0], stream[:-1]])
-    need = np.unique(np.concatenate([h, _pair(h[before], h[stream])]))
+    both = np.unique(before * np.int64(len(kinds)) + stream)
+    need = np.unique(np.concatenate([h, _pair(h[both // len(kinds)], h[both % len(kinds)])]))
     part = segment_of(need, segments) // PART_SEGMENTS
     order = np.argsort(part, kind="stable")
     return need[order], part[order]
@@ -257,14 +284,14 @@ def score(docs: DataFrame, train: Column | None = None, segment_bits: int = SEGM
     spark = docs.sparkSession
     train = ~held_out(F.col("doc_id")) if train is None else train
     texts = docs.select("doc_id", text_of().alias("text"), train.alias("train"))
-    words = materialize(word_counts(texts.filter("train")))
+    grams = materialize(gram_counts(texts.filter("train")))
+    release(spark)
+    words = materialize(grams.filter("token is not null"))
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, floor = int(totals["n"]), 0.5 * (int(totals["v"]) + 1)
-    pairs = materialize(pair_counts(texts.filter("train")))
-    release(spark)
-    parts, segments = filter_segments(materialize(_hashed(words)), pairs, segment_bits)
+    parts, segments = filter_segments(grams, segment_bits)
     parts = materialize(parts)
-    discard(pairs)
+    discard(grams)
     release(spark)
     sent = segments * segment_bits <= broadcast_bits
     table = spark.sparkContext.broadcast(whole_filter(parts, segments, segment_bits) if sent else None)
@@ -276,7 +303,7 @@ def score(docs: DataFrame, train: Column | None = None, segment_bits: int = SEGM
         if room < 0:
             break
         cut = q
-    top = _hashed(words.filter(F.floor(F.log2(F.col("c").cast("double")) * 8) >= cut)).toArrow()  # at most ``frequent`` rows of two longs
+    top = words.filter(F.floor(F.log2(F.col("c").cast("double")) * 8) >= cut).select("h", "c").toArrow()  # at most ``frequent`` rows of two longs
     keys, counts = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.argsort(keys)
     common = spark.sparkContext.broadcast((keys[order], counts[order]))
@@ -321,22 +348,27 @@ def score(docs: DataFrame, train: Column | None = None, segment_bits: int = SEGM
         for part in (p for batch in batches for p in _slices(batch, 1)):
             yield scores(part, lambda x: read_levels(bits, x, segment_bits))
 
-    def by_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                one = batch.slice(k, 1)
-                need, _ = _asked(one.column(1), segments)
-                levels = np.frombuffer(b"".join(one.column(3)[0].as_py() or []), np.uint8)
-                order = np.argsort(need)
-                yield scores(one, lambda x, need=need[order], levels=levels[order].astype(np.int64): levels[np.searchsorted(need, x)])
+    def by_answers(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        """Scores of a slice's rows (slice, k, doc_id, text, train) by the levels (slice, k, part, list, levels) of its runs."""
+        rows, answers = rows.sort_by("k"), answers.sort_by([("k", "ascending"), ("part", "ascending"), ("list", "ascending")])
+        firsts, made = answers.column("k").unique().to_pylist(), []
+        for first, stop in zip(firsts, [*firsts[1:], len(rows)], strict=True):
+            run = rows.slice(first, stop - first).select(["doc_id", "text", "train"]).combine_chunks().to_batches()[0]
+            need, _ = _asked(run.column(1), segments)
+            levels = np.frombuffer(b"".join(answers.filter(pc.equal(answers.column("k"), first)).column("levels").to_pylist()), np.uint8)
+            order = np.argsort(need)
+            need, levels = need[order], levels[order].astype(np.int64)
+            made.append(scores(run, lambda x, need=need, levels=levels: levels[np.searchsorted(need, x)]))
+        return pa.Table.from_batches(made)
 
     ddl = "doc_id long, train boolean, n_tokens long, known long, base double, score double, rare array<struct<token:string,n:long>>"
     if sent:
         made = texts.select("doc_id", "text", "train").mapInArrow(by_broadcast, ddl)
     else:
-        rows = materialize(texts.withColumn("row", F.monotonically_increasing_id()))
+        rows = materialize(in_slices(texts))
         answers = materialize(asked_levels(rows, parts, segments, segment_bits))
-        made = rows.join(answers, "row").select("doc_id", "text", "train", "answers").mapInArrow(by_answers, ddl)
+        release(spark)
+        made = rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(by_answers, ddl)
     scored = materialize(made.withColumn("row", F.monotonically_increasing_id()))
     tokens = scored.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.n")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(total + floor))

@@ -379,6 +379,17 @@ def test_lm_by_exchange(docs):
     assert sent == bag(map(key, lm.score(docs, segment_bits=1 << 10, broadcast_bits=0).collect()))
 
 
+def test_lm_asks_once_for_a_slice(spark):
+    """Texts that are read together ask for an n-gram once, in lists of bounded size, whatever the number of the filter's parts."""
+    words = [f"w{k}" for k in range(1500)]
+    df = spark.createDataFrame([(d, " ".join(words), True) for d in range(90)], "doc_id long, text string, train boolean").coalesce(1)
+    bits = 1 << 10
+    parts, segments = lm.filter_segments(lm.gram_counts(df), bits)
+    got = lm.asked_levels(lm.in_slices(df), parts, segments, bits).collect()
+    assert segments > lm.PART_SEGMENTS and len({r["slice"] for r in got}) == 1
+    assert sum(len(r["levels"]) for r in got) == 2 * 1501 and max(len(r["levels"]) for r in got) <= lm.LISTED
+
+
 def test_lm_score(spark):
     """The smoothed probability, with counts quantised by powers of two, against plain counting."""
     data = [(d, "a b a b a c" if d % 3 else "b c d") for d in range(40)]
