@@ -104,6 +104,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
 SAMPLE, LEAST_SEEN, MOST_TOLD = 32, 3, 250_000
 #: Least bits of a document's parity sketch, and words and documents that one numpy step takes.
 SKETCH, STEP_WORDS, STEP_DOCS = 1024, 300_000, 2_000
+#: Longs to which the sketches that rows of the last round carry are folded.
+FOLDED = 8
 #: A hash with more linked groups than this is crowded: its rows are offered to HEADS more of its rows, one after the other, before all pairs are.
 CROWD, HEADS = 4, 2
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -157,6 +159,29 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndar
         start = stop
 
 
+def _prints(texts: DataFrame, size: int) -> DataFrame:
+    """(row, fp): the 64-bit fingerprint of each row's set of shingles; wordless texts have none."""
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, stop, offsets, values in shingle_sets(batch.column(1), size):
+                there = pa.array(np.diff(offsets) > 0)
+                made = pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), pa.array(majority_bits(values, offsets).view(np.int64))], names=["row", "fp"])
+                yield made.filter(there)
+
+    return texts.select("row", "text").mapInArrow(vote, "row long, fp long")
+
+
+def _ball_offers(texts: DataFrame, size: int, repeated: bool, radius: int = 2) -> DataFrame:
+    """Offers (a, b) that ball hashing makes: rows of one fingerprint to the smallest of them, and the smallest rows of fingerprints that balls link."""
+    prints = materialize(_prints(texts, size).distinct() if repeated else _prints(texts, size))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("row").alias("least")))
+    same = prints.join(nodes, "fp").filter("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b"))
+    balls = ball_links(nodes.select("fp"), radius)
+    side = lambda x: nodes.select(F.col("fp").alias(x), F.col("least").alias(f"least_{x}"))
+    near = balls.join(side("a"), "a").join(side("b"), "b").select(F.greatest("least_a", "least_b").alias("a"), F.least("least_a", "least_b").alias("b"))
+    return same.union(near).distinct()
+
+
 def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of common shingles and their counts in a sample. They only order the shingles: any order gives the same pairs."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,16 +301,19 @@ def _verified(texts: DataFrame, offers: DataFrame, shingle: int, similarity: flo
 def near_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, repeated: bool = False) -> DataFrame:
     """Verified links (a, b), a > b, between rows of ``texts`` (row, text) that connect exactly what all pairs of at least ``similarity`` (Jaccard of word shingles) connect.
 
-    Two such sets share a hash in their prefixes (see ``_prefixes``), and at
+    Ball hashing comes first: rows whose SimHash fingerprints are within two
+    bits are offered and, if similar enough, linked. Many pairs at the
+    threshold lie further apart, so what balls leave apart is found by an exact
+    way. Two such sets share a hash in their prefixes (see ``_prefixes``), and at
     the first one enough hashes are left in both. In a first round the rows of
     each prefix hash are offered to the smallest of them, so a group of
     near-copies costs one offer a row. In crowded hashes, rows that are not
     linked with it yet are then offered to a row drawn by hash, another one for
     each hash: copies that differ from the smallest find each other so. In a
-    last round, each two rows of a hash that are not linked yet are offered,
-    whatever their number: those outside the hash's largest linked group to all
-    others. ``repeated`` says that equal
-    rows occur.
+    last round, each two rows of a hash that are not linked yet are compared,
+    whatever their number: those outside the hash's largest linked group with
+    all others. There the rows carry their parity sketches, folded to FOLDED
+    longs, so only pairs that these don't reject are formed. ``repeated`` says that equal rows occur.
     """
     spark = texts.sparkSession
     index = materialize(_prefixes(texts, shingle, similarity).dropDuplicates(["h", "row"]) if repeated else _prefixes(texts, shingle, similarity))
@@ -299,13 +327,16 @@ def near_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, repe
     def fits(n1: str, pos1: str, n2: str, pos2: str) -> Column:
         return F.least(F.col(n1) - F.col(pos1), F.col(n2) - F.col(pos2)) >= (F.col(n1) + F.col(n2)) * F.lit(similarity / (1 + similarity)) - 1e-6
 
-    heads = shared.filter("row = least").select("h", F.col("n").alias("n0"), F.col("pos").alias("pos0"))
-    stars = shared.filter("row <> least").join(heads, "h").filter(fits("n", "pos", "n0", "pos0"))
-    links = _fewer(_verified(texts, stars.select(F.col("row").alias("a"), F.col("least").alias("b")).distinct(), shingle, similarity, repeated))
-
     def rooted_by(links: DataFrame) -> DataFrame:
         roots = components(links).withColumnRenamed("node", "row")
-        return materialize(shared.join(roots, "row", "left").select("h", "row", "n", "pos", F.coalesce("root", "row").alias("root")))
+        return materialize(shared.join(roots, "row", "left").select("h", "row", "n", "pos", "least", F.coalesce("root", "row").alias("root")))
+
+    links = _fewer(_verified(texts, _ball_offers(texts, shingle, repeated), shingle, similarity, repeated))
+    balled = rooted_by(links)
+    heads = balled.filter("row = least").select("h", F.col("n").alias("n0"), F.col("pos").alias("pos0"), F.col("root").alias("root0"))
+    stars = balled.join(heads, "h").filter("root <> root0").filter(fits("n", "pos", "n0", "pos0"))
+    links = _fewer(links.union(_verified(texts, stars.select(F.greatest("row", "least").alias("a"), F.least("row", "least").alias("b")).distinct(), shingle, similarity, repeated)))
+    discard(balled)
 
     rooted = rooted_by(links)
     for turn in range(HEADS):
@@ -328,10 +359,19 @@ def near_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, repe
     split = materialize(rooted.join(groups.filter("roots > 1").select("h", "main"), "h"))
     discard(rooted)
     release(spark)
-    left = split.filter("root <> main").select("h", *[F.col(c).alias(f"{c}1") for c in ("row", "n", "pos", "root")])
+    ids = materialize(split.select("row").distinct())
+    fold = lambda j: F.aggregate(F.sequence(F.lit(j), F.size("sketch") - 1, F.lit(FOLDED)), F.lit(0).cast("long"), lambda x, i: x.bitwiseXOR(F.get("sketch", i)))
+    folded = [f"s{j}" for j in range(FOLDED)]
+    drawn = _sketches(only(texts, ids, ["row"]), shingle).select("row", *[fold(j).alias(c) for j, c in enumerate(folded)])
+    drawn = materialize(drawn.dropDuplicates(["row"]) if repeated else drawn)
+    split = split.join(drawn, "row")
+    left = split.filter("root <> main").select("h", *[F.col(c).alias(f"{c}1") for c in ("row", "n", "pos", "root", *folded)])
     met = left.join(split, "h").filter("root <> root1").filter(fits("n", "pos", "n1", "pos1"))
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}1"))) for c in folded), F.lit(0))
+    met = met.filter(differ <= (F.col("n") + F.col("n1")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
     second = _verified(texts, met.select(F.greatest("row", "row1").alias("a"), F.least("row", "row1").alias("b")).distinct(), shingle, similarity, repeated)
-    discard(split)
+    discard(ids)
+    discard(drawn)
     return links.union(_fewer(second))
 
 

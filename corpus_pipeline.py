@@ -21,7 +21,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at similarity 0.8."""
+    """One document of each group linked by five-word shingles at similarity 0.8: SimHash balls first, then the exact way for pairs that lie further apart."""
     return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
