@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import plain_name, row_hash
-from brindle.tables import written
+from brindle.tables import discard, written
 
 #: A first column of this shape names a date or a number, not an entity (fixed value).
 VALUE_LIKE = r"(?i)^[\d\s.,/:%₹$€£+-]+$|^\d{1,2}[\s-][a-z]{3,9}[\s-]\d{2,4}$"
@@ -76,7 +76,7 @@ def twins(df: DataFrame, block: str, source: str, order: str, cells: list[str],
         "_cells": F.array(*names), "_origin": origin, "_filled": bits(lambda i: names[i] != ""),
         "_long": bits(lambda i: F.coalesce(F.char_length(F.col(cells[i]).cast("string")) > long, F.lit(False)) & (names[i] != "")),
     })
-    rows = rows.withColumn("_class", F.sha2(F.to_json(F.struct(F.col(block).cast("string"), "_origin", "_cells", "_long")), 256))
+    rows = rows.withColumn("_class", _digest(F.struct(F.col(block).cast("string"), "_origin", "_cells", "_long")))
     kinds = written(rows.filter(F.col(block).isNotNull()).groupBy("_class").agg(
         F.min(F.struct(F.col(order).alias("at"), F.col("_class").alias("by"))).alias("at"), F.first(F.col(block).cast("string")).alias("block"), *[F.first(c).alias(c) for c in ("_cells", "_origin", "_filled", "_long")]
     ))
@@ -87,18 +87,26 @@ def twins(df: DataFrame, block: str, source: str, order: str, cells: list[str],
     stands, asks = written(stands.join(shared, "key", "left_semi")), written(asks.join(shared, "key", "left_semi"))
     everyone = stands.select("_class", "at").union(asks.select("_class", "at")).distinct()
     state = written(everyone.select("_class", "at", F.lit("open").alias("state"), F.lit(None).cast(kinds.schema["at"].dataType).alias("twin")))
+    discard(shared, kinds)
     while not state.filter("state in ('open', 'late')").isEmpty():
-        state = written(_decided(stands, asks, state, least, share))
+        before, state = state, written(_decided(stands, asks, state, least, share))
+        discard(before)
+    discard(stands, asks)
     dropped = state.filter("twin is not null").select("_class", F.col("twin.at").alias("twin_of"))
     return rows.join(dropped, "_class", "left").select(*df.columns, "twin_of")
 
 
+def _digest(values: Column) -> Column:
+    """16 bytes of SHA-256 that stand for a struct: every row of the tables between the rounds carries three of them."""
+    return F.substring(F.unhex(F.sha2(F.to_json(values), 256)), 1, 16)
+
+
 def _under(kinds: DataFrame, n: int, least: int) -> DataFrame:
     """Each kind of row under each set of at least ``least`` of its ``n`` cells; the key names block, set and the values in it."""
     sets = [s for s in range(1, 1 << n) if s.bit_count() >= least]
     spread = kinds.withColumn("set", F.explode(F.filter(F.array(*[F.lit(s) for s in sets]), lambda s: s.bitwiseAND(F.col("_filled")) == s)))
     inside = F.transform("_cells", lambda c, i: F.when(F.getbit(F.col("set"), i) == 1, c))
-    return spread.select("_class", "at", "_origin", "_filled", "_long", "set", F.sha2(F.to_json(F.struct("block", "set", inside)), 256).alias("key"))
+    return spread.select("_class", "at", "_origin", "_filled", "_long", "set", _digest(F.struct("block", "set", inside)).alias("key"))
 
 
 def _alternatives(kinds: DataFrame) -> DataFrame:

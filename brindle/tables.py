@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -50,3 +51,12 @@ def written(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no later step reads, and lets Spark drop the shuffle files of finished steps now instead of at some later collection."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            remove(df.sparkSession, file.rsplit("/", 1)[0])
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
