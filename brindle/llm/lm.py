@@ -1,7 +1,7 @@
 """LM scoring with a log-frequency Bloom filter.
 
-Counts of all words and word pairs of the training documents are summed on
-Spark. Every n-gram enters a Bloom filter once for each level of its
+Counts of all words and word pairs of the training documents are summed in
+buckets of their hashes. Every n-gram enters a Bloom filter once for each level of its
 logarithmically quantised count; a count is read back by probing level after
 level until one is missing. The filter is made in segments, as many as all
 n-grams need to leave it half empty. Up to a bound it is broadcast to the
@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from brindle.llm.common import discard, materialize, release, text_of
 
 #: Bits of a segment that one task fills, probes of one level, and the largest filter that is broadcast.
-SEGMENT_BITS, PROBES, BROADCAST_BITS = 1 << 21, 5, 1 << 29
+SEGMENT_BITS, PROBES, BROADCAST_BITS = 1 << 19, 5, 1 << 29
 #: Bits of the part of a larger filter that one task holds while texts ask for levels, and tasks among which the texts of a part are spread.
-PART_SEGMENTS, SPREAD = 32, 8
+PART_SEGMENTS, SPREAD = 128, 8
+#: Text bytes whose n-grams make a bucket of the counts, and n-grams in a row of a bucket.
+BUCKET, HELD = 8 << 20, 256
 #: Most words whose exact counts are broadcast for the base score; rarer ones are joined.
 FREQUENT = 250_000
 #: Weight of the pair's relative frequency against the single word's.
@@ -80,24 +82,74 @@ def _slices(batch: pa.RecordBatch, text: int, most: int = SLICE) -> Iterator[pa.
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """(token, h, c): counts of words, ends included, with their hashes, and of hashed pairs of neighbouring tokens, whose token is null.
+    """Counts of words (ends included) and of hashed pairs of neighbouring tokens, in buckets of the hash, summed exactly.
 
-    A document's first token follows an end. Each slice is summed before the shuffle.
+    Rows are of two kinds: (token, h, c) for a word, and (bucket, buckets,
+    entries, hs, qs) for a run of at most HELD hashes of a bucket's n-grams
+    with their levels. ``entries`` sums the levels. A document's first token
+    follows an end. Each slice is summed and sent as one row to each bucket; buckets are as
+    many as BUCKET bytes of text each need, so a task's share does not grow.
     """
+    docs = docs.select("text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for batch in batches for p in _slices(batch, 0)):
+        for part in (p for batch in batches for p in _slices(batch, 0, ASKED)):
             kinds, stream, _ = _streams(part.column(0))
-            of, n = _hash(kinds), np.bincount(stream, minlength=len(kinds))
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(of.view(np.int64)), pa.array(n)], names=["token", "h", "n"]).filter(pa.array(n > 0))
+            of, times = _hash(kinds), np.bincount(stream, minlength=len(kinds))
             h = of[stream]
             before = np.empty_like(h)
             before[1:], before[:1] = h[:-1], _hash([END])
-            kind, n = np.unique(_pair(before, h), return_counts=True)
-            for i in range(0, len(kind), 200_000):
-                some = kind[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.string()), pa.array(some.view(np.int64)), pa.array(n[i : i + 200_000])], names=["token", "h", "n"])
+            pair, n = _summed(_pair(before, h))
+            to = segment_of(pair, buckets)
+            order = np.argsort(to.astype(np.uint16) if buckets <= 1 << 16 else to, kind="stable")
+            at = np.searchsorted(to[order], np.arange(buckets + 1))
+            seen = np.flatnonzero(times)
+            word_to = segment_of(of[seen], buckets)
+            seen = seen[np.argsort(word_to, kind="stable")]
+            word_at = np.searchsorted(np.sort(word_to), np.arange(buckets + 1))
+            tokens = pa.ListArray.from_arrays(pa.array(word_at, pa.int32()), pa.array(kinds).take(pa.array(seen)))
+            columns = [pa.array(np.arange(buckets, dtype=np.int32)), _blobs(pair[order], at), _blobs(n[order].astype(np.uint32), at), tokens, _blobs(times[seen].astype(np.uint32), word_at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "hs", "ns", "tokens", "times"])
+
+    def total(group: pa.Table) -> pa.Table:
+        joined = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+        pair, n = _summed(joined("hs", np.uint64), joined("ns", np.uint32))
+        flat = pa.table({"token": pc.list_flatten(group.column("tokens")), "c": joined("times", np.uint32).astype(np.int64)}).group_by("token").aggregate([("c", "sum")])
+        h, c = _hash(flat.column("token").to_pylist()), flat.column("c_sum").to_numpy()
+        grams, levels = np.concatenate([pair, h]), _level(np.concatenate([n, c])).astype(np.uint8)
+        at = np.append(np.arange(0, len(grams), HELD), len(grams))
+        runs, words = len(at) - 1, len(h)
+        both = lambda first, last, kind: pa.concat_arrays([first.cast(kind), pa.nulls(runs, kind)] if last is None else [pa.nulls(words, kind), last.cast(kind)])
+        return pa.table({
+            "token": both(flat.column("token").combine_chunks(), None, pa.string()), "h": both(pa.array(h.view(np.int64)), None, pa.int64()), "c": both(pa.array(c), None, pa.int64()),
+            "bucket": both(None, pa.array(np.full(runs, group.column("bucket")[0].as_py())), pa.int32()), "buckets": both(None, pa.array(np.full(runs, buckets)), pa.int32()),
+            "entries": both(None, pa.array(np.add.reduceat(levels, at[:-1], dtype=np.int64)), pa.int64()), "hs": both(None, _blobs(grams, at), pa.binary()), "qs": both(None, _blobs(levels, at), pa.binary()),
+        })
+
+    sent = docs.mapInArrow(count, "bucket int, hs binary, ns binary, tokens array<string>, times binary")
+    return sent.groupBy("bucket").applyInArrow(total, "token string, h long, c long, bucket int, buckets int, entries long, hs binary, qs binary")
+
+
+def _summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sums of ``n``, or how often each occurs)."""
+    if n is None:
+        return np.unique(keys, return_counts=True)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """1 for a count of 1, 2 for 2 and 3, 3 for 4 to 7 and so on."""
+    return np.frexp(n.astype(np.float64))[1]
 
-    return docs.select("text").mapInArrow(count, "token string, h long, n long").groupBy("token", "h").agg(F.sum("n").alias("c"))
+
+def _blobs(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A binary value for the values between each two places."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 # ---------------------------------------------------------------- the filter
@@ -143,33 +195,36 @@ def value_of(levels: np.ndarray) -> np.ndarray:
 
 
 def filter_segments(grams: DataFrame, segment_bits: int) -> tuple[DataFrame, int]:
-    """(s, bits) of every segment that holds an n-gram of ``grams`` (h, c), and the number of segments.
+    """(s, bits) of every segment that holds an n-gram of ``grams`` (see ``gram_counts``), and the number of segments.
 
     Segments are as many as leave half of all bits unset when every n-gram has
-    entered all of its levels.
+    entered all of its levels, rounded up to a multiple of the buckets: then a
+    segment's n-grams lie in one bucket and nothing is shuffled. A bucket that is
+    read in two parts gives its segments twice; readers join their bits.
     """
-    level = F.floor(F.log2(F.col("c").cast("double")) + F.lit(1e-9)).cast("int") + 1
-    leveled = grams.select("h", level.alias("q"))
-    entries = leveled.agg(F.coalesce(F.sum("q"), F.lit(0))).first()[0]
-    segments = max(1, -(-int(entries * PROBES / 0.69) // segment_bits))
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = segment_of(batch.column(0).to_numpy().view(np.uint64), segments).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(s), batch.column(0), batch.column(1)], names=["s", "h", "q"])
+    held = grams.filter("bucket is not null")
+    told = held.agg(F.coalesce(F.sum("entries"), F.lit(0)).alias("n"), F.coalesce(F.max("buckets"), F.lit(1)).alias("b")).first()
+    buckets = told["b"]
+    segments = buckets * max(1, -(-int(told["n"] * PROBES / 0.69) // (segment_bits * buckets)))
 
-    def fill(group: pa.Table) -> pa.Table:
-        bits = fill_segment(group.column("h").to_numpy().view(np.uint64), group.column("q").to_numpy(), segment_bits)
-        return pa.table({"s": pa.array([group.column("s")[0].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches):
+            h = np.frombuffer(b"".join(run.column(1).to_pylist()), np.uint64)
+            q = np.frombuffer(b"".join(run.column(2).to_pylist()), np.uint8)
+            s = segment_of(h, segments)
+            order = np.argsort(s, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(s[order])) + 1):
+                bits = fill_segment(h[some], q[some], segment_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(s[some[:1]], pa.int32()), pa.array([bits], pa.binary())], names=["s", "bits"])
 
-    return leveled.mapInArrow(placed, "s int, h long, q int").groupBy("s").applyInArrow(fill, "s int, bits binary"), segments
+    return held.select("bucket", "hs", "qs").mapInArrow(fill, "s int, bits binary"), segments
 
 
 def whole_filter(parts: DataFrame, segments: int, segment_bits: int) -> np.ndarray:
     """The filter as bytes on the driver, for a broadcast of checked size."""
     table, width = np.zeros(segments * segment_bits // 8, np.uint8), segment_bits // 8
     for r in parts.toLocalIterator():
-        table[r["s"] * width : (r["s"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
+        table[r["s"] * width : (r["s"] + 1) * width] |= np.frombuffer(r["bits"], np.uint8)
     return table
 
 
@@ -237,7 +292,7 @@ def asked_levels(rows: DataFrame, parts: DataFrame, segments: int, segment_bits:
                 there = some.filter(pc.is_valid(some.column(4)))
                 for s, bits in zip(there.column(4).to_pylist(), there.column(5), strict=True):
                     at = (s - now * PART_SEGMENTS) * (segment_bits // 8)
-                    table[at : at + segment_bits // 8] = np.frombuffer(bits.as_py(), np.uint8)
+                    table[at : at + segment_bits // 8] |= np.frombuffer(bits.as_py(), np.uint8)
                 some = some.filter(pc.is_null(some.column(4)))
                 levels = read_levels(table, some.column(6).flatten().to_numpy().view(np.uint64), segment_bits, segments, now * PART_SEGMENTS)
                 ends = np.concatenate([[0], np.cumsum(pc.list_value_length(some.column(6)).to_numpy())]).astype(np.int32)
@@ -286,7 +341,7 @@ def score(docs: DataFrame, train: Column | None = None, segment_bits: int = SEGM
     texts = docs.select("doc_id", text_of().alias("text"), train.alias("train"))
     grams = materialize(gram_counts(texts.filter("train")))
     release(spark)
-    words = materialize(grams.filter("token is not null"))
+    words = materialize(grams.filter("token is not null").select("token", "h", "c"))
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, floor = int(totals["n"]), 0.5 * (int(totals["v"]) + 1)
     parts, segments = filter_segments(grams, segment_bits)

@@ -412,6 +412,32 @@ def test_lm_asks_once_for_a_slice(spark):
     assert sum(len(r["levels"]) for r in got) == 2 * 1501 and max(len(r["levels"]) for r in got) <= lm.LISTED
 
 
+def test_lm_counts_in_buckets(docs, rows, monkeypatch):
+    """Buckets hold every n-gram once with its exact count's level, and segments are filled from them without a shuffle, whatever the number of buckets."""
+    streams = [["", *WORD.findall(low(t)), ""] for _, t, *_ in rows]
+    words = Counter(w for ws in streams for w in ws[1:])
+    pairs = Counter(p for ws in streams for p in zip(ws, ws[1:], strict=False))
+    level = lambda c: math.floor(math.log2(c)) + 1
+    number = lambda w: int(lm._hash([w])[0])
+    pair = lambda b, a: int(lm._pair(lm._hash([b]), lm._hash([a]))[0])
+    want = bag([*((number(w), level(c)) for w, c in words.items()), *((pair(*p), level(c)) for p, c in pairs.items())])
+    texts = docs.select(common.text_of().alias("text"))
+    for size in (1 << 30, 500):
+        monkeypatch.setattr(lm, "BUCKET", size)
+        grams = common.materialize(lm.gram_counts(texts))
+        found = grams.collect()
+        assert bag((r["token"], r["c"]) for r in found if r["token"] is not None) == bag(words.items())
+        held = [r for r in found if r["bucket"] is not None]
+        assert bag(g for r in held for g in zip(np.frombuffer(r["hs"], np.uint64).tolist(), r["qs"], strict=True)) == want
+        assert sum(r["entries"] for r in held) == sum(q for _, q in want.elements()) and max(len(r["qs"]) for r in held) <= lm.HELD
+        parts, segments = lm.filter_segments(grams, 1 << 10)
+        assert "Exchange" not in parts._jdf.queryExecution().executedPlan().toString() and segments % held[0]["buckets"] == 0
+        assert (held[0]["buckets"] > 50) == (size == 500)
+        h, q = (np.array(x, np.uint64) for x in zip(*want.elements(), strict=True))
+        read = lm.read_levels(lm.whole_filter(parts, segments, 1 << 10), h, 1 << 10)
+        assert (read >= q).all() and (read > q).mean() < 0.1
+
+
 def test_lm_score(spark):
     """The smoothed probability, with counts quantised by powers of two, against plain counting."""
     data = [(d, "a b a b a c" if d % 3 else "b c d") for d in range(40)]
