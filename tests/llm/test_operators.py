@@ -508,6 +508,27 @@ def test_neighbours_and_differencing(spark):
     assert near[0] == {1, 2} and near[9] == {7, 8}
 
 
+def test_differencing_beside_articles(spark):
+    """Pages with an article are differenced too: the text beside it stays where neighbours lack it, article lines that neighbours share are put back, marked parts never stay."""
+    page = "<body><div>Site name</div><nav>Menu {0}</nav><div>Lead of story {0}</div><article><p>Story {0}</p><p>Same words</p></article><p>Marked elsewhere</p><div class=ad>Only {0}</div></body>"
+    data = [(i, f"https://h.org/a/{i}", page.format(i)) for i in range(6)]
+    data += [(7, "https://h.org/a/7", data[0][2].replace("<p>Marked elsewhere</p>", "<footer>Marked elsewhere</footer>")), (8, "https://lone.org/a", data[0][2]), (9, "https://h.org/b/1", "<p>Site name</p><p>No article</p>")]
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)).collect()}
+    story = lambda i: f"Lead of story {i} Story {i} Same words"
+    assert got == {**{i: story(i) for i in range(6)}, 7: story(0), 8: "Story 0 Same words", 9: "No article"}
+
+
+def test_marked_pages_are_all_differenced(spark, monkeypatch):
+    """Without the differencing's verdicts the text beside an article is lost; every page has been aligned with neighbours."""
+    data = [(i, f"https://h.org/{i}", f"<article>Story {i}</article>" + f"<p>Rest of {i}</p>" * (i % 2)) for i in range(10)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    asked = []
+    real = extract.neighbours
+    monkeypatch.setattr(extract, "neighbours", lambda rows: asked.append(real(rows).select("row").distinct().count()) or real(rows))
+    assert {r["page_id"]: r["text"] for r in extract.extract(df).collect()} == {i: f"Story {i}" + f" Rest of {i}" * (i % 2) for i in range(10)}
+    assert asked == [10]
+
+
 def test_awkward_pages(spark):
     deep = "<div>" * 20_000 + "<p>in the deep</p>" + "</div>" * 20_000
     data = [(1, "https://a.b/1", deep), (2, "https://a.b/2", "<article><div class='article-header'><h1>Head</h1></div><p id=search-algorithms>Text &amp; more<div class='comments'>no</div></article></article></div>"), (3, None, "</p></p><p>x<"), (2, "https://a.b/2", "<main>" + "word " * 200_000 + "</main>")]
