@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,23 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, file.rsplit("/", 1)[0])
 
 
+#: Bytes of the Arrow batches that steps on whole texts get. Spark's own bound, 10,000 rows, makes batches of tens of MB of texts; each is held several times, in the JVM and by the worker.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside send rows to Python in Arrow batches of about BATCH_BYTES, unless the session sets a size itself."""
+    if spark.conf.get(BATCH_SETTING, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of a batch's rows of at most ``most`` bytes in column ``text``, or one longer row: bounds what a worker makes of a batch at once."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))

@@ -6,21 +6,27 @@ import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, slices, text_of
+from brindle.llm.common import materialize, slices, small_batches, text_of
+
+if TYPE_CHECKING:
+    import pandas as pd
 
 CAPACITY = 2048
 #: Pieces that one task packs together: bounds its memory and the half-filled last sequences.
 GROUP_PIECES = 20_000
 #: Words whose ids are laid out at once.
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 100_000
+#: Text bytes that a worker tokenizes at once.
+SLICE = 1 << 20
 
 #: Words whose ids a worker keeps between batches, in flat arrays: bounds its memory; other words are encoded again.
 CACHE_WORDS = 1_000_000
@@ -28,8 +34,8 @@ CACHE_WORDS = 1_000_000
 JOINED, SEPARATOR = 64, "\x01"
 
 _loaded: dict[str, object] = {}
-#: By tokenizer and type of text: the words, where their ids start (and the last ones end), and all their ids.
-_known: dict[tuple, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
+#: By tokenizer and type of text: the words, where their ids start (and the last ones end), all their ids, the words' sorted hashes, and the number of each hash's word.
+_known: dict[tuple, tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def tokenizer_path() -> str:
@@ -69,6 +75,47 @@ def _encoded(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sizes), np.concatenate(ids)
 
 
+def _hashed(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that start and are as long as told, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+def _ids_of(kinds: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, sizes, ids) of distinct words. Known words are found by hash and compared, so what is held beside them follows the words asked for, not those kept."""
+    key = (path, str(kinds.type))
+    words, bounds, flat, hashes, numbers = _known.get(key, (kinds.slice(0, 0), np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.int32)))
+    h = _hashed(kinds.to_pylist())
+    at = np.searchsorted(hashes, h)
+    found = np.flatnonzero(at < len(hashes))
+    found = found[hashes[at[found]] == h[found]]
+    known = numbers[at[found]]
+    same = pc.equal(words.take(pa.array(known)), kinds.take(pa.array(found))).to_numpy(zero_copy_only=False)
+    found, known = found[same], known[same]
+    rest = np.ones(len(kinds), bool)
+    rest[found] = False
+    new = kinds.filter(pa.array(rest))
+    more, ids = _encoded(new.to_pylist(), path)
+    sizes = np.empty(len(kinds), np.int64)
+    sizes[found], sizes[rest] = bounds[known + 1] - bounds[known], more
+    starts = np.empty(len(kinds), np.int64)
+    old = int(sizes[found].sum())
+    starts[found], starts[rest] = np.cumsum(sizes[found]) - sizes[found], old + np.cumsum(more) - more
+    mine = np.concatenate([_gathered(flat, bounds[known], sizes[found]), ids])
+    room = min(len(new), CACHE_WORDS - len(words))
+    if room > 0:
+        ends = np.cumsum(more[:room])
+        joined = np.concatenate([hashes, h[rest][:room]])
+        order = np.argsort(joined, kind="stable")
+        numbers = np.concatenate([numbers, np.arange(len(words), len(words) + room, dtype=np.int32)])[order]
+        _known[key] = (pa.concat_arrays([words, new.slice(0, room)]), np.concatenate([bounds, bounds[-1] + ends]), np.concatenate([flat, ids[: ends[-1]]]), joined[order], numbers)
+    return starts, sizes, mine
+
+
 def token_ids(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray]]:
     """(row, uint32 ids) of each text, equal to encoding the whole text.
 
@@ -81,21 +128,8 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray]]:
     coded = split.flatten().dictionary_encode()
     index, kinds = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
     del split, coded
-    key = (path, str(kinds.type))
-    words, bounds, flat = _known.get(key, (kinds.slice(0, 0), np.zeros(1, np.int64), np.zeros(0, np.uint32)))
-    at = pc.index_in(kinds, value_set=words)
-    new = kinds.filter(pc.is_null(at))
-    at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    if len(new):
-        at[at < 0] = len(words) + np.arange(len(new))
-        more, ids = _encoded(new.to_pylist(), path)
-        flat, bounds = np.concatenate([flat, ids]), np.concatenate([bounds, bounds[-1] + np.cumsum(more)])
-        room = min(len(new), CACHE_WORDS - len(words))
-        if room > 0:
-            kept = len(words) + room
-            _known[key] = (pa.concat_arrays([words, new.slice(0, room)]), bounds[: kept + 1].copy(), flat[: bounds[kept]].copy())
-    starts, sizes = bounds[at], bounds[at + 1] - bounds[at]
-    del words, bounds, at, kinds
+    starts, sizes, flat = _ids_of(kinds, path)
+    del kinds
     base = offsets[0]
     row, rows = 0, len(offsets) - 1
     while row < rows:
@@ -103,10 +137,8 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray]]:
         stop = min(stop, rows)
         words = index[offsets[row] - base : offsets[stop] - base]
         length = sizes[words]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.arange(total) + np.repeat(starts[words] - (ends - length), length)]
-        ends = np.concatenate([[0], ends])
+        ids = _gathered(flat, starts[words], length)
+        ends = np.concatenate([[0], np.cumsum(length)])
         for r in range(row, stop):
             yield r, ids[ends[offsets[r] - offsets[row]] : ends[offsets[r + 1] - offsets[row]]]
         row = stop
@@ -117,7 +149,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 1)):
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE)):
             ids_of = batch.column(0)
             texts = batch.column(1)
             out: list[list] = [[], [], [], [], []]
@@ -135,6 +167,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
             if keep_ids:
                 columns.append(pa.array(kept, schema.field("ids").type))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            pa.default_memory_pool().release_unused()
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(cut, ddl)
@@ -217,7 +250,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
     they occur, null doc_ids stay null, an empty table gives an empty result,
     and other columns are not read.
     """
-    cut = materialize(pieces(docs, path or tokenizer_path(), capacity, keep_ids=keep_ids))
+    with small_batches(docs.sparkSession):
+        cut = materialize(pieces(docs, path or tokenizer_path(), capacity, keep_ids=keep_ids))
     groups = max(1, -(-cut.count() // group_pieces))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import ROW, ascii_lower, components, discard, let, materialize, only, release, text_of, without, words_of
+from brindle.llm.common import ROW, ascii_lower, components, discard, let, materialize, only, release, small_batches, text_of, without, words_of
 
 
 def shingle_hashes(text: Column, size: int) -> Column:
@@ -407,7 +407,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     """
     rows, repeated = _with_nodes(docs)
     texts = rows.filter("doc_id is not null").select(F.col(ROW).alias("row"), text_of().alias("text"))
-    links = materialize(near_pairs(texts, shingle, similarity, repeated))
+    with small_batches(docs.sparkSession):
+        links = materialize(near_pairs(texts, shingle, similarity, repeated))
     group = materialize(components(links))
     ids = only(rows.select(F.col(ROW).alias("node"), "doc_id"), group, ["node"]).distinct()
     stays = group.join(ids, "node").groupBy("root").agg(F.min(F.struct("doc_id", "node"))["node"].alias("stays"))

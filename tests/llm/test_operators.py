@@ -646,5 +646,56 @@ def test_words_are_encoded_once(monkeypatch):
     assert sum(told) == before
 
 
+def test_packing_looks_words_up_without_their_whole_table(monkeypatch):
+    import tracemalloc
+
+    path = packing.tokenizer_path()
+    tok = packing._tokenizer(path)
+    monkeypatch.setattr(packing, "_known", {})
+    monkeypatch.setattr(packing, "CACHE_WORDS", 200_000)
+    words = [f"q{i}" for i in range(200_000)]
+    for _ in packing.token_ids(pa.array([" ".join(words)]), path):
+        pass
+    (known, *_), = packing._known.values()
+    assert len(known) == 200_000
+    tracemalloc.start()
+    got = [ids.tolist() for _, ids in packing.token_ids(pa.array(["q5 unseenword q199999 q5"]), path)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [tok.encode("q5 unseenword q199999 q5", add_special_tokens=False).ids]
+    assert peak < 1 << 20
+
+
+def test_packing_words_of_one_hash(monkeypatch):
+    path = packing.tokenizer_path()
+    tok = packing._tokenizer(path)
+    monkeypatch.setattr(packing, "_known", {})
+    monkeypatch.setattr(packing, "_hashed", lambda words: np.array([len(w) for w in words], np.uint64))
+    for text in ["same", "some same lame", "x some", "lame x same y", "", "y y some"]:
+        assert [ids.tolist() for _, ids in packing.token_ids(pa.array([text]), path)] == [tok.encode(text, add_special_tokens=False).ids]
+
+
+def test_texts_go_to_workers_in_small_batches(spark, docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    sizes = spark.range(0, 100, 1, 1).select(F.repeat(F.lit("x"), 200_000).alias("text"))
+    told = lambda: [r["n"] for r in sizes.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in bs), "n long").collect()]
+    with common.small_batches(spark):
+        inside = told()
+    assert max(inside) <= common.BATCH_BYTES + 300_000 and sum(inside) > 20_000_000 and spark.conf.get(common.BATCH_SETTING, None) is None
+    seen = {}
+    for module in (packing, simhash):
+        def kept(df, f=module.materialize, name=module.__name__.rsplit(".", 1)[1]):
+            seen.setdefault(name, []).append(spark.conf.get(common.BATCH_SETTING, None))
+            return f(df)
+
+        monkeypatch.setattr(module, "materialize", kept)
+    packing.pack(docs)
+    simhash.keep_one(docs)
+    small = str(common.BATCH_BYTES)
+    assert seen["packing"] == [small] and seen["simhash"].count(small) > 3
+    assert spark.conf.get(common.BATCH_SETTING, None) is None
+
+
 def test_packing_empty(empty):
     assert packing.pack(empty).count() == 0
