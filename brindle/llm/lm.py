@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import discard, materialize, release, text_of
+from brindle.llm.common import discard, materialize, release, small_batches, text_of
 
 #: Bits of a segment that one task fills, probes of one level, and the largest filter that is broadcast.
 SEGMENT_BITS, PROBES, BROADCAST_BITS = 1 << 19, 5, 1 << 29
@@ -112,6 +112,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             tokens = pa.ListArray.from_arrays(pa.array(word_at, pa.int32()), pa.array(kinds).take(pa.array(seen)))
             columns = [pa.array(np.arange(buckets, dtype=np.int32)), _blobs(pair[order], at), _blobs(n[order].astype(np.uint32), at), tokens, _blobs(times[seen].astype(np.uint32), word_at)]
             yield pa.RecordBatch.from_arrays(columns, names=["bucket", "hs", "ns", "tokens", "times"])
+            pa.default_memory_pool().release_unused()
 
     def total(group: pa.Table) -> pa.Table:
         joined = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
@@ -339,7 +340,8 @@ def score(docs: DataFrame, train: Column | None = None, segment_bits: int = SEGM
     spark = docs.sparkSession
     train = ~held_out(F.col("doc_id")) if train is None else train
     texts = docs.select("doc_id", text_of().alias("text"), train.alias("train"))
-    grams = materialize(gram_counts(texts.filter("train")))
+    with small_batches(spark):
+        grams = materialize(gram_counts(texts.filter("train")))
     release(spark)
     words = materialize(grams.filter("token is not null").select("token", "h", "c"))
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -402,6 +404,7 @@ def score(docs: DataFrame, train: Column | None = None, segment_bits: int = SEGM
         bits = table.value
         for part in (p for batch in batches for p in _slices(batch, 1)):
             yield scores(part, lambda x: read_levels(bits, x, segment_bits))
+            pa.default_memory_pool().release_unused()
 
     def by_answers(rows: pa.Table, answers: pa.Table) -> pa.Table:
         """Scores of a slice's rows (slice, k, doc_id, text, train) by the levels (slice, k, part, list, levels) of its runs."""
@@ -420,11 +423,13 @@ def score(docs: DataFrame, train: Column | None = None, segment_bits: int = SEGM
     if sent:
         made = texts.select("doc_id", "text", "train").mapInArrow(by_broadcast, ddl)
     else:
-        rows = materialize(in_slices(texts))
+        with small_batches(spark):
+            rows = materialize(in_slices(texts))
         answers = materialize(asked_levels(rows, parts, segments, segment_bits))
         release(spark)
         made = rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(by_answers, ddl)
-    scored = materialize(made.withColumn("row", F.monotonically_increasing_id()))
+    with small_batches(spark):
+        scored = materialize(made.withColumn("row", F.monotonically_increasing_id()))
     tokens = scored.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.n")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(total + floor))
     rest = tokens.join(words, "token", "left").groupBy("row").agg(

@@ -684,16 +684,18 @@ def test_texts_go_to_workers_in_small_batches(spark, docs, monkeypatch):
         inside = told()
     assert max(inside) <= common.BATCH_BYTES + 300_000 and sum(inside) > 20_000_000 and spark.conf.get(common.BATCH_SETTING, None) is None
     seen = {}
-    for module in (packing, simhash):
+    for module in (packing, lm, simhash):
         def kept(df, f=module.materialize, name=module.__name__.rsplit(".", 1)[1]):
             seen.setdefault(name, []).append(spark.conf.get(common.BATCH_SETTING, None))
             return f(df)
 
         monkeypatch.setattr(module, "materialize", kept)
     packing.pack(docs)
+    lm.score(docs)
+    lm.score(docs, broadcast_bits=0)
     simhash.keep_one(docs)
     small = str(common.BATCH_BYTES)
-    assert seen["packing"] == [small] and seen["simhash"].count(small) > 3
+    assert seen["packing"] == [small] and seen["lm"].count(small) == 5 and seen["simhash"].count(small) > 3
     assert spark.conf.get(common.BATCH_SETTING, None) is None
 
 
