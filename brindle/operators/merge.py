@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from brindle.functions.text import plain_name, row_hash
 from brindle.tables import discard, written
@@ -44,11 +50,15 @@ def split_same_source(df: DataFrame, key: str, source: str, order: str, cells: l
     return marked.join(ranked, on, "left").withColumn("entity", entity).drop("_first", "_h", "_key", "_hash", "_k")
 
 
-#: Most columns that ``twins`` compares: a row stands under each set of its cells.
+#: Most columns that ``twins`` compares: a row of a crowded block stands under each set of its cells.
 MOST_CELLS = 10
+#: Most different rows of a block that one task folds in order; larger blocks are decided by rounds.
+TOGETHER = 20_000
+#: Different rows that one group of small blocks holds on average, and rows of a block that are compared with its kept rows at once.
+GROUPED, STEP = 5_000, 256
 
 
-def twins(df: DataFrame, block: str, source: str, order: str, cells: list[str], least: int = 2, share: float = 0.6, long: int = 25, alike: bool = True) -> DataFrame:
+def twins(df: DataFrame, block: str, source: str, order: str, cells: list[str], least: int = 2, share: float = 0.6, long: int = 25, alike: bool = True, together: int = TOGETHER) -> DataFrame:
     """Adds twin_of: the order of the first kept row of the block, from another source, that is the same item.
 
     Rows are taken in order (ties by their cells). Two are one item if, of the
@@ -58,42 +68,134 @@ def twins(df: DataFrame, block: str, source: str, order: str, cells: list[str],
     other without spaces, or half of the words in common). A row with an earlier kept twin is not kept and is nobody's
     twin. Rows without a block have none; a null source is a source of its own.
 
+    Equal rows of one source are decided once. A block with at most ``together``
+    different rows is folded in order by one task; those of larger blocks are
+    decided by rounds without pairs of rows (``_by_rounds``), so no task holds
+    more, whatever a block's size.
+    """
+    if len(cells) > MOST_CELLS:
+        raise ValueError(f"at most {MOST_CELLS} cells are compared, not {len(cells)}")
+    plain = [f"_cell{i}" for i in range(len(cells))]
+    read = {"_block": F.col(block).cast("string"), "_source": F.col(source).cast("string")} | {p: F.col(c).cast("string") for p, c in zip(plain, cells, strict=True)}
+    different = df.filter(F.col(block).isNotNull()).select(*[c.alias(k) for k, c in read.items()], F.col(order).alias("_at")).groupBy(*read).agg(F.min("_at").alias("_at"))
+    names = [plain_name(F.coalesce(F.col(p), F.lit(""))) for p in plain]
+    named = different.withColumn("_cells", F.array(*names)).withColumn("_origin", F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("")))
+    bits = lambda test: sum((F.when(test(i), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(cells))), F.lit(0))
+    has = lambda i: F.get("_cells", F.lit(i)) != ""
+    named = named.withColumns({"_filled": bits(has), "_long": bits(lambda i: F.coalesce(F.char_length(plain[i]) > long, F.lit(False)) & has(i))})
+    named = written(named.withColumn("_class", _digest(F.struct("_block", "_origin", "_cells", "_long"))))
+    first = named.groupBy("_class", F.col("_block").alias("block"), "_cells", "_origin", "_filled", "_long").agg(F.min("_at").alias("at"))
+    kinds = written(first.withColumn("at", F.struct("at", F.col("_class").alias("by"))))
+    crowded = written(kinds.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > together).select("block"))
+    if crowded.isEmpty():
+        found = [_folded(kinds, least, share, alike)]
+    else:
+        found = [_folded(kinds.join(crowded, "block", "left_anti"), least, share, alike), _by_rounds(kinds.join(crowded, "block", "left_semi"), len(cells), least, share, alike)]
+    dropped = named.join(found[0] if len(found) == 1 else found[0].union(found[1]), "_class").select(F.xxhash64(*read).alias("_hash"), *read, "twin_of")
+    dropped = written(dropped)
+    discard(named, kinds, crowded, *found[1:])
+    same = [F.xxhash64(*read.values()) == F.col("_hash"), *[c.eqNullSafe(F.col(k)) for k, c in read.items()]]
+    return df.join(dropped, same, "left").select(*[df[c] for c in df.columns], "twin_of")
+
+
+def _folded(kinds: DataFrame, least: int, share: float, alike: bool) -> DataFrame:
+    """(_class, twin_of) of the rows that have a twin, each block folded in order; a group holds blocks of one hash."""
+    groups = -(-kinds.count() // GROUPED) or 1
+    group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("group")
+    place = F.row_number().over(Window.partitionBy("group").orderBy("block", "at")).alias("place")
+    rows = kinds.select(group, "*").select("group", place, "block", "_class", F.col("at.at").alias("at"), "_cells", "_origin", "_filled", "_long")
+    schema = StructType([StructField("_class", kinds.schema["_class"].dataType), StructField("twin_of", rows.schema["at"].dataType)])
+    fold = _fold(least, share)
+    if not alike:
+        return rows.groupBy("group").applyInArrow(lambda table: fold(table, None), schema)
+    links = similar_values(kinds.select("block", F.posexplode("_cells").alias("cell", "v")), "block", "cell", "v").select(group, "cell", "v", "other")
+    return rows.groupBy("group").cogroup(links.groupBy("group")).applyInArrow(lambda table, links: fold(table, links), schema)
+
+
+def _fold(least: int, share: float) -> Callable[[pa.Table, pa.Table | None], pa.Table]:
+    """The fold of a group's blocks: each row's first kept twin, for those that have one."""
+
+    def fold(table: pa.Table, links: pa.Table | None) -> pa.Table:
+        table = table.take(pc.sort_indices(table["place"]))
+        n, cells = table.num_rows, pc.list_flatten(table["_cells"].combine_chunks()).dictionary_encode()
+        codes = cells.indices.to_numpy().reshape(n, -1).T.copy() if n else np.empty((0, 0), np.int32)
+        bit = np.arange(len(codes))[:, None]
+        filled, long = (table[c].to_numpy() >> bit & 1 == 1 for c in ("_filled", "_long"))
+        origin, block = (table[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in ("_origin", "block"))
+        linked: list[dict[int, np.ndarray]] = [{} for _ in codes]
+        for c in range(len(codes) if links is not None and links.num_rows else 0):
+            own = links.filter(pc.equal(links["cell"], c))
+            v, other = (pc.index_in(own[k], cells.dictionary).to_numpy() for k in ("v", "other"))
+            by = np.argsort(v, kind="stable")
+            values, starts = np.unique(v[by], return_index=True)
+            linked[c] = dict(zip(values.tolist(), np.split(other[by], starts[1:]), strict=True)) if len(v) else {}
+        need = np.maximum(least, np.ceil(np.arange(len(codes) + 1) * share - 1e-9))
+
+        def one_item(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+            agree, both, veto = np.zeros((len(rows), len(others)), np.int8), np.zeros((len(rows), len(others)), np.int8), origin[rows][:, None] == origin[others]
+            for c, known in enumerate(linked):
+                mine, theirs = codes[c, rows], codes[c, others]
+                same = mine[:, None] == theirs
+                for v in (set(mine.tolist()) & known.keys()) if known else ():
+                    same[mine == v] |= np.isin(theirs, known[v])
+                there = filled[c, rows][:, None] & filled[c, others]
+                same &= there
+                agree += same
+                both += there
+                if long[c, rows].any():
+                    veto |= ~same & long[c, rows][:, None] & long[c, others]
+            return (agree >= need[both]) & ~veto
+
+        twin = np.full(n, -1)
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
+            kept = np.empty(0, np.int64)
+            for step in range(start, end if (origin[start:end] != origin[start]).any() else start, STEP):
+                rows = np.arange(step, min(step + STEP, end))
+                if len(kept):
+                    hits = one_item(rows, kept)
+                    known = hits.any(axis=1)
+                    twin[rows[known]] = kept[hits[known].argmax(axis=1)]
+                    rows = rows[~known]
+                hits, stays = np.tril(one_item(rows, rows), -1), np.ones(len(rows), bool)
+                for i in np.flatnonzero(hits.any(axis=1)):
+                    earlier = np.flatnonzero(hits[i] & stays)
+                    if len(earlier):
+                        twin[rows[i]], stays[i] = rows[earlier[0]], False
+                kept = np.concatenate([kept, rows[stays]])
+        have = np.flatnonzero(twin >= 0)
+        return pa.table({"_class": table["_class"].take(have), "twin_of": table["at"].take(twin[have])})
+
+    return fold
+
+
+def _by_rounds(kinds: DataFrame, n: int, least: int, share: float, alike: bool) -> DataFrame:
+    """(_class, twin_of) of the rows that have a twin, in a table of its own, without a task that holds a block.
+
     No pair of rows is formed. A row stands under each set of its cells and asks
     under the same sets, similar values put in for its own; so a row that asks
     where another stands is its twin, if the set is large enough for the cells
     that both have; and of all rows under a set, only the earliest of two
     sources for each pattern of filled cells can be anyone's first twin. Each
     round keeps every row that no undecided earlier row can displace, so a
-    block's size doesn't matter; equal rows of one source are decided once.
+    block's size doesn't matter.
     Rounds end when the longest chain of rows that wait for each other has ended.
     """
-    if len(cells) > MOST_CELLS:
-        raise ValueError(f"at most {MOST_CELLS} cells are compared, not {len(cells)}")
-    names = [plain_name(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cells]
-    bits = lambda test: sum((F.when(test(i), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(cells))), F.lit(0))
-    origin = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    rows = df.withColumns({
-        "_cells": F.array(*names), "_origin": origin, "_filled": bits(lambda i: names[i] != ""),
-        "_long": bits(lambda i: F.coalesce(F.char_length(F.col(cells[i]).cast("string")) > long, F.lit(False)) & (names[i] != "")),
-    })
-    rows = rows.withColumn("_class", _digest(F.struct(F.col(block).cast("string"), "_origin", "_cells", "_long")))
-    kinds = written(rows.filter(F.col(block).isNotNull()).groupBy("_class").agg(
-        F.min(F.struct(F.col(order).alias("at"), F.col("_class").alias("by"))).alias("at"), F.first(F.col(block).cast("string")).alias("block"), *[F.first(c).alias(c) for c in ("_cells", "_origin", "_filled", "_long")]
-    ))
-    stands = _under(kinds, len(cells), least)
-    asks = stands if not alike else stands.union(_under(_alternatives(kinds), len(cells), least)).distinct()
+    stands = _under(kinds, n, least)
+    asks = stands if not alike else stands.union(_under(_alternatives(kinds), n, least)).distinct()
     shared = stands.select("key", "_origin").union(asks.select("key", "_origin")).groupBy("key").agg(F.min("_origin").alias("a"), F.max("_origin").alias("b")).filter("a < b").select("key")
     shared = written(shared)
     stands, asks = written(stands.join(shared, "key", "left_semi")), written(asks.join(shared, "key", "left_semi"))
     everyone = stands.select("_class", "at").union(asks.select("_class", "at")).distinct()
     state = written(everyone.select("_class", "at", F.lit("open").alias("state"), F.lit(None).cast(kinds.schema["at"].dataType).alias("twin")))
-    discard(shared, kinds)
+    discard(shared)
     while not state.filter("state in ('open', 'late')").isEmpty():
         before, state = state, written(_decided(stands, asks, state, least, share))
         discard(before)
     discard(stands, asks)
-    dropped = state.filter("twin is not null").select("_class", F.col("twin.at").alias("twin_of"))
-    return rows.join(dropped, "_class", "left").select(*df.columns, "twin_of")
+    found = written(state.filter("twin is not null").select("_class", F.col("twin.at").alias("twin_of")))
+    discard(state)
+    return found
 
 
 def _digest(values: Column) -> Column:
