@@ -129,7 +129,7 @@ def _fold(least: int, share: float) -> Callable[[pa.Table, pa.Table | None], pa.
             by = np.argsort(v, kind="stable")
             values, starts = np.unique(v[by], return_index=True)
             linked[c] = dict(zip(values.tolist(), np.split(other[by], starts[1:]), strict=True)) if len(v) else {}
-        need = np.maximum(least, np.ceil(np.arange(len(codes) + 1) * share - 1e-9))
+        need = np.maximum(max(least, 1), np.ceil(np.arange(len(codes) + 1) * share - 1e-9))
 
         def one_item(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
             agree, both, veto = np.zeros((len(rows), len(others)), np.int8), np.zeros((len(rows), len(others)), np.int8), origin[rows][:, None] == origin[others]
